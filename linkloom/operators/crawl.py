@@ -15,6 +15,7 @@ from linkloom.session import scratch_path, written
 from linkloom.sources.tables import store, stored
 
 _VISITED = T.StructType([T.StructField("url", T.StringType())])
+_QUEUED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType())])
 
 
 class Round(NamedTuple):
@@ -81,19 +82,22 @@ def budgeted(graph: DataFrame, seeds: DataFrame, limit: int, rounds: int) -> Dat
     numbered from 1 without gaps, so a round's pull is a range of ``seq``.
     """
     spark = graph.sparkSession
-    path = scratch_path(spark, "queue")
-    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType())])
-    known = written(first_seen(seeds, "url", ["seq"]).withColumnRenamed("seq", "_at"), "seeds")
-    store(numbered(known, ["_at"], "seq").select("seq", "url"), path, 0, "found_in")
+    queue_path, pulls_path = scratch_path(spark, "queue"), scratch_path(spark, "pulls")
+    first = first_seen(seeds, "url", ["seq"]).withColumnRenamed("seq", "_at")
+    store(numbered(first, ["_at"], "seq").select("seq", "url"), queue_path, 0, "round")
+    done = 0
     for turn in range(1, rounds + 1):
-        queue = stored(spark, path, schema, "found_in")
-        pulled = queue.where(F.col("seq").between((turn - 1) * limit + 1, turn * limit))
+        queue = stored(spark, queue_path, _QUEUED, "round").drop("round")
+        last = queue.agg(F.max("seq")).first()[0] or 0
+        upto = min(done + limit, last)
+        if upto == done:
+            break
+        pulled = queue.where(F.col("seq").between(done + 1, upto))
+        store(pulled, pulls_path, turn, "round")
         sources = pulled.select(F.col("url").alias("src"), F.col("seq").alias("_at"))
         links = graph.join(sources, "src").select("url", F.col("_at").alias("seq"), "pos")
-        fresh = new_links(links, queue)
-        last = queue.agg(F.max("seq")).first()[0] or 0
-        ordered = numbered(fresh.select("url", F.col("seq").alias("_at"), "pos"), ["_at", "pos"], "seq", last + 1)
-        store(ordered.select("seq", "url"), path, turn, "found_in")
-    queue = stored(spark, path, schema, "found_in")
-    turn = F.ceil(F.col("seq") / limit).cast("int")
-    return queue.where(F.col("seq") <= limit * rounds).select(turn.alias("round"), "seq", "url")
+        fresh = new_links(links, queue).withColumnRenamed("seq", "_at")
+        store(numbered(fresh, ["_at", "pos"], "seq", last + 1).select("seq", "url"), queue_path, turn, "round")
+        done = upto
+    pulls = stored(spark, pulls_path, _QUEUED, "round")
+    return pulls.select(F.col("round").cast("int").alias("round"), "seq", "url")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import html, text, urls
 
 
+def with_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections reuse.
+
+    A plain projection would be merged into each of them and computed anew, or
+    pushed below a repartition. A generator is not moved or repeated.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
 def link_text(pages: DataFrame, body_only: bool = False) -> DataFrame:
     """``(seq, link, text)`` for every page."""
     shown = html.page_body_text(F.col("html")) if body_only else html.page_text(F.col("html"))
-    return pages.select(F.col("page_id").alias("seq"), F.col("url").alias("link"), shown.alias("text"))
+    return with_once(pages, "text", shown).select(F.col("page_id").alias("seq"), F.col("url").alias("link"), "text")
 
 
 def nonempty(pairs: DataFrame) -> DataFrame:
@@ -31,7 +40,7 @@ def page_links(pages: DataFrame, on_page: bool = False) -> DataFrame:
     anchors = pages.select(
         "page_id", F.col("url").alias("src_url"), F.posexplode_outer(html.page_hrefs(F.col("html"))).alias("pos", "href")
     ).where(F.col("href").isNotNull())
-    return anchors.withColumn("url", resolve(F.col("src_url"), F.col("href")))
+    return with_once(anchors, "url", resolve(F.col("src_url"), F.col("href")))
 
 
 def valid_links(links: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.dedup import first_seen
 from linkloom.operators.ordering import numbered
 from linkloom.schemas import MAX_LINK, MAX_TAG
+from linkloom.session import written
 
 
 class Star(NamedTuple):
@@ -70,8 +71,11 @@ def junction_rows(link_tags: DataFrame, links: DataFrame, tags: DataFrame) -> Da
 
 
 def build_star(link_tags: DataFrame) -> Star:
-    """The three tables of a batch, from nothing."""
-    rows = cut(link_tags)
+    """The three tables of a batch, from nothing.
+
+    The tags are written once, as all three tables derive from them.
+    """
+    rows = written(cut(link_tags), "link_tags")
     links = with_ids(first_values(rows, "link"), "link")
     tags = with_ids(first_values(rows, "tag"), "tag")
     return Star(links, tags, junction_rows(rows, links, tags))

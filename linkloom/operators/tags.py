@@ -94,6 +94,24 @@ def table_stats(terms: DataFrame) -> DataFrame:
     return terms.select(F.inline("terms")).groupBy("term").agg(F.sum("tf").alias("cf"))
 
 
+def _counted_before(terms: DataFrame, rows: DataFrame, one_block: bool, stored_stats: DataFrame | None):
+    """``(term, block, prior)``: occurrences before the block, or None if there are none."""
+    if stored_stats is not None:
+        # Narrowed to the terms at hand; measured size decides what is broadcast.
+        stored_stats = stored_stats.join(table_stats(terms).select("term"), "term", "left_semi")
+    if one_block:
+        first = F.lit(0).cast("bigint").alias("block")
+        return None if stored_stats is None else stored_stats.select("term", first, F.col("cf").alias("prior"))
+    # A term has at most documents / block_docs rows here.
+    totals = rows.groupBy("term", "block").agg(F.sum("tf").alias("tf"))
+    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    prior = totals.select("term", "block", F.coalesce(F.sum("tf").over(before), F.lit(0)).alias("prior"))
+    if stored_stats is not None:
+        total = F.col("prior") + F.coalesce("cf", F.lit(0))
+        prior = prior.join(stored_stats, "term", "left").select("term", "block", total.alias("prior"))
+    return prior.where(F.col("prior") > 0)
+
+
 def arrival_counts(
     terms: DataFrame,
     stored_stats: DataFrame | None = None,
@@ -105,30 +123,14 @@ def arrival_counts(
     ``stored_stats`` and ``stored_docs`` hold what was counted before.
     """
     numbers = numbered(terms.select("seq"), ["seq"], "n")
-    rows = terms.join(numbers, "seq").select(
-        "seq", "len", "n", F.floor((F.col("n") - 1) / block_docs).alias("block"), F.inline("terms")
-    )
+    block = F.floor((F.col("n") - 1) / block_docs).alias("block")
+    rows = terms.join(numbers, "seq").select("seq", "len", "n", block, F.inline("terms"))
     in_block = Window.partitionBy("term", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("local_cf", F.sum("tf").over(in_block))
-
-    # One row per (term, block): a term has at most documents / block_docs of them.
-    totals = rows.groupBy("term", "block").agg(F.sum("tf").alias("tf"))
-    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    prior = totals.select("term", "block", F.coalesce(F.sum("tf").over(before), F.lit(0)).alias("prior"))
-    if stored_stats is not None:
-        used = stored_stats.join(table_stats(terms).select("term"), "term", "left_semi")
-        prior = prior.join(used, "term", "left").select(
-            "term", "block", (F.col("prior") + F.coalesce("cf", F.lit(0))).alias("prior")
-        )
-    return local.join(prior.where(F.col("prior") > 0), ["term", "block"], "left").select(
-        "seq",
-        "term",
-        "pos",
-        "tf",
-        "len",
-        (F.col("n") + stored_docs).alias("n"),
-        (F.col("local_cf") + F.coalesce("prior", F.lit(0))).alias("cf"),
-    )
+    counts = rows.withColumn("cf", F.sum("tf").over(in_block))
+    prior = _counted_before(terms, rows, terms.count() <= block_docs, stored_stats)
+    if prior is not None:
+        counts = counts.join(prior, ["term", "block"], "left").withColumn("cf", F.col("cf") + F.coalesce("prior", F.lit(0)))
+    return counts.select("seq", "term", "pos", "tf", "len", (F.col("n") + stored_docs).alias("n"), "cf")
 
 
 def arrival_scores(terms: DataFrame, **stored) -> DataFrame:
