@@ -27,22 +27,22 @@ PUNCTUATION = [
     "€", "£", "¥", "•", "¶", "…", "—", "›", "‹", "...", "–",
 ]
 
-# Unicode White_Space plus the four information separators, as regex ranges.
-WHITESPACE = r"\x1c-\x1f\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Unicode White_Space plus the four information separators.
+_SPACES = r"(?U)[\x1c-\x1f\s]+"
 
 
 def strip(text: Column) -> Column:
     """Trim whitespace of any kind from both ends."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.regexp_replace(text, rf"^{_SPACES}|{_SPACES}\z", "")
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
-    return text.isNull() | ~text.rlike(f"[^{WHITESPACE}]")
+    return text.isNull() | ~text.rlike(r"(?U)[^\x1c-\x1f\s]")
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), f"[{WHITESPACE}]+")
+    return F.split(F.lower(text), _SPACES)
 
 
 def tokens(text: Column) -> Column:

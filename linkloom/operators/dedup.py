@@ -16,6 +16,8 @@ from linkloom.operators.ordering import numbered
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``(key, *order)`` of the first row of every key."""
+    if len(order) == 1:
+        return rows.groupBy(key).agg(F.min(order[0]).alias(order[0]))  # a plain hash aggregation
     first = F.min(F.struct(*order)).alias("_first")
     return rows.groupBy(key).agg(first).select(key, *[F.col(f"_first.{name}") for name in order])
 

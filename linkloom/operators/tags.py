@@ -20,9 +20,8 @@ from linkloom.functions.text import clean_tokens
 from linkloom.operators.ordering import numbered
 from linkloom.session import written
 
-# Documents per prefix-sum block, and salts per term for whole-corpus totals.
+# Documents per prefix-sum block.
 BLOCK_DOCS = 1 << 20
-TERM_SALTS = 256
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -57,14 +56,15 @@ def doc_count(docs: DataFrame) -> DataFrame:
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """Written table ``(seq, len, terms: array<(term, pos, tf)>)``.
+    """Written table ``(seq, …, len, terms: array<(term, pos, tf)>)``.
 
-    Words are sorted with their positions inside the row, and a term's count
+    Columns other than the text travel along. Words are sorted with their positions inside the row, and a term's count
     is the distance between the starts of neighbouring runs: no shuffle.
     """
-    words = indexed(docs).select("seq", clean_tokens(F.col("text")).alias("words"))
+    others = [name for name in docs.columns if name != "text"]
+    words = indexed(docs).select(*others, clean_tokens(F.col("text")).alias("words"))
     placed = F.transform("words", lambda word, pos: F.struct(word.alias("term"), pos.alias("pos")))
-    runs = words.select("seq", F.size("words").alias("len"), F.sort_array(placed).alias("sorted"))
+    runs = words.select(*others, F.size("words").alias("len"), F.sort_array(placed).alias("sorted"))
 
     def term_at(index: Column) -> Column:
         return F.get("sorted", index)["term"]
@@ -82,7 +82,7 @@ def term_table(docs: DataFrame) -> DataFrame:
         head = F.get("sorted", start)
         return F.struct(head["term"].alias("term"), head["pos"].alias("pos"), (end - start).cast("bigint").alias("tf"))
 
-    return written(starts.select("seq", "len", F.transform("starts", run).alias("terms")), "terms")
+    return written(starts.select(*others, "len", F.transform("starts", run).alias("terms")), "terms")
 
 
 def _score(tf: Column, length: Column, docs: Column, cf: Column) -> Column:
@@ -139,18 +139,15 @@ def arrival_scores(terms: DataFrame, **stored) -> DataFrame:
     return counts.select("seq", "term", "pos", _score(F.col("tf"), F.col("len"), F.col("n"), F.col("cf")).alias("score"))
 
 
-def corpus_scores(terms: DataFrame, salts: int = TERM_SALTS) -> DataFrame:
+def corpus_scores(terms: DataFrame) -> DataFrame:
     """``(seq, term, pos, score)`` on the final statistics of the same corpus.
 
-    Rows meet their term's total on (term, salt), which splits a common term
-    over ``salts`` tasks; a term has at most ``salts`` totals.
+    The totals have one row per term, so a common term skews one side of the
+    join only, which adaptive execution splits by measured partition size.
     """
-    salt = F.pmod(F.xxhash64("seq"), F.lit(salts)).alias("salt")
-    rows = terms.select("seq", "len", salt, F.inline("terms"))
-    per_salt = rows.groupBy("term", "salt").agg(F.sum("tf").alias("tf"))
-    totals = per_salt.select("term", "salt", F.sum("tf").over(Window.partitionBy("term")).alias("cf"))
+    rows = terms.select("seq", "len", F.inline("terms"))
     n = terms.agg(F.count("*")).scalar()
-    return rows.join(totals, ["term", "salt"]).select(
+    return rows.join(table_stats(terms), "term").select(
         "seq", "term", "pos", _score(F.col("tf"), F.col("len"), n, F.col("cf")).alias("score")
     )
 
@@ -180,7 +177,7 @@ def top_terms(scores: DataFrame, count: int = 3) -> DataFrame:
 
 
 def link_tags(docs: DataFrame, top: DataFrame) -> DataFrame:
-    """``(seq, link, rank, tag)`` from documents ``(seq, link, …)`` and their top terms."""
+    """``(seq, link, rank, tag)`` from ``(seq, link, …)``, best a term table, and the top terms."""
     return docs.select("seq", "link").join(top, "seq").select("seq", "link", "rank", F.col("term").alias("tag"))
 
 

@@ -9,8 +9,8 @@ from linkloom.operators import index, tags
 
 def tagged(docs: DataFrame, count: int = 5) -> DataFrame:
     """``(seq, link, rank, tag)``: every document tagged as it arrives."""
-    scores = tags.arrival_scores(tags.term_table(docs))
-    return tags.link_tags(docs, tags.top_terms(scores, count))
+    terms = tags.term_table(docs)
+    return tags.link_tags(terms, tags.top_terms(tags.arrival_scores(terms), count))
 
 
 def indexed(docs: DataFrame, count: int = 5) -> DataFrame:

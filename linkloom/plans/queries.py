@@ -173,7 +173,8 @@ def crawl_frontier(spark, folder):
 
 
 def crawl_reach(spark, folder):
-    return crawl.reach(inputs.entity_graph(spark, folder), crawl.seed(spark, "http://shop.example/region/0"))
+    graph = written(inputs.entity_graph(spark, folder), "graph")  # read once per round
+    return crawl.reach(graph, crawl.seed(spark, "http://shop.example/region/0"))
 
 
 def crawl_budget(spark, folder):

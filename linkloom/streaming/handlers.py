@@ -73,7 +73,7 @@ def tag_documents(state: str, docs: DataFrame, batch_id: int, count: int = 5) ->
     stats, total = corpus_before(docs.sparkSession, state, batch_id)
     terms = tags.term_table(docs)
     scores = tags.arrival_scores(terms, stored_stats=stats, stored_docs=total)
-    store(tags.link_tags(docs, tags.top_terms(scores, count)), f"{state}/link_tags", batch_id)
+    store(tags.link_tags(terms, tags.top_terms(scores, count)), f"{state}/link_tags", batch_id)
     store(tags.table_stats(terms), f"{state}/term_stats", batch_id)
     store(terms.agg(F.count("*").alias("doc_count")), f"{state}/corpus_stats", batch_id)
 

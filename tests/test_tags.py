@@ -108,7 +108,7 @@ def test_corpus_scores_are_queries_on_final_stats(spark, rows, expected):
     model = expected[1]
     docs = frame(spark, rows)
     want = {(s, t): v for s, _, text in rows if text for t, v in model.score(text, update=False).items()}
-    by_corpus = tags.corpus_scores(tags.term_table(docs), salts=3)
+    by_corpus = tags.corpus_scores(tags.term_table(docs))
     by_query = tags.query_scores(docs, tags.term_stats(docs), tags.doc_count(docs).scalar())
     for df in (by_corpus, by_query):
         got = {(r.seq, r.term): r.score for r in df.collect()}
