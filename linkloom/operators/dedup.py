@@ -7,6 +7,8 @@ flagged by joining on their own unique order, never on the hot value.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +43,50 @@ def new_texts(texts: DataFrame, seen_hashes: DataFrame | None = None) -> DataFra
     return firsts if seen_hashes is None else firsts.join(seen_hashes.select("text_hash"), "text_hash", "left_anti")
 
 
-def validation_report(
+class Stages(NamedTuple):
+    """What is left after each stage, as ``(seq, url, text_hash)``."""
+
+    new_link: DataFrame
+    new_text: DataFrame
+    passed: DataFrame
+
+
+def validate(
     rows: DataFrame,
     seen_links: DataFrame | None = None,
     seen_hashes: DataFrame | None = None,
     stored_links: DataFrame | None = None,
-) -> DataFrame:
-    """Which stage each row ``(seq, url, text_hash)`` fails, null when it passes.
+) -> Stages:
+    """Run rows ``(seq, url, text_hash)`` through the stages in order.
 
-    The stages run in order and a row that fails one does not count as seen in
-    the next: session links, then text hashes, then stored links.
+    A row that fails one stage does not count as seen in the next: session
+    links, then text hashes, then stored links.
     """
-    by_link = first_seen(rows, "url", ["seq", "text_hash"])
+    new_link = first_seen(rows, "url", ["seq", "text_hash"])
     if seen_links is not None:
-        by_link = by_link.join(seen_links.select("url"), "url", "left_anti")
-    by_text = first_seen(by_link, "text_hash", ["seq", "url"])
+        new_link = new_link.join(seen_links.select("url"), "url", "left_anti")
+    new_text = first_seen(new_link, "text_hash", ["seq", "url"])
     if seen_hashes is not None:
-        by_text = by_text.join(seen_hashes.select("text_hash"), "text_hash", "left_anti")
-    passed = by_text
+        new_text = new_text.join(seen_hashes.select("text_hash"), "text_hash", "left_anti")
+    passed = new_text
     if stored_links is not None:
         passed = passed.join(stored_links.select("url"), "url", "left_anti")
+    columns = ("seq", "url", "text_hash")
+    return Stages(new_link.select(*columns), new_text.select(*columns), passed.select(*columns))
+
 
+def validation_report(
+    rows: DataFrame,
+    seen_links: DataFrame | None = None,
+    seen_hashes: DataFrame | None = None,
+    stored_links: DataFrame | None = None,
+) -> DataFrame:
+    """Which stage each row ``(seq, url, text_hash)`` fails, null when it passes."""
+    stages = validate(rows, seen_links, seen_hashes, stored_links)
     reached = (
-        by_link.select("seq", F.lit(1).alias("stage"))
-        .unionByName(by_text.select("seq", F.lit(2).alias("stage")))
-        .unionByName(passed.select("seq", F.lit(3).alias("stage")))
+        stages.new_link.select("seq", F.lit(1).alias("stage"))
+        .unionByName(stages.new_text.select("seq", F.lit(2).alias("stage")))
+        .unionByName(stages.passed.select("seq", F.lit(3).alias("stage")))
         .groupBy("seq")
         .agg(F.max("stage").alias("stage"))
     )

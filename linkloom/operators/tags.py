@@ -153,19 +153,15 @@ def corpus_scores(terms: DataFrame) -> DataFrame:
 
 
 def query_scores(queries: DataFrame, stats: DataFrame, docs: Column) -> DataFrame:
-    """``(seq, term, pos, score)`` of texts on frozen statistics, which stay as they are.
+    """``(seq, term, pos, score)`` of a term table on frozen statistics, which stay as they are.
 
     Terms never seen count 0. The statistics are first narrowed to the
     queries' terms; which side is broadcast, if any, is left to measured size.
     """
-    tf = term_freq(queries)
-    length = doc_length(queries)
-    used = stats.join(tf.select("term"), "term", "left_semi")
-    cf = F.coalesce("cf", F.lit(0))
-    return (
-        tf.join(length, "seq")
-        .join(used, "term", "left")
-        .select("seq", "term", "pos", _score(F.col("tf"), F.col("len"), docs, cf).alias("score"))
+    rows = queries.select("seq", "len", F.inline("terms"))
+    used = stats.join(rows.select("term"), "term", "left_semi")
+    return rows.join(used, "term", "left").select(
+        "seq", "term", "pos", _score(F.col("tf"), F.col("len"), docs, F.coalesce("cf", F.lit(0))).alias("score")
     )
 
 

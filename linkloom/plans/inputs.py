@@ -24,13 +24,16 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("link"), "text")
 
 
-def document_links(spark: SparkSession, folder: str) -> DataFrame:
+def with_document_link(docs: DataFrame) -> DataFrame:
     """``(seq, url, text)``: documents under a link made of source, language and size."""
-    docs = spread(table(spark, folder, "documents"), "doc_id")
     url = F.concat(F.lit("http://"), "source", F.lit(".example/"), "lang", F.lit("/"), F.col("n_chars").cast("string"))
     return docs.select(F.col("doc_id").alias("seq"), url.alias("url"), "text")
 
 
+def document_links(spark: SparkSession, folder: str) -> DataFrame:
+    return with_document_link(spread(table(spark, folder, "documents"), "doc_id"))
+
+
 def labelled_links(spark: SparkSession, folder: str) -> DataFrame:
     """``(url)`` of the documents that have a label: what an earlier run stored."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("seq"))

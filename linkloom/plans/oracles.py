@@ -198,5 +198,11 @@ ORACLES = {
         FROM running""",
 }
 ORACLES["stream_seen_links"] = ORACLES["seen_link_dedup"]
+ORACLES["stream_validation"] = f"""WITH {_DOCUMENT_LINKS},
+    fresh AS (SELECT * FROM rows WHERE url NOT IN (SELECT url FROM rows JOIN labels ON doc_id = seq)),
+    by_link AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS nth FROM fresh),
+    by_text AS (
+      SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY seq) AS nth_text FROM by_link WHERE nth = 1)
+    SELECT seq, url FROM by_text WHERE nth_text = 1"""
 ORACLES["stream_doc_tags"] = f"{_DOC_TAGS} SELECT seq, link, rank, tag FROM tagged"
 ORACLES["stream_link_tags"] = f"{_STAR} SELECT DISTINCT tag, link FROM cut"

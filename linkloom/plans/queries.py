@@ -120,7 +120,8 @@ def corpus_tfidf(spark, folder):
 def query_scores(spark, folder):
     docs = inputs.documents(spark, folder)
     questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("seq"), "text")
-    return _rounded(tags.query_scores(questions, tags.term_stats(docs), tags.doc_count(docs).scalar()))
+    asked = tags.term_table(questions)
+    return _rounded(tags.query_scores(asked, tags.term_stats(docs), tags.doc_count(docs).scalar()))
 
 
 def top3_tags(spark, folder):
@@ -279,9 +280,9 @@ def crawl_rates(spark, folder):
 # ---- streams -----------------------------------------------------------------
 
 
-def _stream(spark, folder: str, name: str, handler, prepare) -> str:
+def _stream(spark, folder: str, name: str, handler, prepare, state: str | None = None) -> str:
     """Drain one input table through a handler; returns the state folder."""
-    state = scratch_path(spark, "stream")
+    state = state or scratch_path(spark, "stream")
     source = drivers.file_stream(spark, f"{folder}/{name}.parque[t]", table(spark, folder, name).schema)
     drivers.drain(source, handlers.on(handler, state, prepare), f"{state}/progress")
     return state
@@ -301,6 +302,20 @@ def _documents_of(batch: DataFrame) -> DataFrame:
     return spread(batch, "doc_id").select(F.col("doc_id").alias("seq"), F.col("source").alias("link"), "text")
 
 
+def stream_validation(spark, folder):
+    """The labelled documents' links are preloaded; the stream of all documents is validated."""
+    state = scratch_path(spark, "validation")
+    none = spark.createDataFrame([], "text_hash string")
+    handlers.preload_validation(state, inputs.labelled_links(spark, folder), none)
+    _stream(spark, folder, "documents", handlers.validate_rows, _validation_rows, state)
+    return handlers.validated(spark, state).select("seq", "url")
+
+
+def _validation_rows(batch: DataFrame) -> DataFrame:
+    docs = inputs.with_document_link(spread(batch, "doc_id"))
+    return docs.select("seq", "url", text.text_hash(F.col("text")).alias("text_hash"))
+
+
 def stream_doc_tags(spark, folder):
     state = _stream(spark, folder, "documents", handlers.tag_documents, _documents_of)
     return handlers.link_tags(spark, state).select("seq", "link", "rank", "tag")
@@ -328,6 +343,6 @@ QUERIES = {
         crawl_frontier, crawl_reach, crawl_budget,
         tag_index, tag_lookup, links_dim, tags_dim, link_tag_junction, cascade_delete, tag_search,
         queue_pull, queue_peek, queue_push_json, set_push, snapshot_roundtrip, crawl_rates,
-        stream_seen_links, stream_doc_tags, stream_link_tags,
+        stream_seen_links, stream_validation, stream_doc_tags, stream_link_tags,
     )
 }

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom import schemas
-from linkloom.operators import index, tags
+from linkloom.operators import dedup, index, tags
 from linkloom.operators.dedup import first_seen
 from linkloom.session import written
 from linkloom.sources.tables import exclude_stored, store, stored
 from linkloom.streaming.drivers import BatchHandler
 
+PRELOAD = -1
+
 # ---- links seen so far -------------------------------------------------------
 
 
@@ -30,6 +33,46 @@ def remember_links(state: str, links: DataFrame, batch_id: int) -> None:
     store(exclude_stored(firsts, known, "url"), f"{state}/seen_links", batch_id)
 
 
+def preload_links(state: str, links: DataFrame) -> None:
+    """Let stored links count as seen from the start: a batch before the first."""
+    remember_links(state, links, PRELOAD)
+
+
+# ---- validation --------------------------------------------------------------
+
+_URL = T.StructType([T.StructField("url", T.StringType())])
+_HASH = T.StructType([T.StructField("text_hash", T.StringType())])
+_PASSED = T.StructType([T.StructField("seq", T.LongType()), *_URL.fields, *_HASH.fields])
+
+
+def preload_validation(state: str, links: DataFrame, hashes: DataFrame) -> None:
+    """Start with stored ``links(url)`` and ``hashes(text_hash)`` as seen."""
+    store(links.select("url").distinct(), f"{state}/urls", PRELOAD)
+    store(hashes.select("text_hash").distinct(), f"{state}/hashes", PRELOAD)
+
+
+def validate_rows(state: str, rows: DataFrame, batch_id: int) -> None:
+    """Keep the rows ``(seq, url, text_hash)`` of a batch that pass every stage.
+
+    What an earlier batch let through a stage is seen in that stage.
+    """
+    spark = rows.sparkSession
+    batch = written(rows.select("seq", "url", "text_hash"), "rows")
+
+    def before(name: str, schema: T.StructType, key: str) -> DataFrame:
+        known = stored(spark, f"{state}/{name}", schema).where(F.col("batch_id") < batch_id)
+        return known.join(batch.select(key), key, "left_semi")
+
+    stages = dedup.validate(batch, before("urls", _URL, "url"), before("hashes", _HASH, "text_hash"))
+    store(stages.new_link.select("url"), f"{state}/urls", batch_id)
+    store(stages.new_text.select("text_hash"), f"{state}/hashes", batch_id)
+    store(stages.passed, f"{state}/passed", batch_id)
+
+
+def validated(spark: SparkSession, state: str) -> DataFrame:
+    return stored(spark, f"{state}/passed", _PASSED)
+
+
 # ---- tags in arrival order ---------------------------------------------------
 
 

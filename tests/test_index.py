@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from linkloom.session import scratch_path
 from linkloom.sources import exchange, snapshot
 from linkloom.sources.tables import create_if_absent, stored
 from linkloom.streaming import drivers, handlers
+from linkloom.streaming.progress import Rates
 
 ROWS = [
     (1, "http://a/", 1, "x"), (1, "http://a/", 2, "y"), (1, "http://a/", 3, "z"),
@@ -160,11 +162,18 @@ def test_streams_drain_files_in_batches(spark):
 
 def test_follow_picks_up_files(spark):
     source, state = scratch_path(spark, "in"), scratch_path(spark, "state")
+    rates = Rates()
+    spark.streams.addListener(rates)
     tagged(spark).write.parquet(source)
     stream = drivers.file_stream(spark, source, schemas.LINK_TAGS)
     query = drivers.follow(stream, handlers.on(handlers.upsert_link_tags, state), f"{state}/progress", "1 second")
     try:
         query.processAllAvailable()
+        deadline = time.time() + 20
+        while not any(rates.rates().values()) and time.time() < deadline:
+            time.sleep(0.2)
     finally:
         query.stop()
+        spark.streams.removeListener(rates)
+    assert list(rates.rates().values())[0] > 0
     assert handlers.star(spark, state).junction.agg(F.count("*")).first()[0] == len(model(ROWS)[2])

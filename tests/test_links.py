@@ -100,6 +100,28 @@ def test_validation_report(spark):
     assert {r.seq: r.failed_stage for r in alone.collect()} == report_model(rows, [], [], [])
 
 
+def test_validation_by_micro_batches(spark):
+    rng = random.Random(4)
+    rows = [(i, f"u{rng.randint(0, 60)}", f"h{rng.randint(0, 40)}") for i in range(200)]
+    state = scratch_path(spark, "validation")
+    links = spark.createDataFrame([("u1",), ("u2",)], "url string")
+    hashes = spark.createDataFrame([("h3",)], "text_hash string")
+    handlers.preload_validation(state, links, hashes)
+    cuts = [0, 50, 51, 200]
+    for batch_id, (a, b) in [*enumerate(zip(cuts, cuts[1:])), (1, (50, 51))]:
+        batch = spark.createDataFrame(rows[a:b], "seq bigint, url string, text_hash string")
+        handlers.validate_rows(state, batch, batch_id)
+    model = report_model(rows, ["u1", "u2"], ["h3"], [])
+    assert {r.seq for r in handlers.validated(spark, state).collect()} == {s for s, f in model.items() if f is None}
+
+
+def test_preloaded_links_are_seen(spark):
+    state = scratch_path(spark, "preload")
+    handlers.preload_links(state, spark.createDataFrame([(0, 0, "http://old/")], LINKS))
+    handlers.remember_links(state, spark.createDataFrame([(1, 0, "http://old/"), (1, 1, "http://new/")], LINKS), 0)
+    assert {r.url for r in handlers.seen_links(spark, state).where("batch_id >= 0").collect()} == {"http://new/"}
+
+
 def test_text_dedup(spark):
     df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y")], "seq bigint, text string")
     assert sorted(r.seq for r in dedup.new_texts(df).collect()) == [1, 2]

@@ -109,7 +109,7 @@ def test_corpus_scores_are_queries_on_final_stats(spark, rows, expected):
     docs = frame(spark, rows)
     want = {(s, t): v for s, _, text in rows if text for t, v in model.score(text, update=False).items()}
     by_corpus = tags.corpus_scores(tags.term_table(docs))
-    by_query = tags.query_scores(docs, tags.term_stats(docs), tags.doc_count(docs).scalar())
+    by_query = tags.query_scores(tags.term_table(docs), tags.term_stats(docs), tags.doc_count(docs).scalar())
     for df in (by_corpus, by_query):
         got = {(r.seq, r.term): r.score for r in df.collect()}
         assert got.keys() == want.keys()
@@ -119,7 +119,7 @@ def test_corpus_scores_are_queries_on_final_stats(spark, rows, expected):
 def test_unseen_query_term_counts_zero(spark):
     docs = frame(spark, [(1, "a", "apple apple"), (2, "b", "pear")])
     asked = frame(spark, [(9, "q", "plum apple")])
-    got = tags.query_scores(asked, tags.term_stats(docs), tags.doc_count(docs).scalar())
+    got = tags.query_scores(tags.term_table(asked), tags.term_stats(docs), tags.doc_count(docs).scalar())
     got = {r.term: r.score for r in got.collect()}
     assert got["plum"] == pytest.approx(0.5 * (math.log(3 / 1) + 1))
     assert got["apple"] == pytest.approx(0.5 * (math.log(3 / 3) + 1))
