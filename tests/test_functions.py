@@ -37,6 +37,8 @@ class Walker(HTMLParser):
     def handle_comment(self, data):
         self.nodes.append("")
 
+    handle_pi = handle_decl = unknown_decl = handle_comment
+
     def handle_data(self, data):
         if not self.raw:
             self.nodes[-1] += data
@@ -173,3 +175,26 @@ def test_round_half_even(spark):
     values = [0.125, 0.375, 2.5, 1.005, -0.125, 7.0]
     got = evaluate(spark, [(v,) for v in values], ["v"], text.round_half_even(F.col("v"), 2))
     assert [g[0] for g in got] == [round(v * 100) / 100 for v in values]
+
+
+def test_given_pages_match_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.select("html", html.page_text(F.col("html")).alias("shown"), html.page_hrefs(F.col("html")).alias("hrefs"))
+    for row in rows.collect():
+        assert (row.shown, row.hrefs) == Walker.run(row.html)
+
+
+PIECES = [
+    "<p>", "</p>", "<b>", "text", "a < b", " & ", "&amp;", "<a href='x'>", '<a href="y">', "</a>", "<a href=z>", "<a>",
+    "<!-- c -->", "<br/>", "<script>v='<p>'</script>", "<style>s</style>", "<div class='a>b'>", "\n", " ",
+    '<a title="q>r" href=/s>', "<a href>", "<A HREF = /u>", "it's", '"q"', "<!DOCTYPE html>", "<?pi x?>", "</ x>", "<1>",
+    "<>", "='", "<img src=a'b>", "<a\thref=t\n>", "&#65;", "&bogus", "<a/href=v>", "<p a=b=c>", "<td x = 'y' z>", "1>2",
+]
+
+
+def test_random_markup_matches_parser(spark):
+    rng = random.Random(12)
+    pages = ["".join(rng.choices(PIECES, k=rng.randint(1, 9))) for _ in range(2000)]
+    got = evaluate(spark, [(p,) for p in pages], ["html"], html.page_text(F.col("html")), html.page_hrefs(F.col("html")))
+    for page_html, row in zip(pages, got):
+        assert row == Walker.run(page_html), page_html
