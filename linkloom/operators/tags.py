@@ -94,11 +94,8 @@ def table_stats(terms: DataFrame) -> DataFrame:
     return terms.select(F.inline("terms")).groupBy("term").agg(F.sum("tf").alias("cf"))
 
 
-def _counted_before(terms: DataFrame, rows: DataFrame, one_block: bool, stored_stats: DataFrame | None):
+def _counted_before(rows: DataFrame, one_block: bool, stored_stats: DataFrame | None):
     """``(term, block, prior)``: occurrences before the block, or None if there are none."""
-    if stored_stats is not None:
-        # Narrowed to the terms at hand; measured size decides what is broadcast.
-        stored_stats = stored_stats.join(table_stats(terms).select("term"), "term", "left_semi")
     if one_block:
         first = F.lit(0).cast("bigint").alias("block")
         return None if stored_stats is None else stored_stats.select("term", first, F.col("cf").alias("prior"))
@@ -120,14 +117,15 @@ def arrival_counts(
 ) -> DataFrame:
     """``(seq, term, pos, tf, len, n, cf)`` with N and cf as of each document.
 
-    ``stored_stats`` and ``stored_docs`` hold what was counted before.
+    ``stored_stats`` and ``stored_docs`` hold what was counted before; narrow
+    the former to the terms of the table.
     """
     numbers = numbered(terms.select("seq"), ["seq"], "n")
     block = F.floor((F.col("n") - 1) / block_docs).alias("block")
     rows = terms.join(numbers, "seq").select("seq", "len", "n", block, F.inline("terms"))
     in_block = Window.partitionBy("term", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.withColumn("cf", F.sum("tf").over(in_block))
-    prior = _counted_before(terms, rows, terms.count() <= block_docs, stored_stats)
+    prior = _counted_before(rows, terms.count() <= block_docs, stored_stats)
     if prior is not None:
         counts = counts.join(prior, ["term", "block"], "left").withColumn("cf", F.col("cf") + F.coalesce("prior", F.lit(0)))
     return counts.select("seq", "term", "pos", "tf", "len", (F.col("n") + stored_docs).alias("n"), "cf")

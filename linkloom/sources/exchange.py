@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from linkloom.operators.ordering import first_in_order
 from linkloom.session import written
-from linkloom.sources.tables import exclude_stored, store, stored
+from linkloom.sources.tables import exclude_stored, store, stored, versions_below
 
 
 class Pulled(NamedTuple):
@@ -55,7 +55,7 @@ def push_set(df: DataFrame, path: str, batch_id: int) -> None:
     schema = T.StructType([T.StructField("value", T.StringType())])
     spark = df.sparkSession
     values = written(df.select("value").distinct(), "values")
-    known = stored(spark, f"{path}/set", schema).where(F.col("batch_id") < batch_id)
+    known = versions_below(spark, f"{path}/set", schema, batch_id)
     store(exclude_stored(values, known, "value"), f"{path}/set", batch_id)
 
 

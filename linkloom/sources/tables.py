@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_FOLD = T.StructType([T.StructField("complete", T.BooleanType())])
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan with too few partitions to fill the cluster one per core.
 
@@ -43,6 +48,38 @@ def store(df: DataFrame, path: str, version_id: int, version: str = "batch_id")
     df.write.mode("overwrite").parquet(f"{path}/{version}={version_id}")
 
 
+def _newest_fold(spark: SparkSession, path: str, below: int) -> int | None:
+    folds = stored(spark, f"{path}_folds", _FOLD, "upto")
+    return folds.where(F.col("upto") < below).agg(F.max("upto")).first()[0]
+
+
+def versions_below(spark: SparkSession, path: str, schema: T.StructType, below: int) -> DataFrame:
+    """All rows of versions below ``below``: the newest fold and the versions since."""
+    base = _newest_fold(spark, path, below)
+    rows = stored(spark, path, schema).where(F.col("batch_id") < below)
+    if base is None:
+        return rows.select(*schema.names)
+    folded = stored(spark, f"{path}_folded", schema, "upto").where(F.col("upto") == base)
+    since = rows.where(F.col("batch_id") > base)
+    return folded.select(*schema.names).unionByName(since.select(*schema.names))
+
+
+def fold(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    upto: int,
+    combine: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
+    """Rewrite the versions up to ``upto`` as one, so later reads open few files.
+
+    The mark that makes readers use it comes last. The versions stay in place:
+    batches replayed below the fold still read them.
+    """
+    store(combine(versions_below(spark, path, schema, upto + 1)), f"{path}_folded", upto, "upto")
+    store(spark.createDataFrame([(True,)], _FOLD), f"{path}_folds", upto, "upto")
+
+
 def create_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Set up an empty versioned table unless one is there."""
     if stored(spark, path, schema).isEmpty():

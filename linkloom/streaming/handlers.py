@@ -14,7 +14,7 @@ from linkloom import schemas
 from linkloom.operators import dedup, index, tags
 from linkloom.operators.dedup import first_seen
 from linkloom.session import written
-from linkloom.sources.tables import exclude_stored, store, stored
+from linkloom.sources.tables import exclude_stored, fold, store, stored, versions_below
 from linkloom.streaming.drivers import BatchHandler
 
 PRELOAD = -1
@@ -29,7 +29,7 @@ def seen_links(spark: SparkSession, state: str) -> DataFrame:
 def remember_links(state: str, links: DataFrame, batch_id: int) -> None:
     """Store the links ``(seq, pos, url)`` of a batch that no earlier batch had."""
     firsts = written(first_seen(links, "url", ["seq", "pos"]).select("seq", "pos", "url"), "links")
-    known = seen_links(links.sparkSession, state).where(F.col("batch_id") < batch_id)
+    known = versions_below(links.sparkSession, f"{state}/seen_links", schemas.SEEN_LINKS, batch_id)
     store(exclude_stored(firsts, known, "url"), f"{state}/seen_links", batch_id)
 
 
@@ -60,7 +60,7 @@ def validate_rows(state: str, rows: DataFrame, batch_id: int) -> None:
     batch = written(rows.select("seq", "url", "text_hash"), "rows")
 
     def before(name: str, schema: T.StructType, key: str) -> DataFrame:
-        known = stored(spark, f"{state}/{name}", schema).where(F.col("batch_id") < batch_id)
+        known = versions_below(spark, f"{state}/{name}", schema, batch_id)
         return known.join(batch.select(key), key, "left_semi")
 
     stages = dedup.validate(batch, before("urls", _URL, "url"), before("hashes", _HASH, "text_hash"))
@@ -76,32 +76,19 @@ def validated(spark: SparkSession, state: str) -> DataFrame:
 # ---- tags in arrival order ---------------------------------------------------
 
 
-def corpus_before(spark: SparkSession, state: str, batch_id: int) -> tuple[DataFrame, int]:
-    """Term counts and document count of all batches below ``batch_id``.
+def _sum_terms(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("cf").alias("cf"))
 
-    They are the newest fold below it plus the deltas since.
-    """
-    folds = stored(spark, f"{state}/corpus_folds", schemas.CORPUS_STATS, "upto").where(F.col("upto") < batch_id)
-    fold = folds.agg(F.max("upto")).first()[0]
-    base = -1 if fold is None else fold
 
-    def since(name, schema):
-        return stored(spark, f"{state}/{name}", schema).where(F.col("batch_id").between(base + 1, batch_id - 1))
+def _sum_docs(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.sum("doc_count").alias("doc_count"))
 
-    folded_terms = stored(spark, f"{state}/term_folds", schemas.TERM_STATS, "upto").where(F.col("upto") == base)
-    terms = folded_terms.select("term", "cf").unionByName(since("term_stats", schemas.TERM_STATS).select("term", "cf"))
-    counts = folds.where(F.col("upto") == base).select("doc_count").unionByName(
-        since("corpus_stats", schemas.CORPUS_STATS).select("doc_count")
-    )
-    total = counts.agg(F.sum("doc_count")).first()[0] or 0
-    return terms.groupBy("term").agg(F.sum("cf").alias("cf")), total
 
-
-def fold_corpus(spark: SparkSession, state: str, upto: int) -> None:
-    """Sum the deltas of all batches up to ``upto``, so later batches read one version."""
-    terms, total = corpus_before(spark, state, upto + 1)
-    store(terms, f"{state}/term_folds", upto, "upto")
-    store(spark.createDataFrame([(total,)], schemas.CORPUS_STATS), f"{state}/corpus_folds", upto, "upto")
+def corpus_before(spark: SparkSession, state: str, batch_id: int) -> tuple[DataFrame, int]:
+    """Term counts and document count of all batches below ``batch_id``."""
+    terms = versions_below(spark, f"{state}/term_stats", schemas.TERM_STATS, batch_id)
+    docs = versions_below(spark, f"{state}/corpus_stats", schemas.CORPUS_STATS, batch_id)
+    return _sum_terms(terms), _sum_docs(docs).first()[0] or 0
 
 
 def link_tags(spark: SparkSession, state: str) -> DataFrame:
@@ -113,12 +100,16 @@ def tag_documents(state: str, docs: DataFrame, batch_id: int, count: int = 5) ->
 
     Every ``seq`` must be above those of earlier batches.
     """
-    stats, total = corpus_before(docs.sparkSession, state, batch_id)
+    spark = docs.sparkSession
     terms = tags.term_table(docs)
-    scores = tags.arrival_scores(terms, stored_stats=stats, stored_docs=total)
-    store(tags.link_tags(terms, tags.top_terms(scores, count)), f"{state}/link_tags", batch_id)
     store(tags.table_stats(terms), f"{state}/term_stats", batch_id)
     store(terms.agg(F.count("*").alias("doc_count")), f"{state}/corpus_stats", batch_id)
+    stats, total = corpus_before(spark, state, batch_id)
+    own = stored(spark, f"{state}/term_stats", schemas.TERM_STATS).where(F.col("batch_id") == batch_id)
+    # The filter reaches the scans of the stored counts, below their sum.
+    known = stats.join(own.select("term"), "term", "left_semi")
+    scores = tags.arrival_scores(terms, stored_stats=known, stored_docs=total)
+    store(tags.link_tags(terms, tags.top_terms(scores, count)), f"{state}/link_tags", batch_id)
 
 
 # ---- link, tag and junction tables -------------------------------------------
@@ -141,19 +132,39 @@ def upsert_link_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
         """Insert new values; return the ids of all values in the batch."""
         path = f"{state}/{table}"
         values = written(index.first_values(rows, column), column)
-        known = stored(spark, path, schema).where(F.col("batch_id") < batch_id)
+        known = versions_below(spark, path, schema, batch_id)
         last = known.agg(F.max("id")).first()[0] or 0
         store(index.with_ids(exclude_stored(values, known, column), column, last), path, batch_id)
-        ids = stored(spark, path, schema).where(F.col("batch_id") <= batch_id)
+        ids = versions_below(spark, path, schema, batch_id + 1)
         return ids.join(values.select(column), column, "left_semi")
 
     links = add("links", "link", schemas.LINKS)
     tag_ids = add("tags", "tag", schemas.TAGS)
     pairs = written(index.junction_rows(rows, links, tag_ids), "junction")
-    known = stored(spark, f"{state}/junction", schemas.JUNCTION).where(F.col("batch_id") < batch_id)
+    known = versions_below(spark, f"{state}/junction", schemas.JUNCTION, batch_id)
     store(exclude_stored(pairs, known, ["link_id", "tag_id"]), f"{state}/junction", batch_id)
 
 
+# ---- upkeep ------------------------------------------------------------------
+
+
+def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
+    """Fold the named state tables, between batches."""
+    tables = {
+        "seen_links": (schemas.SEEN_LINKS, lambda rows: rows),
+        "urls": (_URL, lambda rows: rows),
+        "hashes": (_HASH, lambda rows: rows),
+        "term_stats": (schemas.TERM_STATS, _sum_terms),
+        "corpus_stats": (schemas.CORPUS_STATS, _sum_docs),
+        "links": (schemas.LINKS, lambda rows: rows),
+        "tags": (schemas.TAGS, lambda rows: rows),
+        "junction": (schemas.JUNCTION, lambda rows: rows),
+    }
+    for name in names:
+        schema, combine = tables[name]
+        fold(spark, f"{state}/{name}", schema, upto, combine)
+
+
 def on(handler, state: str, prepare=lambda batch: batch) -> BatchHandler:
     """A ``foreachBatch`` function that applies ``handler`` to a prepared batch."""
     return lambda batch, batch_id: handler(state, prepare(batch), batch_id)

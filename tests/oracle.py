@@ -13,6 +13,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+SAME_TYPE = {"int": "integer", "string": "varchar", "timestamp_ntz": "timestamp"}
+
+
 def connect(folder):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
@@ -26,7 +29,7 @@ def canonical(columns, rows):
 
     def cell(value):
         if isinstance(value, float):
-            return "nan" if math.isnan(value) else repr(round(value, 9) + 0.0)
+            return "nan" if math.isnan(value) else repr(value + 0.0)
         return str(value)
 
     return sorted(columns), sorted(tuple(cell(row[i]) for i in order) for row in rows)
@@ -39,6 +42,10 @@ def difference(df, db, sql):
     want_columns, want = canonical([d[0] for d in relation.description], relation.fetchall())
     if columns != want_columns:
         return f"columns {columns} != {want_columns}"
+    types = {name: SAME_TYPE.get(kind, kind) for name, kind in df.dtypes}
+    want_types = {d[0]: str(d[1]).lower() for d in relation.description}
+    if types != want_types:
+        return f"types {types} != {want_types}"
     if rows != want:
         extra, missing = sorted(set(rows) - set(want))[:2], sorted(set(want) - set(rows))[:2]
         return f"{len(rows)} rows != {len(want)}; extra {extra}; missing {missing}"[:1500]

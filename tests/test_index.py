@@ -54,6 +54,7 @@ def test_star_by_micro_batches(spark):
     for batch_id, part in enumerate(parts):
         handlers.upsert_link_tags(state, tagged(spark, part), batch_id)
     assert dump(handlers.star(spark, state)) == model(ROWS)
+    handlers.fold_state(spark, state, 1, "links", "tags", "junction")
     handlers.upsert_link_tags(state, tagged(spark, parts[2]), 2)
     handlers.upsert_link_tags(state, tagged(spark, ROWS[:5]), 3)
     assert dump(handlers.star(spark, state)) == model(ROWS)

@@ -50,6 +50,8 @@ def test_stream_of_links_matches_batch(spark):
     batches = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
     for batch_id, batch in enumerate(batches):
         handlers.remember_links(state, spark.createDataFrame(batch, LINKS), batch_id)
+        if batch_id == 1:
+            handlers.fold_state(spark, state, 1, "seen_links")
     handlers.remember_links(state, spark.createDataFrame(batches[1], LINKS), 1)
     got = handlers.seen_links(spark, state).collect()
     assert {r.url: (r.seq, r.pos) for r in got} == firsts_of(rows) and len(got) == len(firsts_of(rows))

@@ -153,10 +153,10 @@ def test_folded_statistics_replace_deltas(spark, rows, expected):
     state = scratch_path(spark, "fold")
     handlers.tag_documents(state, frame(spark, rows[:20]), 0)
     handlers.tag_documents(state, frame(spark, rows[20:30]), 1)
-    handlers.fold_corpus(spark, state, 1)
+    handlers.fold_state(spark, state, 1, "term_stats", "corpus_stats")
     handlers.tag_documents(state, frame(spark, rows[30:]), 2)
     handlers.tag_documents(state, frame(spark, rows[20:30]), 1)  # replay below the fold
-    handlers.fold_corpus(spark, state, 2)
+    handlers.fold_state(spark, state, 2, "term_stats", "corpus_stats")
     assert stream_lists(spark, state, rows) == want
     terms, total = handlers.corpus_before(spark, state, 3)
     assert total == model.docs and {r.term: r.cf for r in terms.collect()} == model.cf
