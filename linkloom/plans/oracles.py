@@ -24,7 +24,8 @@ def _shown(html: str) -> str:
     bare = rf"regexp_replace({html}, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '<br>', 'g')"
     node = "node"
     for name, value in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        node = f"replace({node}, '&{name};', '{value}')"
+        # These names also count without the semicolon, as where a title was cut.
+        node = f"regexp_replace({node}, '&{name};?', '{value}', 'g')"
     nodes = f"list_transform(regexp_split_to_array({bare}, '<[^>]*>'), lambda node: trim({node}, e' \\t\\n\\r'))"
     return f"array_to_string(list_filter({nodes}, lambda node: node <> ''), ' ')"
 
