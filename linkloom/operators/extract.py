@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import html, text, urls
-
-
-def with_once(df: DataFrame, name: str, column: Column) -> DataFrame:
-    """Add an expensive column that later filters and projections reuse.
-
-    A plain projection would be merged into each of them and computed anew, or
-    pushed below a repartition. A generator is not moved or repeated.
-    """
-    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+from linkloom.sources.tables import with_once
 
 
 def link_text(pages: DataFrame, body_only: bool = False) -> DataFrame:

@@ -41,7 +41,8 @@ def crawl_rates(opened: DataFrame, gathered: DataFrame, period: str = "hour") ->
     )
     in_day = Window.partitionBy("day").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("period") + F.expr(f"interval 1 {period}")
-    elapsed = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / F.lit(1e6)
+    # Through an interval, which does not depend on the session's time zone.
+    elapsed = (end - F.col("start")).cast("interval second").cast("decimal(38,6)").cast("double")
     running = per_period.select(
         "day", "period", F.sum("viewed").over(in_day).alias("viewed"), F.sum("found").over(in_day).alias("found")
     ).join(days, "day")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from linkloom.operators.ordering import first_in_order
 from linkloom.session import written
-from linkloom.sources.tables import exclude_stored, store, stored, versions_below
+from linkloom.sources.tables import exclude_stored, store, stored, versions_below, with_once
 
 
 class Pulled(NamedTuple):
@@ -23,10 +23,30 @@ def encode(df: DataFrame, columns: list[str], order: str = "seq") -> DataFrame:
     return df.select(F.col(order).alias("seq"), F.to_json(F.struct(*columns)).alias("value"))
 
 
+def encode_tuple(df: DataFrame, columns: list[str], order: str = "seq") -> DataFrame:
+    """Like ``encode``, as a JSON array of the values in column order."""
+
+    def element(name: str):
+        listed = F.to_json(F.array(name), {"ignoreNullFields": "false"})
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    body = F.concat_ws(",", *[element(name) for name in columns])
+    return df.select(F.col(order).alias("seq"), F.concat(F.lit("["), body, F.lit("]")).alias("value"))
+
+
 def decode(queue: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Typed records of the rows that hold valid JSON; the others are skipped."""
-    valid = queue.where(F.try_parse_json("value").isNotNull())
-    return valid.select("seq", F.from_json("value", schema).alias("record")).select("seq", "record.*")
+    """Typed records of the rows that hold valid JSON; the others are skipped.
+
+    A field is taken by name from an object and by place from an array.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = with_once(queue.select("seq", "value"), "_json", F.try_parse_json("value")).where(F.col("_json").isNotNull())
+
+    def field(place: int, name: str, kind: T.DataType):
+        by_name, by_place = (F.try_variant_get("_json", path, kind.simpleString()) for path in (f"$.{name}", f"$[{place}]"))
+        return F.coalesce(by_name, by_place).alias(name)
+
+    return parsed.select("seq", *[field(i, f.name, f.dataType) for i, f in enumerate(schema.fields)])
 
 
 def peek(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> DataFrame:
@@ -36,13 +56,18 @@ def peek(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> DataF
 
 
 def pull(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> Pulled:
-    """Like ``peek``, and what remains: undecodable rows before the cut are gone too."""
+    """Like ``peek``, and what remains.
+
+    Undecodable rows before the cut are gone too, and a pull that finds fewer
+    than ``limit`` records has used up the queue.
+    """
     taken = peek(queue, schema, limit)
     if limit == -1:
         return Pulled(taken, queue.limit(0))
-    last = taken.agg(F.max("seq")).scalar()
-    decodable_left = F.coalesce(F.col("seq") > last, F.lit(False))
-    return Pulled(taken, queue.where(decodable_left))
+    if limit == 0:
+        return Pulled(taken, queue)
+    last = taken.agg(F.when(F.count("*") >= limit, F.max("seq"))).scalar()
+    return Pulled(taken, queue.where(F.col("seq") > last))
 
 
 def push_list(df: DataFrame, path: str, batch_id: int, limit: int = -1) -> None:

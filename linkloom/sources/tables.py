@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def with_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections reuse.
+
+    A plain projection would be merged into each of them and computed anew, or
+    pushed below a repartition. A generator is not moved or repeated.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -101,6 +101,10 @@ def test_pull_skips_undecodable_and_leaves_the_rest(spark):
     everything = exchange.pull(queue(spark), "k int")
     assert sorted(r.k for r in everything.taken.collect()) == [1, 2, 4] and everything.rest.isEmpty()
     assert [r.k for r in exchange.peek(queue(spark), "k int", 1).collect()] == [1]
+    short = exchange.pull(queue(spark), "k int", 9)
+    assert short.taken.count() == 3 and short.rest.isEmpty()
+    none = exchange.pull(queue(spark), "k int", 0)
+    assert none.taken.isEmpty() and none.rest.count() == 7
     nothing = exchange.pull(queue(spark).where("seq in (1, 3)"), "k int", 5)
     assert nothing.taken.isEmpty() and nothing.rest.isEmpty()
 
@@ -118,6 +122,16 @@ def test_push_list_set_and_both(spark):
     assert sorted((r.link, r.tags) for r in back.select("link", "tags").collect()) == [("http://é/", ["a", "b"]), ("u", []), ("u", [])]
 
 
+def test_tuples_and_objects_decode_alike(spark):
+    rows = [(1, 'http://é/"q"', ["a", "b\n"]), (2, "u", []), (3, None, None)]
+    pairs = spark.createDataFrame(rows, "seq long, link string, tags array<string>")
+    encoded = exchange.encode_tuple(pairs, ["link", "tags"])
+    assert {r.seq: json.loads(r.value) for r in encoded.collect()} == {s: [l, t] for s, l, t in rows}
+    for queued in (encoded, exchange.encode(pairs, ["link", "tags"])):
+        got = exchange.decode(queued, "link string, tags array<string>").collect()
+        assert sorted((r.seq, r.link, r.tags) for r in got) == rows
+
+
 def test_snapshots(spark):
     path = scratch_path(spark, "snapshot")
     assert snapshot.load(spark, path, tags=schemas.TAGS)["tags"].isEmpty()
