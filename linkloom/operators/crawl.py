@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +54,24 @@ def link_graph(pages: DataFrame) -> DataFrame:
     return written(links.groupBy("src", "url").agg(F.min("pos").alias("pos")), "graph")
 
 
-def reach(graph: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def _deadline(seconds: float | None) -> float:
+    return math.inf if seconds is None else time.monotonic() + seconds
+
+
+def reach(
+    graph: DataFrame, seeds: DataFrame, max_rounds: int | None = None, seconds: float | None = None
+) -> DataFrame:
     """``(url, depth)`` of everything reachable, at its smallest depth.
 
-    Seeds count as seen. Each round is stored as one version and read back, so
+    Seeds count as seen. No round starts after ``max_rounds`` rounds or when
+    ``seconds`` have passed; what was reached until then is whole. Each round is stored as one version and read back, so
     plans stay small and a lost executor costs one round at most.
     """
     spark = graph.sparkSession
     path = scratch_path(spark, "reach")
     store(seeds.select("url").distinct(), path, 0, "depth")
-    depth = 0
-    while max_rounds is None or depth < max_rounds:
+    depth, deadline = 0, _deadline(seconds)
+    while (max_rounds is None or depth < max_rounds) and time.monotonic() < deadline:
         visited = stored(spark, path, _VISITED, "depth")
         frontier = visited.where(F.col("depth") == depth).select(F.col("url").alias("src"))
         if frontier.isEmpty():
@@ -73,30 +82,41 @@ def reach(graph: DataFrame, seeds: DataFrame, max_rounds: int | None = None) ->
     return stored(spark, path, _VISITED, "depth").select("url", F.col("depth").cast("int").alias("depth"))
 
 
-def budgeted(graph: DataFrame, seeds: DataFrame, limit: int, rounds: int) -> DataFrame:
+def budgeted(
+    graph: DataFrame,
+    seeds: DataFrame,
+    limit: int,
+    rounds: int,
+    seconds: float | None = None,
+    seed_is_seen: bool = True,
+) -> DataFrame:
     """``(round, seq, url)``: links pulled when each round takes at most ``limit``.
 
     The queue is first in, first out: what a round finds is appended behind
     what waits, ordered by the page that found it and the place on it. A link
     without a stored page uses its turn and yields nothing. The queue is
     numbered from 1 without gaps, so a round's pull is a range of ``seq``.
+    Without ``seed_is_seen`` a page that links to a seed enqueues it once more.
     """
     spark = graph.sparkSession
     queue_path, pulls_path = scratch_path(spark, "queue"), scratch_path(spark, "pulls")
     first = first_seen(seeds, "url", ["seq"]).withColumnRenamed("seq", "_at")
     store(numbered(first, ["_at"], "seq").select("seq", "url"), queue_path, 0, "round")
-    done = 0
+    done, deadline = 0, _deadline(seconds)
     for turn in range(1, rounds + 1):
-        queue = stored(spark, queue_path, _QUEUED, "round").drop("round")
+        if time.monotonic() >= deadline:
+            break
+        queue = stored(spark, queue_path, _QUEUED, "round")
+        seen = queue if seed_is_seen else queue.where(F.col("round") > 0)
         last = queue.agg(F.max("seq")).first()[0] or 0
         upto = min(done + limit, last)
         if upto == done:
             break
         pulled = queue.where(F.col("seq").between(done + 1, upto))
-        store(pulled, pulls_path, turn, "round")
+        store(pulled.select("seq", "url"), pulls_path, turn, "round")
         sources = pulled.select(F.col("url").alias("src"), F.col("seq").alias("_at"))
         links = graph.join(sources, "src").select("url", F.col("_at").alias("seq"), "pos")
-        fresh = new_links(links, queue).withColumnRenamed("seq", "_at")
+        fresh = new_links(links, seen).withColumnRenamed("seq", "_at")
         store(numbered(fresh, ["_at", "pos"], "seq", last + 1).select("seq", "url"), queue_path, turn, "round")
         done = upto
     pulls = stored(spark, pulls_path, _QUEUED, "round")

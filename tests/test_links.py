@@ -160,6 +160,8 @@ def test_crawl_reaches_everything_linked(spark):
     }
     near = crawl.reach(graph, crawl.seed(spark, "http://s/"), max_rounds=1)
     assert {r.depth for r in near.collect()} == {0, 1}
+    timed = crawl.reach(graph, crawl.seed(spark, "http://s/"), seconds=0)
+    assert [(r.url, r.depth) for r in timed.collect()] == [("http://s/", 0)]
 
 
 def test_one_round(spark):
@@ -171,10 +173,10 @@ def test_one_round(spark):
     assert found == {"http://s/a", "mailto:x@y", "http://s", "http://s/c", "http://s/gone"}
 
 
-def budget_model(seeds, limit, rounds):
+def budget_model(seeds, limit, rounds, seed_is_seen=True):
     from linkloom_model import links_of
 
-    queue, seen, out, at = list(seeds), set(seeds), [], 0
+    queue, seen, out, at = list(seeds), set(seeds if seed_is_seen else []), [], 0
     for turn in range(1, rounds + 1):
         for url in queue[at : at + limit]:
             out.append((turn, at + 1, url))
@@ -189,11 +191,12 @@ def budget_model(seeds, limit, rounds):
 def test_budgeted_crawl_is_first_in_first_out(spark):
     graph = crawl.link_graph(site(spark))
     seeds = crawl.seed(spark, "http://s/", "http://island/")
-    for limit, rounds in ((1, 6), (2, 3), (3, 4)):
-        got = crawl.budgeted(graph, seeds, limit, rounds).collect()
+    for limit, rounds, seen in ((1, 5, True), (2, 3, True), (3, 5, False)):
+        got = crawl.budgeted(graph, seeds, limit, rounds, seed_is_seen=seen).collect()
         assert sorted((r["round"], r.seq, r.url) for r in got) == budget_model(
-            ["http://s/", "http://island/"], limit, rounds
+            ["http://s/", "http://island/"], limit, rounds, seen
         )
+    assert crawl.budgeted(graph, seeds, 2, 3, seconds=0).isEmpty()
 
 
 def test_blank_links_and_status(spark):
