@@ -18,7 +18,6 @@ LOOKUP_TAG = "die"
 SEARCH_TAGS = ["die", "the,"]
 DELETED_TAGS = ["die"]
 QUEUE_LIMIT = 100
-LONGEST_RECORD = 1000
 BUDGET, ROUNDS = 8, 3
 
 # ---- pages -------------------------------------------------------------------
@@ -227,10 +226,10 @@ def tag_search(spark, folder):
 
 
 def _queue(spark, folder) -> DataFrame:
-    """Conversation turns as a queue; records over the size limit arrive cut off."""
+    """Conversation turns as a queue; opening turns arrive as bare text, which is no JSON."""
     turns = ordering.numbered(inputs.messages(spark, folder), ["conv_id", "turn"], "seq")
-    queue = exchange.encode(turns, ["conv_id", "turn", "role", "text"])
-    return queue.withColumn("value", F.substring("value", 1, LONGEST_RECORD))
+    records = exchange.encode(turns.where(F.col("turn") > 0), ["conv_id", "turn", "role", "text"])
+    return records.unionByName(turns.where(F.col("turn") == 0).select("seq", F.col("text").alias("value")))
 
 
 _MESSAGE = "conv_id bigint, turn bigint, role string, text string"
