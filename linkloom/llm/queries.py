@@ -5,11 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import secrets, topk, wordpiece
-from linkloom.llm.common import documents
+from linkloom.llm import langid, secrets, topk, toxicity, wordpiece
+from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
 
+def op2_toxicity(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    lexicon = toxicity.learn(spark, docs, table(spark, folder, "labels"), held_out)
+    scored = toxicity.score(spark, docs, lexicon)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op4_secret_scan(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
     scanned = secrets.find_secrets(spark, docs, secrets.learn(docs))
@@ -36,6 +46,14 @@ def op4_secret_scan(spark, folder):
     )
 
 
+def op6_language_id(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    held_out = remainder("doc_id", 5) == 0
+    models = langid.learn(spark, docs, held_out)
+    found = langid.identify(spark, docs.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_token_counts(spark, folder):
     pieces = wordpiece.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return wordpiece.token_counts(spark, documents(spark, folder, "doc_id", "text"), pieces).drop("text")
@@ -45,4 +63,4 @@ def op9_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op7_token_counts, op9_top_k)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_secret_scan, op6_language_id, op7_token_counts, op9_top_k)}
