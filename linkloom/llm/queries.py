@@ -5,11 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, secrets, topk, toxicity, wordpiece
+from linkloom.llm import bpe, langid, secrets, topk, toxicity, wordpiece
 from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
 
+def op1_bpe(spark, folder):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(spark, documents(spark, folder, "doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(spark, ids, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_sha256("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_toxicity(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
     held_out = remainder("doc_id", 4) == 2
@@ -63,4 +74,4 @@ def op9_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_secret_scan, op6_language_id, op7_token_counts, op9_top_k)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_secret_scan, op6_language_id, op7_token_counts, op9_top_k)}
