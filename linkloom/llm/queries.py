@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, langid, secrets, topk, toxicity, wordpiece
+from linkloom.llm import bpe, langid, lattice, secrets, topk, toxicity, wordpiece
 from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
@@ -70,8 +70,17 @@ def op7_token_counts(spark, folder):
     return wordpiece.token_counts(spark, documents(spark, folder, "doc_id", "text"), pieces).drop("text")
 
 
+def op8_lm_scores(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    scores = lattice.load_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    scored = lattice.score(spark, docs, remainder("doc_id", 10) != 0, scores)
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op9_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_secret_scan, op6_language_id, op7_token_counts, op9_top_k)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_secret_scan, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k)}
