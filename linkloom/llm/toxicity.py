@@ -179,8 +179,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
     taken = F.lit(False)
     for value, n in sorted(sizes.items()):
         taken = taken | ((F.col("label") == value) & (F.col("u") < LEARN_DOCS / n))
-    chosen = marked.join(learned.where(taken).select("_key").distinct(), "_key", "left_semi")
-    sample = usable.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(chosen, "_key")
+    # About twice LEARN_DOCS keys: small enough to broadcast, so that no text is shuffled to meet them.
+    chosen = written(learned.where(taken).select("_key", "label").distinct(), "chosen")
+    sample = usable.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
     sample = written(sample.select("label", "text").repartition(64), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
