@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, langid, lattice, secrets, topk, toxicity, wordpiece
+from linkloom.llm import bpe, langid, lattice, neardup, secrets, topk, toxicity, wordpiece
 from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
@@ -31,6 +31,10 @@ def op2_toxicity(spark, folder):
     )
 
 
+def op3_near_dedup(spark, folder):
+    return neardup.near_duplicates(spark, documents(spark, folder, "doc_id", "text"), shingle=4)
+
+
 def op4_secret_scan(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
     scanned = secrets.find_secrets(spark, docs, secrets.learn(docs))
@@ -83,4 +87,4 @@ def op9_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_secret_scan, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k)}
