@@ -24,11 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, ragged, share
-from linkloom.session import written
+from linkloom.llm.common import bucketed, per_row, ragged, share
 
 #: Characters of text in a block, about; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 24
 #: Rows of ids handed over at a time, and their ids, about.
 OUT_ROWS, OUT_IDS = 2000, 1 << 21
 
@@ -135,13 +134,14 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
     carried: they may repeat or be null. An empty table gives an empty result.
 
     Blocks are written once. Their words are dealt out by hash to ``buckets``
-    (four for each shuffle partition by default): a word, however common, is there at most once a
-    block, so no bucket is hot. What goes back to a block is bounded by its size.
-    The vocabulary is broadcast.
+    (four for each shuffle partition by default): a word, however common, is
+    there at most once a block, so no bucket is hot. What goes back to a block is
+    bounded by its size. The blocks' table is bucketed by block, so the positions,
+    the bulk of it, are joined where they lie. The vocabulary is broadcast.
     """
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = share(spark, (ranks, pattern))
-    blocks = written(_blocks(docs, key, text, pattern, buckets), "blocks")
+    blocks = bucketed(_blocks(docs, key, text, pattern, buckets), "block", buckets, "blocks")
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.bucket", "part.words")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
 
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
     encoded = dealt.mapInArrow(encode_words, "block bigint, bucket int, lengths binary, ids binary")
-    back = encoded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "ids"))).alias("parts"))
+    back = encoded.repartition(buckets, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "ids"))).alias("parts"))
     joined = blocks.select("block", "keys", F.col("lengths").alias("rows"), "stream").join(back, "block", "left")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
