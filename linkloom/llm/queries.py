@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, langid, lattice, neardup, secrets, topk, toxicity, wordpiece
+from linkloom.llm import bpe, decontam, langid, lattice, neardup, secrets, topk, toxicity, wordpiece
 from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
@@ -61,6 +61,12 @@ def op4_secret_scan(spark, folder):
     )
 
 
+def op5_decontamination(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    found = decontam.findings(spark, docs, table(spark, folder, "benchmark"))
+    return decontam.mark(docs, found).select("doc_id", "contaminated", "item_ids", "score")
+
+
 def op6_language_id(spark, folder):
     docs = documents(spark, folder, "doc_id", "text", "lang")
     held_out = remainder("doc_id", 5) == 0
@@ -87,4 +93,4 @@ def op9_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op5_decontamination, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k)}
