@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, decontam, langid, lattice, neardup, secrets, topk, toxicity, wordpiece
+from linkloom.llm import bpe, decontam, langid, lattice, neardup, secrets, suffix, topk, toxicity, wordpiece
 from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
@@ -93,4 +93,17 @@ def op9_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op5_decontamination, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k)}
+def op10_suffix_dedup(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    found = suffix.repeated_passages(spark, docs)
+    by_doc = found.select(F.col("doc").alias("doc_id"), "spans")
+    joined = docs.select("doc_id").join(by_doc, "doc_id", "left")
+    length = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return joined.select(
+        "doc_id",
+        F.coalesce(length, F.lit(0)).cast("bigint").alias("repeated_words"),
+        F.coalesce("spans", F.array().cast("array<struct<start: int, end: int>>")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op5_decontamination, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k, op10_suffix_dedup)}
