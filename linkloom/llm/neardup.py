@@ -274,3 +274,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` of which one a group of near-duplicates stays: that of the smallest key.
+
+    Of rows with the same key, which are one document, one stays (any). Rows without a key stay.
+    """
+    found = near_duplicates(spark, docs, key, text, shingle, similarity).where(F.col(key).isNotNull())
+    marks = written(found.groupBy(key).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 or not kept"), "dropped")
+    changed = written(marks.select(F.col(key).alias("_key"), F.when(F.col("kept"), True).alias("_repeated")), "changed")
+    few = changed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = F.broadcast(changed) if few else changed
+    rest = docs.join(side.select("_key"), docs[key] == F.col("_key"), "left_anti")
+    repeated = changed.where("_repeated")
+    if repeated.isEmpty():
+        return rest
+    rows = docs.join(repeated.select("_key"), docs[key] == F.col("_key"), "left_semi").dropDuplicates([key])
+    return rest.unionByName(rows)

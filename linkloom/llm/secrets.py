@@ -269,3 +269,29 @@ def find_secrets(spark: SparkSession, docs: DataFrame, formats: Formats, text: s
     span = "array<struct<start: int, end: int, kind: string>>"
     scanned = docs.withColumn("_spans", per_row(start, f"base {span}, added {span}")(F.col(text)))
     return scanned.withColumns({"base": F.col("_spans.base"), "added": F.col("_spans.added")}).drop("_spans")
+
+
+def redact(spark: SparkSession, docs: DataFrame, formats: Formats, text: str = "text") -> DataFrame:
+    """``docs`` with ``[kind]`` in place of each secret; texts without one, and nulls, stay as they are.
+
+    Where spans overlap, the whole stretch is replaced under the first one's kind.
+    """
+    shared = share(spark, formats)
+
+    def start():
+        formats = shared()
+
+        def clean(value: str | None) -> str | None:
+            base, added = spans(value, formats)
+            if not base and not added:
+                return value
+            out, at, reach = [], 0, 0
+            for begin, end, kind in sorted(base + added):
+                if begin >= reach:
+                    out += [value[at:begin], f"[{kind}]"]
+                reach = at = max(reach, end)
+            return "".join([*out, value[at:]])
+
+        return lambda texts: pa.array([clean(value) for value in texts.to_pylist()], pa.string())
+
+    return docs.withColumn(text, per_row(start, "string")(F.col(text)))
