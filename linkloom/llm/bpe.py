@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import bucketed, per_row, ragged, share
 
 #: Characters of text in a block, about; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 #: Rows of ids handed over at a time, and their ids, about.
-OUT_ROWS, OUT_IDS = 2000, 1 << 21
+OUT_ROWS, OUT_IDS = 500, 1 << 20
+#: Rows decoded at a time.
+DECODE_ROWS = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -109,7 +111,8 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
 
         for batch in batches:
             key_kind = batch.schema.field("key").type
-            for own, value in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            for own, scalar in zip(batch.column("key").to_pylist(), batch.column("text")):
+                value = scalar.as_py()  # one text at a time
                 n = len(value) if value else 0
                 if size and size + n > BLOCK_CHARS:
                     yield block()
@@ -177,7 +180,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
                 lengths = np.concatenate([_unpack(p["lengths"]) for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
                 ids = np.concatenate([_unpack(p["ids"]) for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int32)
                 table = ragged(lengths, pa.array(ids))
-                stream = _unpack(row.column("stream").to_pylist()[0]).astype(np.int64)
+                stream = _unpack(row.column("stream").to_pylist()[0])
                 ends = np.concatenate([[0], np.cumsum(_unpack(row.column("rows").to_pylist()[0]).astype(np.int64))])
                 keys = row.column("keys").flatten()
                 tokens = np.concatenate([[0], np.cumsum(lengths[stream])])  # before each position
@@ -211,16 +214,19 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int], ids
         tokens = pa.array(shared(), pa.large_binary())
 
         def join(rows: pa.Array) -> pa.Array:
-            lengths = np.diff(rows.offsets.to_numpy()) if len(rows) else np.zeros(0, np.int64)
+            parts = [some(rows.slice(at, DECODE_ROWS)) for at in range(0, len(rows), DECODE_ROWS)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+        def some(rows: pa.Array) -> pa.Array:
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(rows), 0).to_numpy()
             found = tokens.take(rows.flatten())
             if found.null_count:
                 raise ValueError("an id that no token has")
-            ends = np.concatenate([[0], np.cumsum(np.where(rows.is_null().to_numpy(zero_copy_only=False), 0, lengths))])
-            starts = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8) if len(found) else np.zeros(1, np.int64)
-            data = found.buffers()[2] if len(found) else pa.py_buffer(b"")
-            out = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(rows), [None, pa.py_buffer(starts[ends].astype(np.int64).tobytes()), data]
-            ).cast(pa.binary())
+            _, at, data = found.buffers()
+            starts = np.frombuffer(at, np.int64, len(found) + 1, found.offset * 8) if len(found) else np.zeros(1, np.int64)
+            ends = starts[np.concatenate([[0], np.cumsum(lengths)])]
+            offsets = pa.py_buffer(ends.astype(np.int64).tobytes())
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, offsets, data or pa.py_buffer(b"")]).cast(pa.binary())
             return pa.compute.if_else(rows.is_null(), pa.scalar(None, pa.binary()), out) if rows.null_count else out
 
         return join
@@ -233,10 +239,10 @@ def ids_sha256(ids: str | Column) -> Column:
 
     def start():
         def digest(rows: pa.Array) -> pa.Array:
-            values = rows.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            lengths = np.array([0 if v is None else v for v in pa.compute.list_value_length(rows).to_pylist()], np.int64)
+            values = rows.flatten().to_numpy(zero_copy_only=False)
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(rows), 0).to_numpy()
             ends = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-            return pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
+            return pa.array([hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
 
         return digest
 
