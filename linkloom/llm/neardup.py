@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(100 * shared >= similarity * union).select("a", "b").distinct()
+    return both.where(100 * shared >= similarity * union).select("a", "b")
 
 
 def _links_in(sets_a: list[np.ndarray], sets_b: list[np.ndarray], similarity: int) -> np.ndarray:
@@ -241,7 +241,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     pairs = listed.join(leaders, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     sketch = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     likely = pairs.join(sketch("b"), "b").join(sketch("a"), "a").where(_alike("sketch_a", "sketch_b")).select("a", "b")
-    likely = written(likely.distinct(), "pairs")
+    likely = written(likely, "pairs")
 
     # Full sets of the classes that any list holds; the text of any copy will do, that of the node is taken.
     held = listed.join(leaders.select("value"), "value", "left_semi").select(F.col("node").alias("id")).distinct()
