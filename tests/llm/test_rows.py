@@ -1,0 +1,326 @@
+"""Operators that give a row for every row: encoding, toxicity, secrets, language, counts, likelihood."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+from collections import Counter
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from linkloom.llm import bpe, langid, lattice, secrets, toxicity, wordpiece
+from linkloom.llm.common import remainder
+
+EDGES = [
+    (1, "The cat's 12 hats,  two\n\n spaces\t."), (2, ""), (3, None), (None, "no key"), (4, "été 東京 🙂 ſecret x"),
+    (1, "The cat's 12 hats,  two\n\n spaces\t."), (5, " \n "), (6, "ab " * 4000), (7, "x" * 30000),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Nulls, empty, blank, repeated and long rows, and a column that operators might clash with."""
+    return spark.createDataFrame([(k, t, "kept") for k, t in EDGES], "doc_id bigint, text string, score string")
+
+
+@pytest.fixture(scope="module")
+def nothing(edges):
+    return edges.limit(0)
+
+
+def same_rows(rows, names=("doc_id",)):
+    return Counter(tuple(r[n] for n in names) for r in rows) == Counter((k,) for k, _ in EDGES)
+
+
+# ---- byte-level BPE -----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def test_bpe_equals_library(spark, edges, ranks, monkeypatch):
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 60)  # several blocks
+    monkeypatch.setattr(bpe, "OUT_ROWS", 2)
+    encoded = bpe.encode(spark, edges, ranks, public_tokenizers.PATTERN)
+    out = bpe.decode(spark, encoded, ranks).withColumn("sha", bpe.ids_sha256("ids")).collect()
+    want = Counter((k, tuple(library.encode_ordinary(t or ""))) for k, t in EDGES)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == want
+    for r in out:
+        assert bytes(r.decoded) == library.decode_bytes(r.ids)
+        assert r.sha == hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest()
+
+
+def test_bpe_empty_table_and_null_ids(spark, nothing, ranks):
+    assert bpe.encode(spark, nothing, ranks, public_tokenizers.PATTERN).isEmpty()
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [0])], "k int, ids array<int>")
+    got = {r.k: r.decoded for r in bpe.decode(spark, rows, ranks).collect()}
+    first = next(token for token, rank in ranks.items() if rank == 0)
+    assert got[1] is None and bytes(got[2]) == b"" and bytes(got[3]) == first
+
+
+def test_packing_round_trip():
+    import numpy as np
+
+    array = np.array([0, 1, 70000, 2**32 - 1], np.uint32)
+    assert (bpe._unpack(bpe._pack(array)) == array).all() and len(bpe._unpack(bpe._pack(array[:0]))) == 0
+    assert bpe._unpack_words(bpe._pack_words([b"a", b"", b"\n\xff"])) == [b"a", b"", b"\n\xff"]
+
+
+# ---- token counts -------------------------------------------------------------
+
+
+def greedy(word, pieces):
+    """Longest match first, by trying every length."""
+    singles, count, at = {p for p in pieces if len(p) == 1}, 0, 0
+    word = wordpiece.START + word
+    while at < len(word):
+        if word[at] not in singles:
+            count, at = count + len(word[at].encode()), at + 1
+            continue
+        at = next(end for end in range(len(word), at, -1) if word[at:end] in pieces)
+        count += 1
+    return count
+
+
+def test_automaton_equals_greedy_matching():
+    rng = random.Random(5)
+    for _ in range(60):
+        pieces = {wordpiece.START, *"abc"} | {
+            rng.choice(["", wordpiece.START]) + "".join(rng.choices("abc", k=rng.randint(2, 6))) for _ in range(rng.randint(0, 25))
+        }
+        automaton = wordpiece.Automaton(sorted(pieces))
+        for _ in range(60):
+            word = "".join(rng.choices("abcé", [5, 5, 5, 1], k=rng.randint(0, 14)))
+            assert automaton.pieces_in(word.encode()) == greedy(word, pieces), (word, pieces)
+
+
+def test_token_counts_edges(spark, edges, nothing):
+    pieces = wordpiece.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    out = wordpiece.token_counts(spark, edges, pieces)
+    assert out.columns == ["doc_id", "text", "score", "n_words", "n_tokens"]
+    known = set(pieces)
+    for r in out.collect():
+        split = [w.decode() for w in (r.text or "").encode().split()]
+        assert r.n_words == len(split) and r.score == "kept"
+        if len(r.text or "") < 20000:
+            assert r.n_tokens == sum(greedy(w, known) for w in split)
+    assert wordpiece.token_counts(spark, nothing, pieces).isEmpty()
+
+
+# ---- secrets ------------------------------------------------------------------
+
+
+def plain_base(text):
+    """The base spans, as the patterns read."""
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate(secrets.BASE.items()):
+        for m in re.finditer(pattern, text or "", re.ASCII | (re.IGNORECASE if kind == "assign" else 0)):
+            if len(m.group(group)) >= least:
+                found.append((m.start(), rank, m.end(), kind))
+    return [(s, e, kind) for s, _, e, kind in sorted(found)]
+
+
+def test_base_spans():
+    rng = random.Random(2)
+    parts = ["password", "PassWD: ", "token", "=", '"', "secret: token: abcdef", "api-key", "api_key=", "AKIA", "ABCDEFGHIJ0123456789", "0123456789abcdef", " ", "é", "\n", "ſecret=abcdefgh"]
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert secrets.base_spans(text) == plain_base(text), text
+
+
+def test_formats_find_credentials_that_no_base_pattern_names(spark):
+    rng = random.Random(3)
+    words = ["extraordinarily", "international", "responsibility", "characteristic", "understanding", "administration"]
+    rows = []
+    for i in range(600):
+        value = "".join(rng.choices("0123456789abcdef", k=18))
+        plain = " ".join("".join(rng.sample(words, 3))[rng.randrange(9) :] for _ in range(12))
+        rows.append((i, f"{plain} password={value} {plain}"))
+    rows.append((9999, "see 9f3c2a7be01d4458aa in the log, or internationalunderstanding"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    formats = secrets.learn(docs)
+    found = {r.doc_id: r for r in secrets.find_secrets(spark, docs, formats).collect()}
+    assert [tuple(s) for s in found[9999].added] == [(4, 22, "format")] and not found[9999].base
+    assert all(len(found[i].base) == 1 and not found[i].added for i in range(600))
+    clean = {r.doc_id: r.text for r in secrets.redact(spark, docs, formats).collect()}
+    assert clean[9999] == "see [format] in the log, or internationalunderstanding"
+    assert "password" not in clean[0] and "[assign]" in clean[0]
+
+
+def test_secrets_edges(spark, edges, nothing):
+    formats = secrets.learn(edges)
+    out = secrets.find_secrets(spark, edges, formats).collect()
+    assert same_rows(out) and all(r.score == "kept" for r in out)
+    for r in out:
+        assert [tuple(s) for s in r.base] == plain_base(r.text)
+    assert secrets.find_secrets(spark, nothing, secrets.learn(nothing)).isEmpty()
+    assert Counter(r.text for r in secrets.redact(spark, edges, formats).collect()) == Counter(t for _, t in EDGES)
+
+
+def test_automaton_tells_formats_apart():
+    rng = random.Random(1)
+    grammar = secrets.Grammar(["AAAA" + "".join(rng.choices("A0", k=16)) for _ in range(800)])
+    assert grammar.likelihood("AAAA" + "A0" * 8) > grammar.likelihood("zzzzfzzzzfzzzzfzzzzf") + 10
+    assert len(grammar.moves) < 200
+
+
+# ---- toxicity -----------------------------------------------------------------
+
+
+def toxic_data(spark, n=800):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(n):
+        text = [rng.choice("alpha beta gamma delta omega sigma kappa lambda trash".split()[:8]) for _ in range(rng.randint(20, 80))]
+        bad = i % 4 == 0
+        for _ in range(rng.randint(3, 6) if bad else 0):
+            text[rng.randrange(len(text))] = rng.choice(["moron", "moronic", "idiot"])
+        if i % 4 == 1:
+            text[3:5] = ["useful", "idiot"]
+        rows.append((i, " ".join(text), "x"))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    return docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = toxic_data(spark)
+    held = remainder("doc_id", 4) == 2
+    lexicon = toxicity.learn(spark, docs, labels, held)
+    assert any(e.startswith(" moron") for e in lexicon.weights) and "usefui idiot" in lexicon.exceptions
+    scored = toxicity.score(spark, docs.where(held), lexicon).join(labels, "doc_id").collect()
+    right = sum((r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in scored)
+    assert right >= 0.98 * len(scored)
+    clean, hidden = "alpha beta gamma " * 10, "alpha m0r0n beta іdіоt gamma MÖRON delta " * 3
+    assert lexicon.score(hidden) > 0.5 > 0.3 > lexicon.score(clean)
+    assert 0 <= lexicon.score("") == lexicon.score(None) < 0.3
+
+
+def test_toxicity_edges(spark, edges, nothing):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(spark, edges, none, F.lit(False))
+    out = toxicity.score(spark, edges, lexicon).collect()
+    assert same_rows(out) and all(0 <= r.score <= 1 for r in out)
+    odd = spark.createDataFrame([(1, None), (None, 1), (1, 0), (1, 1), (2, 0)], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(spark, edges, odd, F.lit(False))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(spark, edges, lexicon, name="s").select(F.col("s").alias("score")).collect())
+    assert toxicity.score(spark, nothing, lexicon).isEmpty()
+
+
+# ---- language -----------------------------------------------------------------
+
+SAYINGS = {
+    "en": "the quick brown fox jumps over the lazy dog while the other animals watch them with great interest".split(),
+    "de": "der schnelle braune fuchs springt über den faulen hund während die anderen tiere ihnen zuschauen möchten".split(),
+    "fr": "le rapide renard brun saute par dessus le chien paresseux pendant que les autres bêtes les regardent".split(),
+}
+
+
+def test_language_held_out_and_edges(spark, edges):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(SAYINGS[lang], k=rng.randint(5, 40))), lang) for i, lang in enumerate(list(SAYINGS) * 150)]
+    docs = spark.createDataFrame(rows + [(5000, "not labelled", None)], "doc_id bigint, text string, lang string")
+    held = remainder("doc_id", 5) == 0
+    models = langid.learn(spark, docs, held)
+    assert models.languages == ["de", "en", "fr"]
+    out = langid.identify(spark, docs.where(held), models).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.98 * sum(r.lang is not None for r in out)
+    assert all(0 <= r.score <= 1 for r in out)
+    odd = langid.identify(spark, edges, models).collect()
+    assert same_rows(odd)
+    for r in odd:
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    strange = spark.createDataFrame([("東京都は日本の首都です" * 5,)], "text string")
+    assert langid.identify(spark, strange, models).first().rejected
+
+
+def test_language_without_labels(spark, edges, nothing):
+    unlabelled = edges.withColumn("lang", F.lit(None).cast("string"))
+    models = langid.learn(spark, unlabelled, F.lit(False))
+    assert models is None and {r.lang_pred for r in langid.identify(spark, edges, models).collect()} == {"und"}
+    assert langid.identify(spark, nothing, models).isEmpty()
+
+
+def test_kneser_ney_is_a_distribution():
+    import numpy as np
+
+    texts = ["abab abba", "babba ab", "aab"]
+    is_letter = langid._letters()
+    code, _ = langid.codes(texts, is_letter)
+    here = np.arange(langid.ORDER - 1, len(code))[code[langid.ORDER - 1 :] != langid._PAD]
+    rows = np.stack([code[here - k] for k in range(langid.ORDER - 1, -1, -1)], axis=1)
+    kinds, n = np.unique(rows, axis=0, return_counts=True)
+    models = langid.kneser_ney({"x": (kinds, n)})
+    alphabet = [ord(c) for c in "ab "]
+    for context in itertools.product(alphabet, repeat=langid.ORDER - 1):
+        columns = [np.array([c] * 4, np.uint32) for c in context] + [np.array([*alphabet, ord("z")], np.uint32)]
+        assert math.isclose(np.exp2(models.log_probabilities(columns)[:, 0].astype(float)).sum(), 1, rel_tol=1e-4), context
+
+
+# ---- likelihood ---------------------------------------------------------------
+
+
+def every_segmentation(text, weights):
+    if not text:
+        return 1.0
+    total = 0.0
+    for end in range(1, len(text) + 1):
+        if text[:end] in weights:
+            total += math.exp(weights[text[:end]]) * every_segmentation(text[end:], weights)
+    if text[0] not in weights:
+        p = math.exp(sum(weights[f"<0x{b:02X}>"] for b in text[0].encode()))
+        total += p * every_segmentation(text[1:], weights)
+    return total
+
+
+def test_lattice_equals_all_segmentations():
+    rng = random.Random(8)
+    names = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb", *(f"<0x{b:02X}>" for b in range(256))]
+    weights = {n: math.log(rng.random() / 300) for n in names}
+    model = lattice.Lattice(weights)
+    for _ in range(100):
+        text = "▁" + "".join(rng.choices("abé", [4, 4, 1], k=rng.randint(0, 9)))
+        assert math.isclose(model.log_probability(text), math.log(every_segmentation(text, weights)), rel_tol=1e-9)
+        counts = {}
+        model.add_expected(text, 2.0, counts)
+        covered = sum(n * len(p) for p, n in counts.items() if p[:3] != "<0x") + sum(n for p, n in counts.items() if p[:3] == "<0x") / 2
+        assert math.isclose(covered, 2.0 * len(text), rel_tol=1e-6)
+    long = {}
+    model.add_expected("▁" + "ab" * 3000, 1.0, long)  # far below what a double holds
+    assert math.isclose(sum(n * len(p) for p, n in long.items()), 6001, rel_tol=1e-6)
+
+
+def test_base_scores(spark, edges, nothing, monkeypatch):
+    monkeypatch.setattr(lattice, "BLOCK_CHARS", 50)
+    scores = lattice.load_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    learned = remainder("doc_id", 10) != 0
+    out = lattice.score(spark, edges, learned, scores).collect()
+    assert same_rows(out)
+    import zlib
+
+    split = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), lattice.END]
+    train = Counter(w for k, t in EDGES if k is not None and zlib.crc32(str(k).encode()) % 10 for w in split(t))
+    n, v = sum(train.values()), len(train)
+    by = {k: split(t) for k, t in EDGES}
+    for r in out:
+        tokens = by[r.doc_id]
+        want = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(train[w] > 0 for w in tokens), n)
+        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.score < 0
+    assert lattice.score(spark, nothing, learned, scores).isEmpty()
+    unlearned = lattice.score(spark, edges, F.lit(False), scores).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in unlearned)
+
+
+def test_ranks_are_whole(ranks):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        assert len(ranks) == sum(1 for _ in lines) and ranks[base64.b64decode(b"IQ==")] == 0
