@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bucketed, per_row, ragged, share
+from linkloom.llm.common import bucketed, per_row, ragged, share, tidy
 
 #: Characters of text in a block, about; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 23
@@ -96,7 +96,7 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
                 for a, b in zip(cuts, cuts[1:])
             ]
             lengths = np.fromiter(map(len, streams), np.uint32, len(streams))
-            stream = place[np.concatenate([*streams, np.zeros(0, np.uint32)]).astype(np.int64)]
+            stream = place[np.concatenate([*streams, np.zeros(0, np.uint32)])]
             part_kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
             return pa.record_batch(
                 [
@@ -126,7 +126,7 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
             yield block()
 
     schema = f"block bigint, keys array<{kind}>, lengths binary, stream binary, parts array<struct<bucket: int, words: binary>>"
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
             yield pa.record_batch([batch.column("block"), batch.column("bucket"), *sides], names=["block", "bucket", "lengths", "ids"])
 
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
-    encoded = dealt.mapInArrow(encode_words, "block bigint, bucket int, lengths binary, ids binary")
+    encoded = dealt.mapInArrow(tidy(encode_words), "block bigint, bucket int, lengths binary, ids binary")
     back = encoded.repartition(buckets, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "ids"))).alias("parts"))
     joined = blocks.select("block", "keys", F.col("lengths").alias("rows"), "stream").join(back, "block", "left")
 
@@ -194,7 +194,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
                     at = end
 
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return joined.mapInArrow(tidy(assemble), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:

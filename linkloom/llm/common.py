@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +52,18 @@ def share(spark: SparkSession, model) -> Callable:
     return lambda: pickle.loads(shared.value)
 
 
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over batches that gives freed memory back when it ends: workers outlive their tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Memo(dict):
     """``memo[word]`` computes a missing entry once."""
 
@@ -67,12 +81,16 @@ class Memo(dict):
 def per_row(compute: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Callable[..., Column]:
     """An Arrow function of one column whose state is set up once a task."""
 
-    @F.arrow_udf(kind)
-    def apply(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @tidy
+    def steps(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = compute()
         for array in arrays:
             yield run(array)
 
+    @F.arrow_udf(kind)
+    def apply(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return steps(arrays)
+
     return apply
 
 
