@@ -18,7 +18,9 @@ from linkloom.functions.text import strip
 _ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 _COMMENT = r"<!--.*?(?:--\s*>|\z)"
 _RAW = rf"<(script|style)(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
-_HIDDEN = rf"<(template|rt|rp)(?=[\s/>]){_ATTRS}>.*?</\2\s*>"
+# Up to the element's own end, and no further than the next start of its kind: an
+# element without an end costs what stands before the next one, not the whole page.
+_HIDDEN = rf"<(template|rt|rp)(?=[\s/>]){_ATTRS}>(?:[^<]++|<(?!/?\2[\s/>]))*+</\2\s*>"
 _TAG = rf"<[a-z]{_ATTRS}>"
 _OTHER = r"<[/!?][^>]*+>"
 

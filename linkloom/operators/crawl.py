@@ -35,10 +35,11 @@ def expand(frontier: DataFrame, pages: DataFrame, seen: DataFrame) -> Round:
 
     The join comes before the extraction, so only fetched pages are parsed. A
     link is fetched once: of several stored copies the first is taken, picked
-    on the narrow key columns before any HTML is read.
+    on the narrow key columns before any HTML is read, and before the join, so
+    that the copies of a link leave each map task as one row.
     """
-    keys = pages.select("page_id", "url").join(frontier.select("url"), "url", "left_semi")
-    chosen = first_seen(keys, "url", ["page_id"]).select("page_id")
+    firsts = first_seen(pages.select("page_id", "url"), "url", ["page_id"])
+    chosen = firsts.join(frontier.select("url").distinct(), "url", "left_semi").select("page_id")
     fetched = pages.select("page_id", "url", "html").join(chosen, "page_id", "left_semi")
     links = valid_links(page_links(fetched)).select(F.col("page_id").alias("seq"), "pos", "url")
     return Round(link_text(fetched), new_links(links, seen))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import html, text, urls
+from linkloom.session import written
 from linkloom.sources.tables import with_once
 
 
@@ -16,10 +19,25 @@ def link_text(pages: DataFrame, body_only: bool = False) -> DataFrame:
 
 
 def nonempty(pairs: DataFrame) -> DataFrame:
-    """Pairs that have text; the links of pages without it are not followed either."""
+    """Pairs that have text."""
     return pairs.where(F.length("text") > 0)
 
 
+class Readable(NamedTuple):
+    texts: DataFrame
+    links: DataFrame
+
+
+def readable(pages: DataFrame) -> Readable:
+    """Texts ``(seq, link, text)`` and links of the pages that have text; those of other pages are not followed.
+
+    The texts are written, so that the pages are read for them once.
+    """
+    texts = written(nonempty(link_text(pages)), "texts")
+    followed = pages.join(texts.select(F.col("seq").alias("page_id")).distinct(), "page_id", "left_semi")
+    return Readable(texts, page_links(followed))
+
+
 def page_links(pages: DataFrame, on_page: bool = False) -> DataFrame:
     """``(page_id, src_url, pos, href, url)`` per anchor, duplicates kept.
 

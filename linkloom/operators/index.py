@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.dedup import first_seen
 from linkloom.operators.ordering import numbered
-from linkloom.schemas import MAX_LINK, MAX_TAG
 from linkloom.session import written
 
 
@@ -39,13 +38,6 @@ def links_by_tag(index: DataFrame, tag: str) -> DataFrame:
     return index.where(F.col("tag") == tag).select("link", "popularity")
 
 
-def cut(link_tags: DataFrame) -> DataFrame:
-    """Values cut to what the link and tag columns hold."""
-    return link_tags.withColumns(
-        {"link": F.substring("link", 1, MAX_LINK), "tag": F.substring("tag", 1, MAX_TAG)}
-    )
-
-
 def first_values(link_tags: DataFrame, column: str) -> DataFrame:
     """Distinct links or tags with where they came first."""
     return first_seen(link_tags, column, ["seq", "rank"])
@@ -75,7 +67,7 @@ def build_star(link_tags: DataFrame) -> Star:
 
     The tags are written once, as all three tables derive from them.
     """
-    rows = written(cut(link_tags), "link_tags")
+    rows = written(link_tags, "link_tags")
     links = with_ids(first_values(rows, "link"), "link")
     tags = with_ids(first_values(rows, "tag"), "tag")
     return Star(links, tags, junction_rows(rows, links, tags))

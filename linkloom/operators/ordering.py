@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from linkloom.session import written
 
-# Up to here a top-n merge in one task is cheap; beyond it rows are numbered.
-SMALL_LIMIT = 100_000
-
 _SLOT_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
@@ -36,7 +33,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: Column | i
 
 
 def first_in_order(df: DataFrame, order: str, limit: int) -> DataFrame:
-    """The ``limit`` first rows by a unique order column."""
-    if limit <= SMALL_LIMIT:
-        return df.orderBy(order).limit(limit)
-    return numbered(df, [order], "_n").where(F.col("_n") <= limit).drop("_n")
+    """The ``limit`` first rows by a unique order column.
+
+    The cut is found on the order column alone, which is range-sorted and
+    counted by partition; the rows are then filtered where they are.
+    """
+    keys = numbered(df.select(order), [order], "_n").where(F.col("_n") <= limit)
+    return df.where(F.col(order) <= keys.agg(F.max(order)).scalar())

@@ -94,11 +94,8 @@ def table_stats(terms: DataFrame) -> DataFrame:
     return terms.select(F.inline("terms")).groupBy("term").agg(F.sum("tf").alias("cf"))
 
 
-def _counted_before(rows: DataFrame, one_block: bool, stored_stats: DataFrame | None):
-    """``(term, block, prior)``: occurrences before the block, or None if there are none."""
-    if one_block:
-        first = F.lit(0).cast("bigint").alias("block")
-        return None if stored_stats is None else stored_stats.select("term", first, F.col("cf").alias("prior"))
+def _counted_before(rows: DataFrame, stored_stats: DataFrame | None) -> DataFrame:
+    """``(term, block, prior)``: occurrences before the block."""
     # A term has at most documents / block_docs rows here.
     totals = rows.groupBy("term", "block").agg(F.sum("tf").alias("tf"))
     before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,14 +117,14 @@ def arrival_counts(
     ``stored_stats`` and ``stored_docs`` hold what was counted before; narrow
     the former to the terms of the table.
     """
-    numbers = numbered(terms.select("seq"), ["seq"], "n")
+    # The term table itself is sorted and numbered, so no join attaches the numbers.
+    placed = numbered(terms.select("seq", "len", "terms"), ["seq"], "n")
     block = F.floor((F.col("n") - 1) / block_docs).alias("block")
-    rows = terms.join(numbers, "seq").select("seq", "len", "n", block, F.inline("terms"))
+    rows = placed.select("seq", "len", "n", block, F.inline("terms"))
     in_block = Window.partitionBy("term", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.withColumn("cf", F.sum("tf").over(in_block))
-    prior = _counted_before(rows, terms.count() <= block_docs, stored_stats)
-    if prior is not None:
-        counts = counts.join(prior, ["term", "block"], "left").withColumn("cf", F.col("cf") + F.coalesce("prior", F.lit(0)))
+    prior = _counted_before(rows, stored_stats)
+    counts = counts.join(prior, ["term", "block"], "left").withColumn("cf", F.col("cf") + F.coalesce("prior", F.lit(0)))
     return counts.select("seq", "term", "pos", "tf", "len", (F.col("n") + stored_docs).alias("n"), "cf")
 
 
@@ -140,24 +137,30 @@ def arrival_scores(terms: DataFrame, **stored) -> DataFrame:
 def corpus_scores(terms: DataFrame) -> DataFrame:
     """``(seq, term, pos, score)`` on the final statistics of the same corpus.
 
-    The totals have one row per term, so a common term skews one side of the
-    join only, which adaptive execution splits by measured partition size.
+    The totals have one row per term and are written first: both sides of the
+    join are then plain shuffles, and adaptive execution splits a common term.
     """
     rows = terms.select("seq", "len", F.inline("terms"))
     n = terms.agg(F.count("*")).scalar()
-    return rows.join(table_stats(terms), "term").select(
+    return rows.join(written(table_stats(terms), "stats"), "term").select(
         "seq", "term", "pos", _score(F.col("tf"), F.col("len"), n, F.col("cf")).alias("score")
     )
 
 
+def used_stats(stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """The statistics of the terms of a term table; the filter reaches the scan, below any sum."""
+    return stats.join(terms.select(F.inline("terms")).select("term"), "term", "left_semi")
+
+
 def query_scores(queries: DataFrame, stats: DataFrame, docs: Column) -> DataFrame:
     """``(seq, term, pos, score)`` of a term table on frozen statistics, which stay as they are.
 
     Terms never seen count 0. The statistics are first narrowed to the
-    queries' terms; which side is broadcast, if any, is left to measured size.
+    queries' terms and written, so that a common term of the queries can be
+    split; which side is broadcast, if any, is left to measured size.
     """
     rows = queries.select("seq", "len", F.inline("terms"))
-    used = stats.join(rows.select("term"), "term", "left_semi")
+    used = written(used_stats(stats, queries), "stats")
     return rows.join(used, "term", "left").select(
         "seq", "term", "pos", _score(F.col("tf"), F.col("len"), docs, F.coalesce("cf", F.lit(0))).alias("score")
     )

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.extract import link_text, page_links, valid_links
-from linkloom.sources.tables import page_source, spread, table
+from linkloom.sources.tables import dealt, page_source, table
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return page_source(spread(table(spark, folder, "pages"), "page_id"))
+    return page_source(dealt(table(spark, folder, "pages"), "page_id"))
 
 
 def page_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +20,7 @@ def page_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(seq, link, text)`` of the documents, the source standing for the link."""
-    docs = spread(table(spark, folder, "documents"), "doc_id")
+    docs = dealt(table(spark, folder, "documents"), "doc_id")
     return docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("link"), "text")
 
 
@@ -31,7 +31,7 @@ def with_document_link(docs: DataFrame) -> DataFrame:
 
 
 def document_links(spark: SparkSession, folder: str) -> DataFrame:
-    return with_document_link(spread(table(spark, folder, "documents"), "doc_id"))
+    return with_document_link(dealt(table(spark, folder, "documents"), "doc_id"))
 
 
 def labelled_links(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,11 +66,15 @@ _PAGE_TAGS = f"WITH {_PAGE_DOCS}, {_ARRIVAL}"
 
 # links, tags and junction over tagged(seq, link, rank, tag)
 _STAR = f"""{_PAGE_TAGS},
-cut AS (SELECT seq, rank, link[1:2048] AS link, tag[1:64] AS tag FROM tagged),
-links AS (SELECT row_number() OVER (ORDER BY min(seq)) AS id, link FROM cut GROUP BY link),
-tags AS (SELECT row_number() OVER (ORDER BY min(seq * 10 + rank)) AS id, tag FROM cut GROUP BY tag),
+links AS (SELECT row_number() OVER (ORDER BY min(seq)) AS id, link FROM tagged GROUP BY link),
+tags AS (SELECT row_number() OVER (ORDER BY min(seq * 10 + rank)) AS id, tag FROM tagged GROUP BY tag),
 junction AS (
-  SELECT DISTINCT links.id AS link_id, tags.id AS tag_id FROM cut JOIN links USING (link) JOIN tags USING (tag))"""
+  SELECT DISTINCT links.id AS link_id, tags.id AS tag_id FROM tagged JOIN links USING (link) JOIN tags USING (tag))"""
+
+_STAR_ROWS = """
+SELECT 'links' AS part, id, link AS value FROM links
+UNION ALL SELECT 'tags', id, tag FROM tags
+UNION ALL SELECT 'junction', link_id, tag_id::VARCHAR FROM junction"""
 
 _DOCUMENT_LINKS = """
 rows AS (
@@ -78,14 +82,18 @@ rows AS (
   FROM documents)"""
 
 _MESSAGES = "numbered AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, * FROM conversations)"
-# Opening turns are queued as bare text, which cannot be decoded.
-_READABLE = f"{_MESSAGES}, readable AS (SELECT * FROM numbered WHERE turn > 0)"
+# Before each opening turn its bare text is queued, which cannot be decoded.
+_READABLE = f"{_MESSAGES}, readable AS (SELECT * REPLACE (seq * 2 AS seq) FROM numbered)"
 
 _BASE = "http://shop.example"
 
 ORACLES = {
     "page_source": "SELECT page_id, url, html FROM pages",
     "pages_surveyed": "SELECT count(*) AS pages FROM pages",
+    "fetched_pages": "SELECT page_id, 200 AS status FROM pages WHERE page_id % 4 <> 3",
+    "readable_pages": f"""WITH {_LINKS}, {_PAGE_DOCS}
+        SELECT seq, NULL::INT AS pos, text AS value FROM docs WHERE seq % 5 <> 0 AND text <> ''
+        UNION ALL SELECT seq, pos, url FROM link WHERE seq % 5 <> 0""",
     "page_text": f"SELECT page_id, {_shown('html')} AS text FROM pages",
     "page_body_text": f"SELECT page_id, {_shown(_BODY)} AS text FROM pages",
     "link_text": f"WITH {_PAGE_DOCS} SELECT seq, link, text FROM docs",
@@ -93,7 +101,12 @@ ORACLES = {
     "page_origin": f"SELECT page_id, {_ORIGIN} AS origin FROM pages",
     "page_links": f"WITH {_LINKS} SELECT page_id, pos::INT AS pos, replace(href, '&amp;', '&') AS href FROM page_link",
     "resolve_links": f"WITH {_LINKS} SELECT seq AS page_id, pos, url FROM link",
-    "resolve_links_page": f"WITH {_LINKS} SELECT seq AS page_id, pos, url FROM link",
+    "resolve_links_page": rf"""WITH {_LINKS}
+        SELECT page_id, pos::INT AS pos,
+               CASE WHEN href = '/' THEN regexp_replace(src, '#.*', '')
+                    ELSE regexp_extract(src || CASE WHEN src SIMILAR TO '[a-z]+://[^/?#]*' THEN '/' ELSE '' END,
+                                        '^([a-z]+://[^?#]*/)', 1) || replace(href[2:], '&amp;', '&') END AS url
+        FROM page_link""",
     "valid_links": f"WITH {_LINKS} SELECT seq, pos, url FROM link WHERE trim(url) <> ''",
     "tokens": f"SELECT doc_id AS seq, array_to_string({_SPLIT}, ' ') AS words FROM documents",
     "clean_tokens": f"SELECT doc_id AS seq, array_to_string({_KEPT}, ' ') AS words FROM documents",
@@ -137,7 +150,10 @@ ORACLES = {
                     WHEN l.url IN (SELECT url FROM stored) THEN 'stored_link' END AS failed_stage
         FROM by_link l LEFT JOIN by_text t USING (seq)""",
     "crawl_frontier": f"""WITH {_LINKS}, {_FIRSTS}
-        SELECT {_FIRST_COLUMNS} FROM firsts WHERE url NOT IN (SELECT url FROM pages)""",
+        , {_PAGE_DOCS}
+        SELECT seq, pos, url, NULL::VARCHAR AS text FROM (SELECT {_FIRST_COLUMNS} FROM firsts)
+        WHERE url NOT IN (SELECT url FROM pages)
+        UNION ALL SELECT seq, NULL, link, text FROM docs""",
     "crawl_reach": f"""WITH RECURSIVE graph AS (
           SELECT '{_BASE}/region/' || r_regionkey AS src, '{_BASE}/region/' || (r_regionkey + 1) % 5 AS url FROM region
           UNION ALL SELECT '{_BASE}/region/' || n_regionkey, '{_BASE}/nation/' || n_nationkey FROM nation
@@ -167,20 +183,35 @@ ORACLES = {
     "links_dim": f"{_STAR} SELECT id, link FROM links",
     "tags_dim": f"{_STAR} SELECT id, tag FROM tags",
     "link_tag_junction": f"{_STAR} SELECT link_id, tag_id FROM junction",
-    "cascade_delete": f"""{_STAR}
-        SELECT link_id, tag_id FROM junction
-        WHERE tag_id NOT IN (SELECT id FROM tags WHERE tag IN ({_quoted(q.DELETED_TAGS)}))
-          AND link_id NOT IN (SELECT id FROM links WHERE link LIKE 'http://%')""",
-    "tag_search": f"{_STAR} SELECT DISTINCT tag, link FROM cut WHERE tag IN ({_quoted(q.SEARCH_TAGS)})",
+    "cascade_delete": f"""{_STAR.replace("links AS", "all_links AS").replace("JOIN links", "JOIN all_links AS links")
+        .replace("tags AS", "all_tags AS").replace("JOIN tags", "JOIN all_tags AS tags").replace("junction AS", "all_pairs AS")},
+        links AS (SELECT * FROM all_links WHERE link NOT LIKE 'http://%'),
+        tags AS (SELECT * FROM all_tags WHERE tag NOT IN ({_quoted(q.DELETED_TAGS)})),
+        junction AS (
+          SELECT * FROM all_pairs WHERE link_id IN (SELECT id FROM links) AND tag_id IN (SELECT id FROM tags))
+        {_STAR_ROWS}""",
+    "tag_search": f"{_STAR} SELECT DISTINCT tag, link FROM tagged WHERE tag IN ({_quoted(q.SEARCH_TAGS)})",
     "queue_pull": f"""WITH {_READABLE},
         taken AS (SELECT seq FROM readable ORDER BY seq LIMIT {q.QUEUE_LIMIT})
         SELECT seq, 'taken' AS state FROM taken
-        UNION ALL SELECT seq, 'rest' FROM numbered WHERE seq > (SELECT max(seq) FROM taken)""",
-    "queue_peek": f"WITH {_READABLE} SELECT seq, conv_id, turn, role, text FROM readable",
+        UNION ALL SELECT seq, 'rest' FROM readable WHERE seq > (SELECT max(seq) FROM taken)
+        UNION ALL SELECT seq - 1, 'rest' FROM readable WHERE turn = 0 AND seq - 1 > (SELECT max(seq) FROM taken)""",
+    "queue_peek": f"""WITH {_READABLE}
+        SELECT seq, conv_id, turn, role, text FROM readable ORDER BY seq LIMIT {q.QUEUE_LIMIT}""",
+    "push_both": f"""WITH {_MESSAGES}
+        SELECT 'list' AS place, seq, role AS value FROM numbered
+        UNION ALL SELECT 'list', seq, role FROM numbered WHERE seq <= {q.QUEUE_LIMIT}
+        UNION ALL SELECT 'set', NULL, role FROM (SELECT DISTINCT role FROM numbered)
+        UNION ALL SELECT 'kept', seq, role FROM numbered WHERE seq > {q.QUEUE_LIMIT}""",
+    "table_setup": f"{_STAR} {_STAR_ROWS}",
     "queue_push_json": f"""WITH {_MESSAGES}
         SELECT seq, conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM numbered""",
     "set_push": f"WITH {_LINKS} SELECT DISTINCT url AS value FROM link",
-    "snapshot_roundtrip": f"WITH {_LINKS}, {_FIRSTS} SELECT {_FIRST_COLUMNS} FROM firsts",
+    "snapshot_roundtrip": f"""{_PAGE_TAGS}, {_LINKS}, {_FIRSTS},
+        queue AS (SELECT {_FIRST_COLUMNS} FROM firsts)
+        SELECT 'queue' AS part, url AS key, seq || ':' || pos AS value FROM queue
+        UNION ALL SELECT 'processed', url, '' FROM pages
+        UNION ALL SELECT 'index', tag, count(*) || ' ' || link FROM tagged GROUP BY tag, link""",
     "crawl_rates": """WITH sightings AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id),
         ticks AS (
           SELECT ts, 1 AS viewed, 0 AS found FROM events WHERE event_type = 'view'
@@ -204,4 +235,4 @@ ORACLES["stream_validation"] = f"""WITH {_DOCUMENT_LINKS},
       SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY seq) AS nth_text FROM by_link WHERE nth = 1)
     SELECT seq, url FROM by_text WHERE nth_text = 1"""
 ORACLES["stream_doc_tags"] = f"{_DOC_TAGS} SELECT seq, link, rank, tag FROM tagged"
-ORACLES["stream_link_tags"] = f"{_STAR} SELECT DISTINCT tag, link FROM cut"
+ORACLES["stream_link_tags"] = f"{_STAR} SELECT DISTINCT tag, link FROM tagged"

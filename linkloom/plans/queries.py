@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom import schemas
 from linkloom.functions import text, urls
@@ -11,7 +12,7 @@ from linkloom.operators import crawl, dedup, extract, index, metrics, ordering,
 from linkloom.plans import inputs, pipelines
 from linkloom.session import scratch_path, written
 from linkloom.sources import exchange, snapshot
-from linkloom.sources.tables import spread, table
+from linkloom.sources.tables import dealt, page_source as page_source_of, table
 from linkloom.streaming import drivers, handlers
 
 LOOKUP_TAG = "die"
@@ -52,6 +53,22 @@ def page_origin(spark, folder):
     return inputs.pages(spark, folder).select("page_id", urls.page_origin(F.col("url")).alias("origin"))
 
 
+def fetched_pages(spark, folder):
+    """Pages with a status by a rule: every fourth was not found."""
+    found = F.when(F.col("page_id") % 4 == 3, 404).otherwise(200)
+    return page_source_of(inputs.pages(spark, folder).withColumn("status", found)).select("page_id", "status")
+
+
+def readable_pages(spark, folder):
+    """Texts and links of the pages that have text; every fifth page is stripped of it."""
+    stripped = F.regexp_replace("html", ">[^<]*<", "><")
+    pages = inputs.pages(spark, folder)
+    pages = pages.withColumn("html", F.when(F.col("page_id") % 5 == 0, stripped).otherwise(F.col("html")))
+    texts, links = extract.readable(pages)
+    texts = texts.select("seq", F.lit(None).cast("int").alias("pos"), F.col("text").alias("value"))
+    return texts.unionByName(links.select(F.col("page_id").alias("seq"), "pos", F.col("url").alias("value")))
+
+
 def page_links(spark, folder):
     return extract.page_links(inputs.pages(spark, folder)).select("page_id", "pos", "href")
 
@@ -61,7 +78,10 @@ def resolve_links(spark, folder):
 
 
 def resolve_links_page(spark, folder):
-    return extract.page_links(inputs.pages(spark, folder), on_page=True).select("page_id", "pos", "url")
+    """Links without their leading slash, so that the page's own folder counts."""
+    links = extract.page_links(inputs.pages(spark, folder))
+    relative = F.regexp_replace("href", "^/", "")
+    return links.select("page_id", "pos", urls.resolve_on_page(F.col("src_url"), relative).alias("url"))
 
 
 def valid_links(spark, folder):
@@ -169,7 +189,9 @@ def validation_report(spark, folder):
 
 def crawl_frontier(spark, folder):
     pages = inputs.pages(spark, folder)
-    return crawl.expand(pages.select("url"), pages, seen=pages.select("url")).found
+    step = crawl.expand(pages.select("url"), pages, seen=pages.select("url").distinct())
+    texts = step.texts.select("seq", F.lit(None).cast("int").alias("pos"), F.col("link").alias("url"), "text")
+    return step.found.select("seq", "pos", "url", F.lit(None).cast("string").alias("text")).unionByName(texts)
 
 
 def crawl_reach(spark, folder):
@@ -212,10 +234,21 @@ def link_tag_junction(spark, folder):
     return _page_star(spark, folder).junction
 
 
+def _star_rows(star: index.Star) -> DataFrame:
+    """The three tables as rows ``(part, id, value)``; a junction row's value is its tag's id."""
+    parts = (("links", star.links, "id", "link"), ("tags", star.tags, "id", "tag"), ("junction", star.junction, "link_id", "tag_id"))
+    rows = [
+        df.select(F.lit(part).alias("part"), F.col(key).alias("id"), F.col(value).cast("string").alias("value"))
+        for part, df, key, value in parts
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def cascade_delete(spark, folder):
     doomed = spark.createDataFrame([(tag,) for tag in DELETED_TAGS], "tag string")
     plain = inputs.pages(spark, folder).where(F.startswith("url", F.lit("http://"))).select(F.col("url").alias("link"))
-    return index.delete_links(index.delete_tags(_page_star(spark, folder), doomed), plain).junction
+    left = index.delete_links(index.delete_tags(_page_star(spark, folder), doomed), plain)
+    return _star_rows(left)
 
 
 def tag_search(spark, folder):
@@ -225,13 +258,21 @@ def tag_search(spark, folder):
 # ---- queues, snapshots, rates ------------------------------------------------
 
 
+def _turns(spark, folder) -> DataFrame:
+    """Conversation turns with a dense ``seq``; only their keys are sorted."""
+    messages = inputs.messages(spark, folder)
+    numbers = ordering.numbered(messages.select("conv_id", "turn"), ["conv_id", "turn"], "seq")
+    return messages.join(numbers, ["conv_id", "turn"])
+
+
 def _queue(spark, folder) -> DataFrame:
-    """Conversation turns as a queue; opening turns arrive as bare text, which is no JSON."""
-    turns = ordering.numbered(inputs.messages(spark, folder), ["conv_id", "turn"], "seq")
-    records = exchange.encode(turns.where(F.col("turn") > 0), ["conv_id", "turn", "role", "text"])
-    return records.unionByName(turns.where(F.col("turn") == 0).select("seq", F.col("text").alias("value")))
+    """All conversation turns as a queue; before each opening turn comes its bare text, which is no JSON."""
+    turns = _turns(spark, folder).withColumn("seq", F.col("seq") * 2)
+    records = exchange.encode(turns, ["conv_id", "turn", "role", "text"])
+    return records.unionByName(turns.where(F.col("turn") == 0).select((F.col("seq") - 1).alias("seq"), F.col("text").alias("value")))
 
 
+_URL = T.StructType([T.StructField("url", T.StringType())])
 _MESSAGE = "conv_id bigint, turn bigint, role string, text string"
 
 
@@ -242,13 +283,12 @@ def queue_pull(spark, folder):
 
 
 def queue_peek(spark, folder):
-    return exchange.peek(_queue(spark, folder), _MESSAGE)
+    return exchange.peek(_queue(spark, folder), _MESSAGE, QUEUE_LIMIT)
 
 
 def queue_push_json(spark, folder):
     path = scratch_path(spark, "queue")
-    turns = ordering.numbered(inputs.messages(spark, folder), ["conv_id", "turn"], "seq")
-    exchange.push_list(exchange.encode(turns, ["conv_id", "turn", "role", "text"]), path, 0)
+    exchange.push_list(exchange.encode(_turns(spark, folder), ["conv_id", "turn", "role", "text"]), path, 0)
     pushed = exchange.read_list(spark, path)
     return pushed.select("seq", *[F.get_json_object("value", f"$.{c}").alias(c) for c in ("conv_id", "turn", "role", "text")])
 
@@ -264,9 +304,37 @@ def set_push(spark, folder):
 def snapshot_roundtrip(spark, folder):
     path = scratch_path(spark, "snapshot")
     links = written(seen_link_dedup(spark, folder), "links")
-    snapshot.save(spark, path, queue=links, processed=inputs.pages(spark, folder).select("url"))
-    parts = snapshot.load(spark, path, queue=schemas.SEEN_LINKS)
-    return parts["queue"].select("url", "seq", "pos")
+    tagged = pipelines.indexed(inputs.page_docs(spark, folder))
+    snapshot.save(spark, path, queue=links, processed=inputs.pages(spark, folder).select("url"), index=tagged)
+    parts = snapshot.load(spark, path, queue=schemas.SEEN_LINKS, processed=_URL, index=schemas.TAG_INDEX)
+    row = lambda part, key, value: parts[part].select(F.lit(part).alias("part"), F.col(key).alias("key"), value.alias("value"))
+    queue = row("queue", "url", F.concat_ws(":", "seq", "pos"))
+    return queue.unionByName(row("processed", "url", F.lit(""))).unionByName(
+        row("index", "tag", F.concat_ws(" ", "popularity", "link"))
+    )
+
+
+def push_both(spark, folder):
+    """Two pushes of all turns' roles, the second limited; what was pushed, what is in the set, what the sender keeps."""
+    path = scratch_path(spark, "both")
+    roles = _turns(spark, folder).select("seq", F.col("role").alias("value"))
+    exchange.push_both(roles, path, 0, copy=True)
+    rest = exchange.push_both(roles, path, 1, limit=QUEUE_LIMIT)
+    row = lambda df, place, seq: df.select(F.lit(place).alias("place"), seq.alias("seq"), "value")
+    listed = row(exchange.read_list(spark, path), "list", F.col("seq"))
+    return listed.unionByName(row(exchange.read_set(spark, path), "set", F.lit(None).cast("bigint"))).unionByName(
+        row(rest, "kept", F.col("seq"))
+    )
+
+
+def table_setup(spark, folder):
+    """The three tables are set up empty, twice, and then filled."""
+    state = scratch_path(spark, "setup")
+    for _ in range(2):
+        handlers.create_star(spark, state)
+    empty = _star_rows(handlers.star(spark, state)).where("id is not null")
+    handlers.upsert_link_tags(state, pipelines.tagged(inputs.page_docs(spark, folder)), 0)
+    return empty.unionByName(_star_rows(handlers.star(spark, state)))
 
 
 def crawl_rates(spark, folder):
@@ -293,12 +361,12 @@ def _link_rows(batch: DataFrame) -> DataFrame:
 
 
 def stream_seen_links(spark, folder):
-    state = _stream(spark, folder, "pages", handlers.remember_links, lambda b: _link_rows(spread(b, "page_id")))
+    state = _stream(spark, folder, "pages", handlers.remember_links, lambda b: _link_rows(dealt(b, "page_id")))
     return handlers.seen_links(spark, state).select("url", "seq", "pos")
 
 
 def _documents_of(batch: DataFrame) -> DataFrame:
-    return spread(batch, "doc_id").select(F.col("doc_id").alias("seq"), F.col("source").alias("link"), "text")
+    return dealt(batch, "doc_id").select(F.col("doc_id").alias("seq"), F.col("source").alias("link"), "text")
 
 
 def stream_validation(spark, folder):
@@ -311,7 +379,7 @@ def stream_validation(spark, folder):
 
 
 def _validation_rows(batch: DataFrame) -> DataFrame:
-    docs = inputs.with_document_link(spread(batch, "doc_id"))
+    docs = inputs.with_document_link(dealt(batch, "doc_id"))
     return docs.select("seq", "url", text.text_hash(F.col("text")).alias("text_hash"))
 
 
@@ -323,7 +391,7 @@ def stream_doc_tags(spark, folder):
 def stream_link_tags(spark, folder):
     """Pages are tagged by one stream; a second turns the tags into tables."""
     tagging = _stream(
-        spark, folder, "pages", handlers.tag_documents, lambda b: extract.link_text(spread(b, "page_id"))
+        spark, folder, "pages", handlers.tag_documents, lambda b: extract.link_text(dealt(b, "page_id"))
     )
     state = scratch_path(spark, "star")
     source = drivers.file_stream(spark, f"{tagging}/link_tags", schemas.LINK_TAGS)
@@ -334,14 +402,14 @@ def stream_link_tags(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_source, pages_surveyed, page_text, page_body_text, link_text, nonempty_pages, page_origin,
+        page_source, fetched_pages, readable_pages, pages_surveyed, page_text, page_body_text, link_text, nonempty_pages, page_origin,
         page_links, resolve_links, resolve_links_page, valid_links,
         tokens, clean_tokens, term_freq, doc_length, running_doc_count, running_term_freq, corpus_stats,
         tfidf_scores, corpus_tfidf, query_scores, top3_tags, doc_tags, page_tags,
         text_hash, text_dedup, seen_link_dedup, frontier_queue, stored_link_check, validation_report,
         crawl_frontier, crawl_reach, crawl_budget,
         tag_index, tag_lookup, links_dim, tags_dim, link_tag_junction, cascade_delete, tag_search,
-        queue_pull, queue_peek, queue_push_json, set_push, snapshot_roundtrip, crawl_rates,
+        queue_pull, queue_peek, queue_push_json, set_push, push_both, table_setup, snapshot_roundtrip, crawl_rates,
         stream_seen_links, stream_validation, stream_doc_tags, stream_link_tags,
     )
 }

@@ -23,7 +23,3 @@ TAG_INDEX = _table(tag=_STRING, link=_STRING, popularity=_LONG)
 LINKS = _table(id=_LONG, link=_STRING)
 TAGS = _table(id=_LONG, tag=_STRING)
 JUNCTION = _table(link_id=_LONG, tag_id=_LONG)
-
-# Longest value the link and tag columns hold; longer values are cut.
-MAX_LINK = 2048
-MAX_TAG = 64

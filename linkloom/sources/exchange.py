@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,19 +34,44 @@ def encode_tuple(df: DataFrame, columns: list[str], order: str = "seq") -> DataF
     return df.select(F.col(order).alias("seq"), F.concat(F.lit("["), body, F.lit("]")).alias("value"))
 
 
+#: Strings of any length that the session can hold.
+_JSON = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false"}
+
+
+def _typed(raw: Column, kind: T.DataType) -> Column:
+    """A field's JSON text as its type; null where it has another one."""
+    if isinstance(kind, T.StringType):
+        return raw
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(raw, kind, _JSON)
+    return raw.try_cast(kind)
+
+
 def decode(queue: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Typed records of the rows that hold valid JSON; the others are skipped.
+    """Typed records of the rows that hold a JSON object or array; the others are skipped.
 
-    A field is taken by name from an object and by place from an array.
+    A field is taken by name from an object (of a repeated name the last one) and
+    by place from an array. A field of another type, or none, is null.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    parsed = with_once(queue.select("seq", "value"), "_json", F.try_parse_json("value")).where(F.col("_json").isNotNull())
-
-    def field(place: int, name: str, kind: T.DataType):
-        by_name, by_place = (F.try_variant_get("_json", path, kind.simpleString()) for path in (f"$.{name}", f"$[{place}]"))
-        return F.coalesce(by_name, by_place).alias(name)
-
-    return parsed.select("seq", *[field(i, f.name, f.dataType) for i, f in enumerate(schema.fields)])
+    # As the only element of an array: text behind a record makes the row invalid.
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(T.StringType()), _JSON)
+    found = with_once(queue.select("seq", "value"), "_records", alone).where(F.size("_records") == 1)
+    whole = found.select("seq", F.regexp_replace(F.col("_records")[0], r"^\s+", "").alias("_json"))
+    whole = whole.where(F.col("_json").rlike(r"^[\[{]"))
+    names = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    is_list = F.startswith("_json", F.lit("["))
+    parsed = F.struct(
+        F.when(~is_list, F.from_json("_json", names, _JSON)).alias("named"),
+        F.when(is_list, F.from_json("_json", T.ArrayType(T.StringType()), _JSON)).alias("listed"),
+    )
+    both = with_once(whole, "_parsed", parsed)
+
+    def field(place: int, name: str, kind: T.DataType) -> Column:
+        by_name, by_place = F.col("_parsed.named")[name], F.get(F.col("_parsed.listed"), place)
+        return _typed(F.coalesce(by_name, by_place), kind).alias(name)
+
+    return both.select("seq", *[field(i, f.name, f.dataType) for i, f in enumerate(schema.fields)])
 
 
 def peek(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> DataFrame:
@@ -70,25 +95,45 @@ def pull(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> Pulle
     return Pulled(taken, queue.where(F.col("seq") > last))
 
 
-def push_list(df: DataFrame, path: str, batch_id: int, limit: int = -1) -> None:
-    """Append queue rows as one version; pushing a batch again replaces it."""
-    store(df if limit == -1 else first_in_order(df, "seq", limit), f"{path}/list", batch_id)
+def _limited(df: DataFrame, limit: int, copy: bool) -> Pulled:
+    """The first ``limit`` rows (-1: all) to push, and what the sender keeps."""
+    taken = df if limit == -1 else first_in_order(df, "seq", limit)
+    if copy:
+        return Pulled(taken, df)
+    if limit == -1:
+        return Pulled(taken, df.limit(0))
+    if limit == 0:
+        return Pulled(taken, df)
+    last = taken.agg(F.when(F.count("*") >= limit, F.max("seq"))).scalar()
+    return Pulled(taken, df.where(F.col("seq") > last))
 
 
-def push_set(df: DataFrame, path: str, batch_id: int) -> None:
-    """Add the values that are not in the stored set."""
+def push_list(df: DataFrame, path: str, batch_id: int, limit: int = -1, copy: bool = False) -> DataFrame:
+    """Append the first ``limit`` queue rows as one version; pushing a batch again replaces it.
+
+    Returns what the sender keeps: the rest, or with ``copy`` everything.
+    """
+    sent = _limited(df, limit, copy)
+    store(sent.taken, f"{path}/list", batch_id)
+    return sent.rest
+
+
+def push_set(df: DataFrame, path: str, batch_id: int, limit: int = -1, copy: bool = False) -> DataFrame:
+    """Add the values of the first ``limit`` rows that are not in the stored set; returns what the sender keeps."""
+    sent = _limited(df, limit, copy)
     schema = T.StructType([T.StructField("value", T.StringType())])
-    spark = df.sparkSession
-    values = written(df.select("value").distinct(), "values")
-    known = versions_below(spark, f"{path}/set", schema, batch_id)
+    values = written(sent.taken.select("value").distinct(), "values")
+    known = versions_below(df.sparkSession, f"{path}/set", schema, batch_id)
     store(exclude_stored(values, known, "value"), f"{path}/set", batch_id)
+    return sent.rest
 
 
-def push_both(df: DataFrame, path: str, batch_id: int, limit: int = -1) -> None:
-    """Append everything to the list, and add new values to the set."""
-    taken = df if limit == -1 else first_in_order(df, "seq", limit)
-    push_list(taken, path, batch_id)
-    push_set(taken, path, batch_id)
+def push_both(df: DataFrame, path: str, batch_id: int, limit: int = -1, copy: bool = False) -> DataFrame:
+    """Append the first ``limit`` rows to the list, and add their new values to the set; returns what the sender keeps."""
+    sent = _limited(df, limit, copy)
+    push_list(sent.taken, path, batch_id)
+    push_set(sent.taken, path, batch_id)
+    return sent.rest
 
 
 def read_list(spark, path: str) -> DataFrame:

@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 _FOLD = T.StructType([T.StructField("complete", T.BooleanType())])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with too few partitions to fill the cluster one per core.
+#: Session setting: partitions that input tables are dealt out to. For files of
+#: few row groups, which no scan can split; unset, as on a cluster, scans stay as they are.
+DEAL = "linkloom.deal"
 
-    Only a scan smaller than ``cores x maxPartitionBytes`` has so few, so the
-    shuffle is small by construction; larger inputs pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table out by its key if the session asks for it."""
+    partitions = df.sparkSession.conf.get(DEAL, None)
+    return df.repartition(int(partitions), key) if partitions else df
 
 
 def with_once(df: DataFrame, name: str, column: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from linkloom import schemas
 from linkloom.operators import dedup, index, tags
 from linkloom.operators.dedup import first_seen
 from linkloom.session import written
-from linkloom.sources.tables import exclude_stored, fold, store, stored, versions_below
+from linkloom.sources.tables import create_if_absent, exclude_stored, fold, store, stored, versions_below
 from linkloom.streaming.drivers import BatchHandler
 
 PRELOAD = -1
@@ -123,10 +123,16 @@ def star(spark: SparkSession, state: str) -> index.Star:
     )
 
 
+def create_star(spark: SparkSession, state: str) -> None:
+    """Set up the three tables, empty, where they are not there yet."""
+    for name, schema in (("links", schemas.LINKS), ("tags", schemas.TAGS), ("junction", schemas.JUNCTION)):
+        create_if_absent(spark, f"{state}/{name}", schema)
+
+
 def upsert_link_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
     """Add the links, tags and pairs of ``(seq, link, rank, tag)`` that are new."""
     spark = tagged.sparkSession
-    rows = written(index.cut(tagged), "link_tags")
+    rows = written(tagged, "link_tags")
 
     def add(table: str, column: str, schema) -> DataFrame:
         """Insert new values; return the ids of all values in the batch."""

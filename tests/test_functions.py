@@ -3,9 +3,11 @@
 import html as stdlib_html
 import random
 import re
+import time
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import html, text, urls
@@ -198,3 +200,11 @@ def test_random_markup_matches_parser(spark):
     got = evaluate(spark, [(p,) for p in pages], ["html"], html.page_text(F.col("html")), html.page_hrefs(F.col("html")))
     for page_html, row in zip(pages, got):
         assert row == Walker.run(page_html), page_html
+
+
+@pytest.mark.parametrize("tag", ["rt", "rp", "template"])
+def test_unclosed_elements_cost_no_more_than_the_page(spark, tag):
+    start = time.time()
+    pages = spark.range(1).select(F.repeat(F.lit(f"<{tag}>x"), 200_000).alias("html"))
+    length = pages.select(F.length(html.page_text(F.col("html"))).alias("n")).first()["n"]
+    assert length == 399_999 and time.time() - start < 30

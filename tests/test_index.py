@@ -18,6 +18,7 @@ ROWS = [
     (1, "http://a/", 1, "x"), (1, "http://a/", 2, "y"), (1, "http://a/", 3, "z"),
     (2, "http://b/", 1, "y"), (2, "http://b/", 2, "w"),
     (3, "http://a/", 1, "y"), (3, "http://a/", 2, "v"),
+    # Equal for longer than any column of a database might hold, and yet different.
     (4, "http://long/" + "p" * 3000, 1, "t" * 100), (5, "http://long/" + "p" * 2500, 1, "t" * 64),
 ]
 
@@ -37,7 +38,6 @@ def dump(star):
 def model(rows):
     links, tags, pairs = [], [], set()
     for _, link, _, tag in sorted(rows):
-        link, tag = link[:2048], tag[:64]
         links += [link] * (link not in links)
         tags += [tag] * (tag not in tags)
         pairs.add((links.index(link) + 1, tags.index(tag) + 1))
@@ -109,6 +109,32 @@ def test_pull_skips_undecodable_and_leaves_the_rest(spark):
     assert nothing.taken.isEmpty() and nothing.rest.isEmpty()
 
 
+def test_no_valid_record_is_lost(spark):
+    rows = [
+        '{"k": 1, "k": 2}', '{"k": 3, "x": NaN}', ' {"k": 4} ', '[5, "s"]', '{"k": "6"}', '{"k": {"a": 1}, "x": 0.5}',
+        '{"k": 7} tail', '{"k": 7}{"k": 7}', '{"k": 7}, {"k": 7}', "{'k': 7}", '"text"', "7", "null", "[7",
+    ]
+    queued = spark.createDataFrame(list(enumerate(rows)), schemas.QUEUE)
+    got = {r.seq: r.k for r in exchange.decode(queued, "k int, x double").collect()}
+    assert got == {0: 2, 1: 3, 2: 4, 3: 5, 4: 6, 5: None}
+    long = spark.range(1).select(
+        F.col("id").alias("seq"), F.concat(F.lit('{"k": 9, "s": "'), F.repeat(F.lit("0123456789"), 13_000_000), F.lit('"}')).alias("value")
+    )
+    assert tuple(exchange.decode(long, "k int, s string").select("k", F.length("s")).first()) == (9, 130_000_000)
+
+
+def test_pushing_leaves_a_remainder(spark):
+    path = scratch_path(spark, "queue")
+    rows = spark.createDataFrame([(i, f"v{i % 4}") for i in range(10)], schemas.QUEUE)
+    left = lambda df: sorted(r.seq for r in df.collect())
+    assert left(exchange.push_list(rows, path, 0, limit=3)) == [3, 4, 5, 6, 7, 8, 9]
+    assert left(exchange.push_list(rows, path, 1)) == [] and left(exchange.push_list(rows, path, 2, limit=3, copy=True)) == list(range(10))
+    assert left(exchange.push_set(rows, path, 0, limit=2)) == list(range(2, 10))
+    assert {r.value for r in exchange.read_set(spark, path).collect()} == {"v0", "v1"}
+    assert left(exchange.push_both(rows, path, 3, limit=0)) == list(range(10)) and left(exchange.push_both(rows, path, 4, limit=99)) == []
+    assert exchange.read_list(spark, path).count() == 3 + 10 + 3 + 0 + 10
+
+
 def test_push_list_set_and_both(spark):
     path = scratch_path(spark, "queue")
     pairs = spark.createDataFrame([(1, "http://é/", ["a", "b"]), (2, "u", []), (3, "u", [])], "seq long, link string, tags array<string>")

@@ -65,11 +65,11 @@ def test_numbering_is_dense_over_many_partitions(spark):
     assert ordering.numbered(df.limit(0), ["seq"]).count() == 0
 
 
-def test_ordered_limit_large_and_small(spark, monkeypatch):
+def test_ordered_limit(spark):
     df = spark.range(1000).withColumnRenamed("id", "seq").repartition(7)
     assert sorted(r.seq for r in ordering.first_in_order(df, "seq", 9).collect()) == list(range(9))
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 100)
     assert sorted(r.seq for r in ordering.first_in_order(df, "seq", 500).collect()) == list(range(500))
+    assert ordering.first_in_order(df, "seq", 0).isEmpty() and ordering.first_in_order(df, "seq", 5000).count() == 1000
 
 
 def report_model(rows, links, hashes, stored):
@@ -211,3 +211,6 @@ def test_pages_without_text_are_dropped_with_their_links(spark):
     pages = spark.createDataFrame([(1, "http://a/", '<body><a href="/x"></a></body>'), (2, "http://b/", "<p>t")],
                                   "page_id bigint, url string, html string")
     assert [r.seq for r in extract.nonempty(extract.link_text(pages)).collect()] == [2]
+    both = extract.readable(pages.unionByName(pages.selectExpr("page_id + 2 AS page_id", "url", "html || '<a href=y>more</a>' AS html")))
+    assert sorted(r.seq for r in both.texts.collect()) == [2, 3, 4]
+    assert sorted((r.page_id, r.href) for r in both.links.collect()) == [(3, "/x"), (3, "y"), (4, "y")]

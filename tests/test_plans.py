@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from linkloom import schemas, session
-from linkloom.operators import extract, index, tags
+from linkloom.operators import crawl, extract, index, tags
 from linkloom.plans import inputs, pipelines
 from linkloom.session import scratch_path
 
@@ -44,7 +44,7 @@ def test_scan_reads_only_what_is_used(spark):
 def test_query_terms_filter_the_statistics_before_they_are_summed(spark):
     asked = tags.term_table(spark.createDataFrame([(1, "de la nicht")], "seq bigint, text string"))
     docs = inputs.documents(spark, FOLDER)
-    plan = plan_of(tags.query_scores(asked, tags.term_stats(docs), tags.doc_count(docs).scalar()))
+    plan = plan_of(tags.used_stats(tags.term_stats(docs), asked))
     lines = plan.splitlines()
     semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
     partial = next(i for i, line in enumerate(lines) if "partial_count" in line and "keys=[term" in line)
@@ -56,6 +56,49 @@ def test_top_tags_are_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
+def test_numbering_the_term_table_needs_no_join(spark):
+    terms = tags.term_table(inputs.documents(spark, FOLDER))
+    plan = plan_of(tags.arrival_counts(terms))
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert all("term" in line or "_part" in line or "shiftright" in line for line in joins), joins
+
+
+@pytest.fixture
+def skewed(spark):
+    """Settings under which small skewed joins are split like large ones."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return plan_of(df)
+
+
+def test_a_common_term_is_split(spark, skewed):
+    docs = spark.range(60000).selectExpr("id AS seq", "concat('hot w', id % 5000) AS text").repartition(16)
+    assert "skew=true" in final_plan(tags.corpus_scores(tags.term_table(docs)))
+
+
+def test_a_common_url_leaves_each_task_once(spark, skewed):
+    pages = spark.range(60000).selectExpr("id AS page_id", "if(id % 3 = 0, 'http://hot/', concat('http://h/', id)) AS url", "'<p>x' AS html")
+    texts = crawl.expand(pages.select("url"), pages, seen=pages.select("url").distinct()).texts
+    plan = final_plan(texts)
+    assert texts.count() == 40001 and plan.index("LeftSemi") < plan.index("functions=[partial_min(page_id")
+
+
 def fake_session(root, master):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: root),
