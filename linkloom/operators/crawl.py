@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,12 @@ from pyspark.sql import types as T
 from linkloom.operators.dedup import first_seen, new_links
 from linkloom.operators.extract import link_text, page_links, valid_links
 from linkloom.operators.ordering import numbered
-from linkloom.session import scratch_path, written
+from linkloom.session import bucketed, scratch_path, shuffle_partitions, written
 from linkloom.sources.tables import store, stored
 
+# From pulled sources (src, _at) to their links (src, url, pos, _at).
+Outgoing = Callable[[DataFrame], DataFrame]
+
 _VISITED = T.StructType([T.StructField("url", T.StringType())])
 _QUEUED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType())])
 
@@ -59,6 +63,29 @@ def _deadline(seconds: float | None) -> float:
     return math.inf if seconds is None else time.monotonic() + seconds
 
 
+def reached(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Distinct ``(url)`` that edges ``(src, url)`` lead to from the frontier ``(src)``."""
+    return edges.join(frontier, "src").select("url").distinct()
+
+
+def from_graph(graph: DataFrame) -> Outgoing:
+    """Links of pulled sources from a link graph."""
+    return lambda sources: graph.join(sources, "src").select("src", "url", "pos", "_at")
+
+
+def from_pages(pages: DataFrame) -> Outgoing:
+    """Links of pulled sources from stored pages: only the pages pulled are read and parsed."""
+
+    def outgoing(sources: DataFrame) -> DataFrame:
+        firsts = first_seen(pages.select("page_id", "url"), "url", ["page_id"])
+        chosen = written(firsts.join(sources, firsts["url"] == sources["src"]).select("page_id", "_at"), "pulled")
+        fetched = pages.join(chosen.select("page_id"), "page_id", "left_semi")
+        links = valid_links(page_links(fetched)).join(chosen, "page_id")
+        return links.select(F.col("src_url").alias("src"), "url", "pos", "_at")
+
+    return outgoing
+
+
 def reach(
     graph: DataFrame, seeds: DataFrame, max_rounds: int | None = None, seconds: float | None = None
 ) -> DataFrame:
@@ -70,6 +97,8 @@ def reach(
     """
     spark = graph.sparkSession
     path = scratch_path(spark, "reach")
+    # Stored by source once: a round shuffles its frontier and what it finds, not the edges.
+    edges = bucketed(graph.select("src", "url"), "src", shuffle_partitions(spark), "edges")
     store(seeds.select("url").distinct(), path, 0, "depth")
     depth, deadline = 0, _deadline(seconds)
     while (max_rounds is None or depth < max_rounds) and time.monotonic() < deadline:
@@ -77,14 +106,14 @@ def reach(
         frontier = visited.where(F.col("depth") == depth).select(F.col("url").alias("src"))
         if frontier.isEmpty():
             break
-        found = graph.join(frontier, "src").select("url").distinct()
+        found = reached(edges, frontier)
         depth += 1
         store(found.join(visited.select("url"), "url", "left_anti"), path, depth, "depth")
     return stored(spark, path, _VISITED, "depth").select("url", F.col("depth").cast("int").alias("depth"))
 
 
 def budgeted(
-    graph: DataFrame,
+    outgoing: Outgoing,
     seeds: DataFrame,
     limit: int,
     rounds: int,
@@ -99,7 +128,7 @@ def budgeted(
     numbered from 1 without gaps, so a round's pull is a range of ``seq``.
     Without ``seed_is_seen`` a page that links to a seed enqueues it once more.
     """
-    spark = graph.sparkSession
+    spark = seeds.sparkSession
     queue_path, pulls_path = scratch_path(spark, "queue"), scratch_path(spark, "pulls")
     first = first_seen(seeds, "url", ["seq"]).withColumnRenamed("seq", "_at")
     store(numbered(first, ["_at"], "seq").select("seq", "url"), queue_path, 0, "round")
@@ -116,7 +145,7 @@ def budgeted(
         pulled = queue.where(F.col("seq").between(done + 1, upto))
         store(pulled.select("seq", "url"), pulls_path, turn, "round")
         sources = pulled.select(F.col("url").alias("src"), F.col("seq").alias("_at"))
-        links = graph.join(sources, "src").select("url", F.col("_at").alias("seq"), "pos")
+        links = outgoing(sources).select("url", F.col("_at").alias("seq"), "pos")
         fresh = new_links(links, seen).withColumnRenamed("seq", "_at")
         store(numbered(fresh, ["_at", "pos"], "seq", last + 1).select("seq", "url"), queue_path, turn, "round")
         done = upto

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import text_hash
 from linkloom.operators.ordering import numbered
+from linkloom.session import written
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -60,19 +61,20 @@ def validate(
     """Run rows ``(seq, url, text_hash)`` through the stages in order.
 
     A row that fails one stage does not count as seen in the next: session
-    links, then text hashes, then stored links.
+    links, then text hashes, then stored links. What passes a stage is written,
+    so that each is run once whatever is read of the result.
     """
     new_link = first_seen(rows, "url", ["seq", "text_hash"])
     if seen_links is not None:
         new_link = new_link.join(seen_links.select("url"), "url", "left_anti")
+    new_link = written(new_link.select("seq", "url", "text_hash"), "new-link")
     new_text = first_seen(new_link, "text_hash", ["seq", "url"])
     if seen_hashes is not None:
         new_text = new_text.join(seen_hashes.select("text_hash"), "text_hash", "left_anti")
-    passed = new_text
+    passed = new_text = written(new_text.select("seq", "url", "text_hash"), "new-text")
     if stored_links is not None:
         passed = passed.join(stored_links.select("url"), "url", "left_anti")
-    columns = ("seq", "url", "text_hash")
-    return Stages(new_link.select(*columns), new_text.select(*columns), passed.select(*columns))
+    return Stages(new_link, new_text, passed.select("seq", "url", "text_hash"))
 
 
 def validation_report(

@@ -163,7 +163,8 @@ ORACLES = {
           UNION ALL SELECT '{_BASE}/customer/' || o_custkey, '{_BASE}/order/' || o_orderkey FROM orders),
         walk AS (
           SELECT '{_BASE}/region/0' AS url, 0 AS depth
-          UNION SELECT graph.url, depth + 1 FROM walk JOIN graph ON src = walk.url WHERE depth < 9)
+          UNION SELECT graph.url, depth + 1 FROM walk JOIN graph ON src = walk.url
+          WHERE depth < (SELECT count(DISTINCT src) FROM graph WHERE src NOT LIKE '%/customer/%'))
         SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
     # No link leads to a stored page, so the queue is the pages in order with
     # what each round's pages hold appended.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,14 +197,13 @@ def crawl_frontier(spark, folder):
 
 
 def crawl_reach(spark, folder):
-    graph = written(inputs.entity_graph(spark, folder), "graph")  # read once per round
-    return crawl.reach(graph, crawl.seed(spark, "http://shop.example/region/0"))
+    return crawl.reach(inputs.entity_graph(spark, folder), crawl.seed(spark, "http://shop.example/region/0"))
 
 
 def crawl_budget(spark, folder):
     pages = inputs.pages(spark, folder)
     seeds = pages.select(F.col("page_id").alias("seq"), "url")
-    return crawl.budgeted(crawl.link_graph(pages), seeds, BUDGET, ROUNDS)
+    return crawl.budgeted(crawl.from_pages(pages), seeds, BUDGET, ROUNDS)
 
 
 # ---- index, tables, search ---------------------------------------------------
@@ -347,11 +348,32 @@ def crawl_rates(spark, folder):
 # ---- streams -----------------------------------------------------------------
 
 
-def _stream(spark, folder: str, name: str, handler, prepare, state: str | None = None) -> str:
-    """Drain one input table through a handler; returns the state folder."""
-    state = state or scratch_path(spark, "stream")
-    source = drivers.file_stream(spark, f"{folder}/{name}.parque[t]", table(spark, folder, name).schema)
-    drivers.drain(source, handlers.on(handler, state, prepare), f"{state}/progress")
+BATCHES, FOLD_EVERY = 4, 2
+
+
+def _arrivals(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """A whole table in ``BATCHES`` parts, in the order of its key."""
+    least, most = df.agg(F.min(key), F.max(key)).first()
+    if least is None:
+        yield df
+        return
+    part = F.floor((F.col(key) - least) * BATCHES / (most - least + 1))
+    for i in range(BATCHES):
+        yield df.where(part == i)
+
+
+def _stream(spark, folder: str, name: str, key: str, handler, prepare, state: str | None = None, then=None) -> str:
+    """Drain one input table, as it arrives in several batches, through a handler; returns the state folder.
+
+    ``then`` runs after each batch, that is once what it stored is committed.
+    """
+    state, source = state or scratch_path(spark, "stream"), scratch_path(spark, "arrivals")
+    for part in _arrivals(table(spark, folder, name), key):
+        part.write.mode("append").parquet(source)
+        stream = drivers.file_stream(spark, source, part.schema)
+        drivers.drain(stream, handlers.on(handler, state, prepare, FOLD_EVERY), f"{state}/progress")
+        if then is not None:
+            then(state)
     return state
 
 
@@ -361,7 +383,7 @@ def _link_rows(batch: DataFrame) -> DataFrame:
 
 
 def stream_seen_links(spark, folder):
-    state = _stream(spark, folder, "pages", handlers.remember_links, lambda b: _link_rows(dealt(b, "page_id")))
+    state = _stream(spark, folder, "pages", "page_id", handlers.remember_links, lambda b: _link_rows(dealt(b, "page_id")))
     return handlers.seen_links(spark, state).select("url", "seq", "pos")
 
 
@@ -374,7 +396,7 @@ def stream_validation(spark, folder):
     state = scratch_path(spark, "validation")
     none = spark.createDataFrame([], "text_hash string")
     handlers.preload_validation(state, inputs.labelled_links(spark, folder), none)
-    _stream(spark, folder, "documents", handlers.validate_rows, _validation_rows, state)
+    _stream(spark, folder, "documents", "doc_id", handlers.validate_rows, _validation_rows, state)
     return handlers.validated(spark, state).select("seq", "url")
 
 
@@ -384,18 +406,21 @@ def _validation_rows(batch: DataFrame) -> DataFrame:
 
 
 def stream_doc_tags(spark, folder):
-    state = _stream(spark, folder, "documents", handlers.tag_documents, _documents_of)
+    state = _stream(spark, folder, "documents", "doc_id", handlers.tag_documents, _documents_of)
     return handlers.link_tags(spark, state).select("seq", "link", "rank", "tag")
 
 
 def stream_link_tags(spark, folder):
     """Pages are tagged by one stream; a second turns the tags into tables."""
-    tagging = _stream(
-        spark, folder, "pages", handlers.tag_documents, lambda b: extract.link_text(dealt(b, "page_id"))
-    )
     state = scratch_path(spark, "star")
-    source = drivers.file_stream(spark, f"{tagging}/link_tags", schemas.LINK_TAGS)
-    drivers.drain(source, handlers.on(handlers.upsert_link_tags, state), f"{state}/progress")
+
+    def hand_over(tagging: str) -> None:
+        source = drivers.file_stream(spark, f"{tagging}/link_tags", schemas.LINK_TAGS)
+        drivers.drain(source, handlers.on(handlers.upsert_link_tags, state, fold_every=FOLD_EVERY), f"{state}/progress")
+
+    _stream(
+        spark, folder, "pages", "page_id", handlers.tag_documents, lambda b: extract.link_text(dealt(b, "page_id")), then=hand_over
+    )
     return index.search_all(handlers.star(spark, state))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def local_session(cpus: int | str = 8, app: str = "linkloom", memory: str = "8g") -> SparkSession:
@@ -44,8 +46,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path under the shared folder, removed when the innermost ``scratch`` ends."""
+    path = os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove the intermediate tables made inside when it ends.
+
+    Results are lazy: consume them inside, too. Outside of any ``scratch``
+    tables stay until the shared folder is cleaned.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path, in whatever file system it is; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -57,3 +83,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder in sorted hash buckets of ``key`` and read it back.
+
+    A join on the key with a side of ``buckets`` partitions then leaves this side
+    where it is. Only the files last: the catalog entry that buckets need goes.
+    """
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, label)).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

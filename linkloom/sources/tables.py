@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.session import remove
 
 _FOLD = T.StructType([T.StructField("complete", T.BooleanType())])
 
@@ -81,13 +82,35 @@ def fold(
     upto: int,
     combine: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> None:
-    """Rewrite the versions up to ``upto`` as one, so later reads open few files.
+    """Rewrite the versions up to ``upto`` as one and remove them, so later reads open few files.
 
-    The mark that makes readers use it comes last. The versions stay in place:
-    batches replayed below the fold still read them.
+    Only versions of committed batches may be folded: none of them is replayed.
+    The mark that makes readers use the fold comes before the removal, and a
+    fold that was cut short is done again.
     """
-    store(combine(versions_below(spark, path, schema, upto + 1)), f"{path}_folded", upto, "upto")
-    store(spark.createDataFrame([(True,)], _FOLD), f"{path}_folds", upto, "upto")
+    base = _newest_fold(spark, path, upto + 1)
+    if base != upto:
+        store(combine(versions_below(spark, path, schema, upto + 1)), f"{path}_folded", upto, "upto")
+        store(spark.createDataFrame([(True,)], _FOLD), f"{path}_folds", upto, "upto")
+    for folder, last in ((path, upto), (f"{path}_folds", upto - 1), (f"{path}_folded", upto - 1)):
+        for version, place in _versions(spark, folder):
+            if version <= last:
+                remove(spark, place)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """``(version, path)`` of the versions of a table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    paths = [status.getPath() for status in system.listStatus(target)]
+    return [(int(p.getName().split("=")[1]), p.toString()) for p in paths if "=" in p.getName()]
+
+
+def all_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a versioned table, folded or not."""
+    return versions_below(spark, path, schema, 1 << 62)
 
 
 def create_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> None:

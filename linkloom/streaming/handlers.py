@@ -14,7 +14,7 @@ from linkloom import schemas
 from linkloom.operators import dedup, index, tags
 from linkloom.operators.dedup import first_seen
 from linkloom.session import written
-from linkloom.sources.tables import create_if_absent, exclude_stored, fold, store, stored, versions_below
+from linkloom.sources.tables import all_versions, create_if_absent, exclude_stored, fold, store, stored, versions_below
 from linkloom.streaming.drivers import BatchHandler
 
 PRELOAD = -1
@@ -23,7 +23,7 @@ PRELOAD = -1
 
 
 def seen_links(spark: SparkSession, state: str) -> DataFrame:
-    return stored(spark, f"{state}/seen_links", schemas.SEEN_LINKS)
+    return all_versions(spark, f"{state}/seen_links", schemas.SEEN_LINKS)
 
 
 def remember_links(state: str, links: DataFrame, batch_id: int) -> None:
@@ -117,12 +117,19 @@ def tag_documents(state: str, docs: DataFrame, batch_id: int, count: int = 5) ->
 
 def star(spark: SparkSession, state: str) -> index.Star:
     return index.Star(
-        stored(spark, f"{state}/links", schemas.LINKS),
-        stored(spark, f"{state}/tags", schemas.TAGS),
-        stored(spark, f"{state}/junction", schemas.JUNCTION),
+        all_versions(spark, f"{state}/links", schemas.LINKS),
+        all_versions(spark, f"{state}/tags", schemas.TAGS),
+        all_versions(spark, f"{state}/junction", schemas.JUNCTION),
     )
 
 
+_LAST = T.StructType([T.StructField("last", T.LongType())])
+
+
+def _last_id(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.max("last").alias("last"))
+
+
 def create_star(spark: SparkSession, state: str) -> None:
     """Set up the three tables, empty, where they are not there yet."""
     for name, schema in (("links", schemas.LINKS), ("tags", schemas.TAGS), ("junction", schemas.JUNCTION)):
@@ -139,8 +146,11 @@ def upsert_link_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
         path = f"{state}/{table}"
         values = written(index.first_values(rows, column), column)
         known = versions_below(spark, path, schema, batch_id)
-        last = known.agg(F.max("id")).first()[0] or 0
+        # The last id is kept as one row a version, so the store isn't scanned for it.
+        last = _last_id(versions_below(spark, f"{path}_last", _LAST, batch_id)).first()[0] or 0
         store(index.with_ids(exclude_stored(values, known, column), column, last), path, batch_id)
+        fresh = stored(spark, path, schema).where(F.col("batch_id") == batch_id)
+        store(_last_id(fresh.withColumnRenamed("id", "last")), f"{path}_last", batch_id)
         ids = versions_below(spark, path, schema, batch_id + 1)
         return ids.join(values.select(column), column, "left_semi")
 
@@ -155,7 +165,7 @@ def upsert_link_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
 
 
 def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
-    """Fold the named state tables, between batches."""
+    """Fold the named state tables up to a committed batch and remove what that replaces."""
     tables = {
         "seen_links": (schemas.SEEN_LINKS, lambda rows: rows),
         "urls": (_URL, lambda rows: rows),
@@ -163,7 +173,9 @@ def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
         "term_stats": (schemas.TERM_STATS, _sum_terms),
         "corpus_stats": (schemas.CORPUS_STATS, _sum_docs),
         "links": (schemas.LINKS, lambda rows: rows),
+        "links_last": (_LAST, _last_id),
         "tags": (schemas.TAGS, lambda rows: rows),
+        "tags_last": (_LAST, _last_id),
         "junction": (schemas.JUNCTION, lambda rows: rows),
     }
     for name in names:
@@ -171,6 +183,25 @@ def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
         fold(spark, f"{state}/{name}", schema, upto, combine)
 
 
-def on(handler, state: str, prepare=lambda batch: batch) -> BatchHandler:
-    """A ``foreachBatch`` function that applies ``handler`` to a prepared batch."""
-    return lambda batch, batch_id: handler(state, prepare(batch), batch_id)
+#: State that each handler grows, and that a long stream folds.
+STATE = {
+    remember_links: ("seen_links",),
+    validate_rows: ("urls", "hashes"),
+    tag_documents: ("term_stats", "corpus_stats"),
+    upsert_link_tags: ("links", "links_last", "tags", "tags_last", "junction"),
+}
+
+
+def on(handler, state: str, prepare=lambda batch: batch, fold_every: int = 0) -> BatchHandler:
+    """A ``foreachBatch`` function that applies ``handler`` to a prepared batch.
+
+    Every ``fold_every`` batches (0: never) the state of all batches before is
+    folded first: they are committed once another one starts.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if fold_every and batch_id and batch_id % fold_every == 0:
+            fold_state(batch.sparkSession, state, batch_id - 1, *STATE[handler])
+        handler(state, prepare(batch), batch_id)
+
+    return handle

@@ -60,6 +60,17 @@ def test_star_by_micro_batches(spark):
     assert dump(handlers.star(spark, state)) == model(ROWS)
 
 
+def test_long_streams_keep_few_versions(spark):
+    state, source = scratch_path(spark, "star"), scratch_path(spark, "in")
+    for i, row in enumerate(ROWS):
+        tagged(spark, [row]).coalesce(1).write.mode("append").parquet(source)
+        stream = drivers.file_stream(spark, source, schemas.LINK_TAGS)
+        drivers.drain(stream, handlers.on(handlers.upsert_link_tags, state, fold_every=2), f"{state}/progress")
+        for name in handlers.STATE[handlers.upsert_link_tags]:
+            assert stored(spark, f"{state}/{name}", schemas.TAGS.__class__([])).select("batch_id").distinct().count() <= 2
+    assert dump(handlers.star(spark, state)) == model(ROWS)
+
+
 def test_cascade_delete(spark):
     star = index.build_star(tagged(spark))
     links = index.delete_links(star, spark.createDataFrame([("http://a/",)], "link string"))

@@ -99,6 +99,29 @@ def test_a_common_url_leaves_each_task_once(spark, skewed):
     assert texts.count() == 40001 and plan.index("LeftSemi") < plan.index("functions=[partial_min(page_id")
 
 
+def test_a_crawl_round_leaves_the_edges_where_they_are(spark, skewed):
+    graph = inputs.entity_graph(spark, FOLDER)
+    edges = session.bucketed(graph, "src", session.shuffle_partitions(spark), "edges")
+    plan = final_plan(crawl.reached(edges, graph.select("src").distinct()))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(src" in line]
+    assert "Bucketed: true" in plan and len(exchanges) <= 2  # plan and initial plan: the frontier's alone
+
+
+def test_scratch_is_removed(spark):
+    with session.scratch(spark):
+        path = scratch_path(spark, "kept")
+        spark.range(5).write.parquet(path)
+        with session.scratch(spark):
+            inner = session.written(spark.range(3), "inner")
+            files = inner.inputFiles()
+            assert inner.count() == 3
+        with pytest.raises(Exception, match="NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            spark.read.parquet(files[0]).count()
+        assert spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def fake_session(root, master):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: root),
