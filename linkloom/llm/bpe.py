@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bucketed, per_row, ragged, share, tidy
+from linkloom.llm.common import per_row, ragged, share, tidy
+from linkloom.session import bucketed
 
 #: Characters of text in a block, about; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 23

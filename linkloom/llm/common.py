@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,13 +13,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.session import scratch_path
 from linkloom.sources.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A task's memo of words is emptied when it has so many entries; that bounds memory, not results.
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -78,6 +76,11 @@ class Memo(dict):
         return value
 
 
+def each(array: pa.Array) -> Iterator:
+    """The values of an array one after the other, so that a batch of texts is never held twice."""
+    return (scalar.as_py() for scalar in array)
+
+
 def per_row(compute: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Callable[..., Column]:
     """An Arrow function of one column whose state is set up once a task."""
 
@@ -94,21 +97,6 @@ def per_row(compute: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) ->
     return apply
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder in hash buckets of ``key`` and read it back.
-
-    A join on the key with a side of ``buckets`` partitions then leaves this side
-    where it is. Only the files last: the catalog entry that buckets need goes.
-    """
-    spark = df.sparkSession
-    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, label)).saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # resolved while the entry is there
-    spark.sql(f"DROP TABLE {name}")
-    return table
-
-
 def ragged(lengths: np.ndarray, values: pa.Array, large: bool = False) -> pa.Array:
     """A list array from row lengths and the concatenated values."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int64 if large else np.int32)

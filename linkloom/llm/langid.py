@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, share
+from linkloom.llm.common import per_row, share, tidy
 from linkloom.session import written
 
 ORDER = 4
@@ -238,7 +238,7 @@ def learn(spark: SparkSession, docs: DataFrame, held_out: Column, key: str = "do
                     data = [row.tobytes() for row in rows[first]]
                     yield pa.record_batch([[name] * len(n), pa.array(data, pa.binary()), n.astype(np.int64)], names=["lang", "gram", "n"])
 
-    counted = sample.where("part = 0").select("lang", "text").mapInArrow(grams, "lang string, gram binary, n bigint")
+    counted = sample.where("part = 0").select("lang", "text").mapInArrow(tidy(grams), "lang string, gram binary, n bigint")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     rows = np.frombuffer(b"".join(table.column("gram").to_pylist()), np.uint32).reshape(-1, ORDER)

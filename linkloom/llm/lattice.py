@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import share, words
+from linkloom.llm.common import each, share, tidy, words
 from linkloom.session import written
 
 START = "▁"
@@ -155,7 +155,7 @@ def _blocks(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
 
         for batch in batches:
             key_kind = batch.schema.field("key").type
-            for own, data, mark in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "learned"))):
+            for own, data, mark in zip(*map(each, (batch.column(c) for c in ("key", "text", "learned")))):
                 n = len(data) if data else 0
                 if size and size + n > BLOCK_CHARS:
                     yield block()
@@ -170,7 +170,7 @@ def _blocks(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
             yield block()
 
     schema = f"block bigint, keys array<{kind}>, marks array<boolean>, lengths binary, stream binary, words array<struct<word: string, n: bigint>>"
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def fit(spark: SparkSession, counts: DataFrame, n_texts: int, scores: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
@@ -191,7 +191,7 @@ def fit(spark: SparkSession, counts: DataFrame, n_texts: int, scores: dict[str,
                     lattice.add_expected(START + word, c, totals)
             yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.float64())], names=["piece", "n"])
 
-        found = learned.mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        found = learned.mapInArrow(tidy(expect), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         expected = {row["piece"]: row["n"] for row in found} | {END: float(n_texts)}
         total = math.log(sum(expected.values()) + SMOOTHING * len(weights))
         weights = {piece: math.log(expected.get(piece, 0.0) + SMOOTHING) - total for piece in weights}
@@ -230,7 +230,7 @@ def score(spark: SparkSession, docs: DataFrame, learned: Column, scores: dict[st
             found = [lattice.log_probability(START + w) for w in batch.column("word").to_pylist()]
             yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(found, pa.float64())], names=["word", "c", "p"])
 
-    marked = written(counts.mapInArrow(mark, "word string, c bigint, p double"), "lm-scored")
+    marked = written(counts.mapInArrow(tidy(mark), "word string, c bigint, p double"), "lm-scored")
     entries = listed.select("block", "place", "word").join(marked, "word").select("block", F.struct("place", "c", "p").alias("entry"))
     back = entries.groupBy("block").agg(F.collect_list("entry").alias("entries"))
     joined = blocks.drop("words").join(back, "block", "left")
@@ -269,4 +269,4 @@ def score(spark: SparkSession, docs: DataFrame, learned: Column, scores: dict[st
 
     kind = docs.schema[key].dataType.simpleString()
     out = "learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return joined.mapInArrow(total_up, f"key {kind}, {out}").withColumnRenamed("key", key)
+    return joined.mapInArrow(tidy(total_up), f"key {kind}, {out}").withColumnRenamed("key", key)

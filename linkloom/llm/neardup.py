@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Memo, per_row, ragged, utf8, words
+from linkloom.llm.common import each, Memo, per_row, ragged, utf8, words
 from linkloom.llm.graph import components
 from linkloom.session import written
 
@@ -53,7 +53,7 @@ def _sketches(size: int):
         memo = _word_memo()
 
         def sketch(texts: pa.Array) -> pa.Array:
-            sets = [shingle_hashes(words(data), size, memo) for data in texts.to_pylist()]
+            sets = [shingle_hashes(words(data), size, memo) for data in each(texts)]
             least = [s[:SKETCH] for s in sets]
             flat = np.concatenate([*least, np.zeros(0, np.int64)])
             columns = [
@@ -73,7 +73,7 @@ def _full_sets(size: int):
         memo = _word_memo()
 
         def full(texts: pa.Array) -> pa.Array:
-            sets = [shingle_hashes(words(data), size, memo) for data in texts.to_pylist()]
+            sets = [shingle_hashes(words(data), size, memo) for data in each(texts)]
             return ragged(np.array([len(s) for s in sets], np.int64), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
         return full

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, share
+from linkloom.llm.common import each, per_row, share
 from linkloom.session import written
 
 #: The patterns of the base kinds, in order, with the group whose length counts and its least length.
@@ -230,7 +230,7 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
 
     def start():
         kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-        return lambda texts: pa.array([_labelled(value) for value in texts.to_pylist()], kind)
+        return lambda texts: pa.array([_labelled(value) for value in each(texts)], kind)
 
     found = docs.select(F.explode(per_row(start, "array<struct<kind: string, value: string>>")(F.col(text))).alias("f"))
     values = found.select("f.kind", "f.value").where(F.length("value") <= LEARN_LENGTH).distinct()
@@ -260,7 +260,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, formats: Formats, text: s
 
         def scan(texts: pa.Array) -> pa.Array:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-            both = [spans(value, formats) for value in texts.to_pylist()]
+            both = [spans(value, formats) for value in each(texts)]
             sides = [[[dict(zip(("start", "end", "kind"), s)) for s in pair[i]] for pair in both] for i in (0, 1)]
             return pa.StructArray.from_arrays([pa.array(side, kind) for side in sides], names=["base", "added"])
 
@@ -292,6 +292,6 @@ def redact(spark: SparkSession, docs: DataFrame, formats: Formats, text: str = "
                 reach = at = max(reach, end)
             return "".join([*out, value[at:]])
 
-        return lambda texts: pa.array([clean(value) for value in texts.to_pylist()], pa.string())
+        return lambda texts: pa.array([clean(value) for value in each(texts)], pa.string())
 
     return docs.withColumn(text, per_row(start, "string")(F.col(text)))

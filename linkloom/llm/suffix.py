@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Memo, utf8, words
+from linkloom.llm.common import each, Memo, tidy, utf8, words
 from linkloom.session import written
 
 #: A repeated passage of so many words is certain to be found whole.
@@ -158,7 +158,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _matches(kept: DataFrame) -> DataFrame:
     """``(doc, place, further, other, other_place, many)``: suffixes that another document has too (``many``: perhaps several)."""
     ordered = kept.repartitionByRange("leading", "doc", "place").sortWithinPartitions("leading", "doc", "place")
-    found = written(ordered.mapInArrow(_neighbours, _NEIGHBOUR), "suffix-neighbours")
+    found = written(ordered.mapInArrow(tidy(_neighbours), _NEIGHBOUR), "suffix-neighbours")
     sure = found.where(F.col("state") == REPEATED)
     open_ = found.where(F.col("state") == UNDECIDED).select("leading", "doc", "place", "further")
     ends = found.where(F.col("state") == WITNESS).select("leading", F.col("doc").alias("other"), F.col("place").alias("other_place"))
@@ -269,15 +269,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh3_64_intdigest)
         for batch in batches:
-            found = [suffixes(_hashes(data, memo)) for data in batch.column("text").to_pylist()]
+            found = [suffixes(_hashes(data, memo)) for data in each(batch.column("text"))]
             doc = np.repeat(batch.column("doc").to_numpy(), [len(f[0]) for f in found])
             leading, place, further = (np.concatenate([f[i] for f in found]) if found else [] for i in range(3))
             yield pa.record_batch([pa.array(leading, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(further, pa.int32())], names=["leading", "doc", "place", "further"])
 
-    kept = written(source.mapInArrow(keep, _SUFFIX), "suffixes")
+    kept = written(source.mapInArrow(tidy(keep), _SUFFIX), "suffixes")
     matches = _matches(kept)
     of_doc = matches.groupBy("doc").agg(F.collect_list(F.struct("place", "further", "other", "other_place", "many")).alias("found"))
-    runs = written(of_doc.mapInArrow(_runs, _RUN), "runs")
+    runs = written(of_doc.mapInArrow(tidy(_runs), _RUN), "runs")
 
     # Each end of a run, and the same place in the document that it was matched with.
     left = runs.select("doc", "start", F.lit(0).alias("side"), F.col("start").alias("at"), F.col("l_doc").alias("other"), F.col("l_place").alias("other_at"))
@@ -287,7 +287,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     asked = written(asked.groupBy("doc").agg(F.collect_set(F.struct("side", "at")).alias("asked")), "asked")
     few = asked.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     texts = source.join(F.broadcast(asked) if few else asked, "doc")
-    near = written(texts.mapInArrow(_contexts, "doc bigint, side int, at int, near array<bigint>").dropDuplicates(["doc", "side", "at"]), "near")
+    near = written(texts.mapInArrow(tidy(_contexts), "doc bigint, side int, at int, near array<bigint>").dropDuplicates(["doc", "side", "at"]), "near")
     theirs = near.select(F.col("doc").alias("other"), "side", F.col("at").alias("other_at"), F.col("near").alias("theirs"))
     reach = sides.join(near, ["doc", "side", "at"]).join(theirs, ["other", "side", "other_at"])
     reach = reach.select("doc", "start", "side", "at", _common("near", "theirs").alias("n"))

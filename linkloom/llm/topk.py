@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import tidy
 from linkloom.session import written
 
 #: Rows of a packed block. A task holds one score array of ``QUERY_ROWS x CANDIDATE_ROWS``.
@@ -63,7 +64,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                 )
                 block += 1
 
-    return rows.mapInArrow(pack, _BLOCK)
+    return rows.mapInArrow(tidy(pack), _BLOCK)
 
 
 def _postings(row: dict, side: str) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -159,7 +160,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
                 )
 
     cells = left.join(right.hint("merge"), ["cq", "cc"]).drop("cq", "cc", "c_block")
-    found = cells.mapInArrow(search, "block bigint, row bigint, query_id bigint, vec_id bigint, score bigint")
+    found = cells.mapInArrow(tidy(search), "block bigint, row bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("block", "row").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, share
+from linkloom.llm.common import each, per_row, share, tidy
 from linkloom.session import written
 
 #: Labelled documents learned from, of each label at most (about), and their greatest length
@@ -195,7 +195,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
 
     words = {r["label"]: r["n"] for r in sample.groupBy("label").agg((F.sum(F.size(F.split("text", r"\s+")))).alias("n")).collect()}
     kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
-    counted = sample.mapInArrow(count, "entry string, kind int, n bigint").groupBy("entry").agg(
+    counted = sample.mapInArrow(tidy(count), "entry string, kind int, n bigint").groupBy("entry").agg(
         kind(1).alias("docs"), ((kind(3) + 0.5) / words[1] / ((kind(2) + 0.5) / words[0])).alias("ratio")
     )
     entries = counted.where((F.col("docs") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
@@ -219,7 +219,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
             )
 
     taken_docs = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    around = sample.mapInArrow(phrases, "entry string, kind int, n bigint").groupBy("entry").agg(kind(0).alias("clean"), kind(1).alias("toxic"))
+    around = sample.mapInArrow(tidy(phrases), "entry string, kind int, n bigint").groupBy("entry").agg(kind(0).alias("clean"), kind(1).alias("toxic"))
     rare = F.col("toxic") / taken_docs[1] <= F.col("clean") / taken_docs[0]
     excepted = around.where((F.col("clean") >= EXCEPTION_DOCS) & rare).orderBy(F.col("clean").desc(), "entry").limit(ENTRIES)
     exceptions = {r["entry"] for r in excepted.collect()}
@@ -229,7 +229,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
 
     def start():
         lexicon = Lexicon(*final())
-        return lambda texts: pa.array([lexicon.features(t).tolist() for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return lambda texts: pa.array([lexicon.features(t).tolist() for t in each(texts)], pa.list_(pa.float64()))
 
     rows = sample.select("label", per_row(start, "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
@@ -250,6 +250,6 @@ def score(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, text: str = "t
 
     def start():
         lexicon = Lexicon(*shared())
-        return lambda texts: pa.array([lexicon.score(t) for t in texts.to_pylist()], pa.float64())
+        return lambda texts: pa.array([lexicon.score(t) for t in each(texts)], pa.float64())
 
     return docs.withColumn(name, per_row(start, "double")(F.col(text)))

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Memo, per_row, share, utf8
+from linkloom.llm.common import each, Memo, per_row, share, utf8
 
 START = "▁"
 
@@ -104,7 +104,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, pieces: list[str], text:
         memo = Memo(automaton().pieces_in)
 
         def count(texts: pa.Array) -> pa.Array:
-            split = [data.split() if data else [] for data in texts.to_pylist()]
+            split = [data.split() if data else [] for data in each(texts)]
             n_words = np.fromiter(map(len, split), np.int64, len(split))
             n_tokens = np.fromiter((sum(map(memo.__getitem__, row)) for row in split), np.int64, len(split))
             return pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_tokens)], names=["words", "tokens"])
