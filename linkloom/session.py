@@ -19,7 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "linkloom", memory: str = "8g"
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("linkloom.deal", str(cpus))
+        .config("spark.linkloom.deal", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

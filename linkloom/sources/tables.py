@@ -16,7 +16,7 @@ _FOLD = T.StructType([T.StructField("complete", T.BooleanType())])
 
 #: Session setting: partitions that input tables are dealt out to. For files of
 #: few row groups, which no scan can split; unset, as on a cluster, scans stay as they are.
-DEAL = "linkloom.deal"
+DEAL = "spark.linkloom.deal"
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:

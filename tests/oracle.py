@@ -61,7 +61,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     db, sql = connect(folder), entry.oracle_sql()
     for name, query in entry.queries().items():
-        if names and name not in names:
+        if name not in sql or names and name not in names:
             continue
         start = time.time()
         try:
