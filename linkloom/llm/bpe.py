@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, ragged, share, tidy
+from linkloom.llm.common import per_row, ragged, share, small_batches, tidy
 from linkloom.session import bucketed
 
 #: Characters of text in a block, about; a longer text is a block of its own.
@@ -143,6 +143,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
     bounded by its size. The blocks' table is bucketed by block, so the positions,
     the bulk of it, are joined where they lie. The vocabulary is broadcast.
     """
+    small_batches(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = share(spark, (ranks, pattern))
     blocks = bucketed(_blocks(docs, key, text, pattern, buckets), "block", buckets, "blocks")
@@ -206,6 +207,7 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int], ids
     id without a token is an error. Null ids give null, no ids no bytes. All rows
     and columns stay; a column of that name is replaced.
     """
+    small_batches(spark)
     table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token

@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A task's memo of words is emptied when it has so many entries; that bounds memory, not results.
 MEMO_WORDS = 1 << 18
+#: Rows of text that a worker holds at a time.
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -44,6 +46,16 @@ def remainder(key: str | Column, parts: int) -> Column:
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % parts
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to Python in batches of ``BATCH_ROWS`` rows, unless the session has a setting of its own.
+
+    Spark's default of 10,000 rows is meant for narrow rows. It changes no result.
+    """
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def share(spark: SparkSession, model) -> Callable:
     """Broadcast a model of bounded size; the function returned gives it inside tasks."""
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))

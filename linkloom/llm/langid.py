@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, share, tidy
+from linkloom.llm.common import per_row, share, small_batches, tidy
 from linkloom.session import written
 
 ORDER = 4
@@ -210,6 +210,7 @@ def learn(spark: SparkSession, docs: DataFrame, held_out: Column, key: str = "do
     others set the language's rejection limit: those with the smallest hashes of
     key and text. None without labelled documents.
     """
+    small_batches(spark)
     usable = ~held_out & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LEARN_CHARS)
     labelled = docs.where(F.coalesce(usable, F.lit(False)))
     u = F.pmod(F.xxhash64(F.col(key), F.xxhash64(text)), F.lit(1 << 40)) / (1 << 40)
@@ -270,6 +271,7 @@ def identify(spark: SparkSession, docs: DataFrame, models: Models | None, text:
     stay; columns of these names are replaced. The models are broadcast; the
     bounded sample bounds their size. Nothing is shuffled.
     """
+    small_batches(spark)
     shared = share(spark, models)
 
     def start():

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, share, tidy, words
+from linkloom.llm.common import each, share, small_batches, tidy, words
 from linkloom.session import written
 
 START = "▁"
@@ -214,6 +214,7 @@ def score(spark: SparkSession, docs: DataFrame, learned: Column, scores: dict[st
     common word crosses the network once a block. Counts and likelihoods of
     distinct words are computed once, wherever the word is dealt.
     """
+    small_batches(spark)
     blocks = written(_blocks(docs, key, text, learned), "lm-blocks")
     listed = blocks.select("block", F.posexplode("words").alias("place", "w")).select("block", "place", "w.word", "w.n")
     counts = written(listed.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, Memo, per_row, ragged, utf8, words
+from linkloom.llm.common import Memo, each, per_row, ragged, small_batches, utf8, words
 from linkloom.llm.graph import components
 from linkloom.session import written
 
@@ -231,6 +231,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     filtered by union-sketch estimation and verified on full sets. A list is done
     when all of it is one component; the rest is compared in blocks, exactly.
     """
+    small_batches(spark)
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     marked = source.select("id", _sketches(shingle)(utf8("text")).alias("s")).select("id", "s.n", "s.set_id", "s.sketch")
     rows = written(marked, "sketches")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, per_row, share
+from linkloom.llm.common import each, per_row, share, small_batches
 from linkloom.session import written
 
 #: The patterns of the base kinds, in order, with the group whose length counts and its least length.
@@ -228,6 +228,8 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
     documents or credentials the formats find nothing.
     """
 
+    small_batches(docs.sparkSession)
+
     def start():
         kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
         return lambda texts: pa.array([_labelled(value) for value in each(texts)], kind)
@@ -253,6 +255,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, formats: Formats, text: s
     the two names are replaced. The formats are broadcast; a bounded sample
     bounds their size. Nothing is shuffled.
     """
+    small_batches(spark)
     shared = share(spark, formats)
 
     def start():
@@ -276,6 +279,7 @@ def redact(spark: SparkSession, docs: DataFrame, formats: Formats, text: str = "
 
     Where spans overlap, the whole stretch is replaced under the first one's kind.
     """
+    small_batches(spark)
     shared = share(spark, formats)
 
     def start():

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, Memo, tidy, utf8, words
+from linkloom.llm.common import Memo, each, small_batches, tidy, utf8, words
 from linkloom.session import written
 
 #: A repeated passage of so many words is certain to be found whole.
@@ -264,6 +264,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     range-sorted by leading words, document and place: a passage of any number of
     copies is cut at documents, and each suffix meets its neighbours only.
     """
+    small_batches(spark)
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), utf8(text).alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, per_row, share, tidy
+from linkloom.llm.common import each, per_row, share, small_batches, tidy
 from linkloom.session import written
 
 #: Labelled documents learned from, of each label at most (about), and their greatest length
@@ -167,6 +167,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
     as toxic; null labels, keys and texts are left out. Without documents of
     both labels the lexicon is empty and every score is the share of toxic labels (0 without any).
     """
+    small_batches(spark)
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
     marked = marked.agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
     usable = docs.where(F.coalesce(~held_out & (F.length(text) <= LEARN_CHARS), F.lit(False)))
@@ -246,6 +247,7 @@ def score(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, text: str = "t
     columns stay; a column of that name is replaced. The lexicon is broadcast; it
     is bounded by ``ENTRIES``. Nothing is shuffled.
     """
+    small_batches(spark)
     shared = share(spark, (lexicon.weights, lexicon.exceptions, lexicon.coefficients))
 
     def start():

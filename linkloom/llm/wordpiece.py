@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, Memo, per_row, share, utf8
+from linkloom.llm.common import Memo, each, per_row, share, small_batches, utf8
 
 START = "▁"
 
@@ -98,6 +98,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, pieces: list[str], text:
     replaced (choose another ``prefix`` to keep them). The automaton is broadcast: its size is
     that of the vocabulary, never of the data. Nothing is shuffled.
     """
+    small_batches(spark)
     automaton = share(spark, Automaton(pieces))
 
     def start():
