@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.sources.tables import table
@@ -19,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A task's memo of words is emptied when it has so many entries; that bounds memory, not results.
 MEMO_WORDS = 1 << 18
-#: Rows of text that a worker holds at a time.
-BATCH_ROWS = 1000
+#: Rows of text that a worker is given at a time, and their bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -47,19 +45,60 @@ def remainder(key: str | Column, parts: int) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have texts go to Python in batches of ``BATCH_ROWS`` rows, unless the session has a setting of its own.
+    """Have texts go to Python in batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, whichever is less.
 
-    Spark's default of 10,000 rows is meant for narrow rows. It changes no result.
+    Spark's defaults (10,000 rows, 64 MB) are meant for narrow rows. A setting of
+    the session's own stays. It changes no result, and holds for the session's later queries too.
     """
-    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(name, usual) == usual:
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, ours in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.max{name}PerBatch"  # a number that nobody sets tells that it is unset
+        if spark.conf.get(setting, "1234567") == "1234567":
+            spark.conf.set(setting, str(ours))
 
 
-def share(spark: SparkSession, model) -> Callable:
-    """Broadcast a model of bounded size; the function returned gives it inside tasks."""
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
-    return lambda: pickle.loads(shared.value)
+class Shared:
+    """A broadcast model of bounded size. Called inside tasks it gives the model: one copy a worker, none a task."""
+
+    def __init__(self, spark: SparkSession, model):
+        self._model = spark.sparkContext.broadcast(model)
+
+    def __call__(self):
+        return self._model.value
+
+    def release(self) -> None:
+        """Free it everywhere. Only when all that used it has been written."""
+        self._model.destroy()
+
+
+def share(spark: SparkSession, model) -> Shared:
+    """Broadcast a model of bounded size; what is returned gives it inside tasks. Models must not be changed there."""
+    return Shared(spark, model)
+
+
+#: Rows below which a group is ranked as a whole.
+_RANKED = 64
+
+
+def least_hashes(rows: DataFrame, group: str, most: int, order: list[str]) -> DataFrame:
+    """Of each group of distinct rows ``(group, u, …)`` the ``most`` of the least hashes ``u``, with their ``rank``.
+
+    All of a group that has fewer. ``rows`` should be a written table: it is read
+    twice. What is ranked is cut by hash first, to about four times ``most``: no
+    task gets more of a group. Ties go by ``order``. The driver gets a row a group.
+    """
+    share_of = F.lit(False)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).collect()
+    for row in sorted(sizes, key=lambda r: str(r[group])):
+        low = min(1.0, 4 * max(most, _RANKED) / row["n"]) * (1 << 40)
+        share_of = share_of | ((F.col(group) == row[group]) & (F.pmod("u", F.lit(1 << 40)) <= int(low)))
+    by_hash = Window.partitionBy(group).orderBy(F.pmod("u", F.lit(1 << 40)), *order)
+    return rows.where(share_of).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)
+
+
+def if_small(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """A written table to join with: broadcast if its rows, of ``size`` bytes each, hold no more than ``most`` in all."""
+    held = df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
 def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import per_row, share, small_batches, tidy
+from linkloom.llm.common import each, least_hashes, per_row, share, small_batches, tidy
 from linkloom.session import written
 
 ORDER = 4
-#: Documents learned from, of each language at most (about), and their greatest length in
-#: characters; as many more calibrate rejection. Both bound what the driver gets.
-LEARN_DOCS, LEARN_CHARS, CALIBRATE_DOCS = 2000, 20_000, 300
+#: Documents learned from, of each language at most, and their characters in all (the text
+#: that crosses this bound is the last). Both bound what the driver gets.
+LEARN_DOCS, LEARN_CHARS = 2000, 8_000_000
+#: Others that calibrate rejection: documents, characters in all, and the share of a small language set aside.
+CALIBRATE_DOCS, CALIBRATE_CHARS, ASIDE = 300, 2_000_000, 0.2
 #: A text is rejected when its cross-entropy exceeds that of so many of its language's own texts.
 REJECT_QUANTILE = 0.999
 #: The confidence looks at no more than so many characters.
@@ -205,31 +207,36 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
 def learn(spark: SparkSession, docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Models | None:
     """Models of the languages of the documents that are not held out.
 
-    Of each non-null language about ``LEARN_DOCS`` documents of up to
-    ``LEARN_CHARS`` characters are learned from, and about ``CALIBRATE_DOCS``
-    others set the language's rejection limit: those with the smallest hashes of
-    key and text. None without labelled documents.
+    Of each non-null language up to ``LEARN_DOCS`` documents with ``LEARN_CHARS``
+    characters in all are learned from, one at least, however long; up to
+    ``CALIBRATE_DOCS`` others set the language's rejection limit (none: nothing is
+    rejected). They are those with the smallest hashes of key and text; repeated
+    rows count once. A language all of whose texts are without letters is not learned. None without labelled documents.
     """
     small_batches(spark)
-    usable = ~held_out & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LEARN_CHARS)
+    usable = ~held_out & F.col(lang).isNotNull() & F.col(text).isNotNull()
     labelled = docs.where(F.coalesce(usable, F.lit(False)))
-    u = F.pmod(F.xxhash64(F.col(key), F.xxhash64(text)), F.lit(1 << 40)) / (1 << 40)
-    sizes = {row.lang: row.n for row in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    part = F.lit(None).cast("int")
-    for name, n in sorted(sizes.items()):
-        own = F.col(lang) == name
-        learned = min(LEARN_DOCS / n, 0.8)
-        part = F.when(own & (u < learned), 0).when(own & (u < learned + CALIBRATE_DOCS / n), 1).otherwise(part)
-    sample = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), part.alias("part")).where("part is not null")
-    sample = written(sample, "language-sample")
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
+    known = labelled.groupBy("lang", "_key", "_text").agg(F.first(F.length("text")).alias("size"))
+    known = written(known.withColumn("u", F.xxhash64("_key", "_text")), "language-keys")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    ranked = least_hashes(known, "lang", LEARN_DOCS + CALIBRATE_DOCS, ["_key", "_text"]).join(sizes, "lang")
+    learned = F.least(F.lit(LEARN_DOCS), F.greatest(F.lit(1), F.floor((1 - ASIDE) * F.col("n"))))
+    part = F.when(F.col("rank") <= learned, 0).otherwise(1)
+    before = F.sum("size").over(Window.partitionBy("lang", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    bound = F.when(F.col("part") == 0, LEARN_CHARS).otherwise(CALIBRATE_CHARS)
+    chosen = ranked.withColumn("part", part).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < bound)
+    # A bounded number of keys a language: no text is shuffled to meet them.
+    chosen = written(chosen.select("lang", "_key", "_text", "part"), "language-chosen")
+    same = ["lang", "_key", "_text"]
+    sample = labelled.join(F.broadcast(chosen), same).groupBy(*same, "part").agg(F.first("text").alias("text"))
+    sample = written(sample.select("lang", "text", "part"), "language-sample")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = _letters()
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").to_pylist()
+            texts = list(each(batch.column("text")))
             for name in sorted(set(langs)):
                 for _, group in _groups([t for t, own in zip(texts, langs) if own == name]):
                     code, _ = codes(group, is_letter)

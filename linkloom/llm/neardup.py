@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import Memo, each, per_row, ragged, small_batches, utf8, words
 from linkloom.llm.graph import components
+from linkloom.operators.ordering import numbered
 from linkloom.session import written
 
 SHINGLE, SIMILARITY = 5, 80
@@ -256,13 +257,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     split = both.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
     rest = written(both.join(written(split, "split-lists"), "value"), "rest")
     more = _residual_links(rest, sets, similarity)
-    again = usable.select("id", "set_id").join(classes.select("set_id", "node"), "set_id").groupBy("id").agg(
-        F.min("node").alias("a"), F.max("node").alias("b")
-    )
-    # A key with several texts ties their classes together, through the key itself.
-    several = again.where("a <> b")
-    tied = usable.join(classes.select("set_id", "node"), "set_id").join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    edges = links.unionByName(more).unionByName(tied.where("a <> b"))
+    edges = links.unionByName(more)
+    # A key with several texts ties their classes together, through the key itself. Its copies meet first.
+    several = usable.groupBy("id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("id")
+    several = written(several, "several")
+    if not several.isEmpty():
+        texts = usable.select("id", "set_id").distinct().join(several, "id").join(classes.select("set_id", "node"), "set_id")
+        edges = edges.unionByName(texts.select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b"))
     final = written(components(edges), "final-components")
     of_class = classes.select("set_id", "node").join(final, "node", "left")
     of_class = written(of_class.select("set_id", F.coalesce("component", "node").alias("component")).groupBy("set_id").agg(F.min("component").alias("component")), "class-components")
@@ -277,19 +278,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     )
 
 
+def _told_apart(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with a number ``_id`` that is the key, or where keys have several texts one for each key and text, in that order."""
+    hashed = F.xxhash64(text)
+    several = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(hashed).alias("x"), F.max(hashed).alias("y")).where("x <> y")
+    if several.isEmpty():
+        return docs.withColumn("_id", F.col(key).cast("bigint"))
+    named = docs.withColumn("_text", F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit(1), text), F.coalesce(F.length(text), F.lit(-1))))
+    each_text = named.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("_text").alias("_named")).distinct()
+    numbers = numbered(each_text, ["_key", "_named"], "_id")
+    return named.join(numbers, (F.col(key) == F.col("_key")) & (F.col("_text") == F.col("_named")), "left").drop("_key", "_text", "_named")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which one a group of near-duplicates stays: that of the smallest key.
 
-    Of rows with the same key, which are one document, one stays (any). Rows without a key stay.
+    Rows that agree in key and text are one, and the least of them by its columns stays.
+    Rows with one key and different texts are different documents here: a row goes only
+    if a near-duplicate of its own text stays. Rows without a key stay.
     """
-    found = near_duplicates(spark, docs, key, text, shingle, similarity).where(F.col(key).isNotNull())
-    marks = written(found.groupBy(key).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 or not kept"), "dropped")
-    changed = written(marks.select(F.col(key).alias("_key"), F.when(F.col("kept"), True).alias("_repeated")), "changed")
+    told = _told_apart(docs, key, text)
+    found = near_duplicates(spark, told.select("_id", text), "_id", text, shingle, similarity).where(F.col("_id").isNotNull())
+    marks = found.groupBy("_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 or not kept")
+    changed = written(marks.select(F.col("_id").alias("_key"), F.when(F.col("kept"), True).alias("_repeated")), "changed")
     few = changed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     side = F.broadcast(changed) if few else changed
-    rest = docs.join(side.select("_key"), docs[key] == F.col("_key"), "left_anti")
+    rest = told.join(side.select("_key"), F.col("_id") == F.col("_key"), "left_anti").drop("_id")
     repeated = changed.where("_repeated")
     if repeated.isEmpty():
         return rest
-    rows = docs.join(repeated.select("_key"), docs[key] == F.col("_key"), "left_semi").dropDuplicates([key])
-    return rest.unionByName(rows)
+    rows = told.join(repeated.select("_key"), F.col("_id") == F.col("_key"), "left_semi")
+    least = rows.groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.unionByName(least.select("row.*"))

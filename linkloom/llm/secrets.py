@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, per_row, share, small_batches
+from linkloom.llm.common import each, per_row, share, small_batches, tidy
 from linkloom.session import written
 
 #: The patterns of the base kinds, in order, with the group whose length counts and its least length.
@@ -22,14 +22,14 @@ BASE = {
 }
 KINDS = tuple(BASE)
 
-#: What the method may call a credential: a run of these characters of such a length.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: What the method may call a credential: a run of these characters of such a length. Dots stand inside only.
+CANDIDATE = r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]"
 
-#: Labelled credentials learned from, of each kind at most (those with the smallest hashes).
+#: Labelled credentials learned from, of each kind, and plain long words, at most (those with the smallest hashes).
 SAMPLE = 4000
 LEARN_LENGTH = 512
-#: One in so many of the other long words, by hash, is what plain words look like.
-PLAIN_SHARE = 64
+#: Classes of characters that a candidate is made of, and its end: what a character is worth where nothing is known.
+CLASSES = 11
 ALPHA = 0.05  # Hoeffding bound of the compatibility test
 LEAST_COUNT = 10  # states seen less often are merged without a test
 #: Least log10 likelihood per character over that of plain words, and in all, of a credential.
@@ -174,44 +174,87 @@ class Grammar:
 
 
 class Formats:
-    """The grammars of the kinds, and that of plain words to compare with."""
+    """The grammars of the kinds, and that of plain words to compare with (every word is as likely without any)."""
 
     def __init__(self, credentials: dict[str, list[str]], plain: list[str]):
         self.kinds = {kind: Grammar(map(symbols, values)) for kind, values in sorted(credentials.items()) if values}
         self.plain = Grammar(map(symbols, plain)) if plain else None
 
-    def is_credential(self, value: str) -> bool:
-        if not self.kinds or self.plain is None:
+    def _plain(self, shape: str) -> float:
+        return self.plain.likelihood(shape) if self.plain else -(len(shape) + 1) * math.log10(CLASSES)
+
+    def _best(self, shape: str) -> float:
+        return max(g.likelihood(shape) for g in self.kinds.values())
+
+    def is_credential(self, value: str, known: tuple[int, int] | None = None) -> bool:
+        """Whether a run is likelier by a format than as a plain word.
+
+        ``known`` is the part of it that a base pattern found: it may then also be that
+        format with any characters before and behind.
+        """
+        if not self.kinds:
             return False
         shape = symbols(value)
-        gain = max(g.likelihood(shape) for g in self.kinds.values()) - self.plain.likelihood(shape)
+        likely = self._best(shape)
+        if known:
+            rest = len(value) - (known[1] - known[0])
+            likely = max(likely, self._best(shape[known[0] : known[1]]) - rest * math.log10(CLASSES))
+        gain = likely - self._plain(shape)
         return gain >= IN_ALL and gain >= PER_CHARACTER * len(value)
 
 
-def loose(text: str, base: list[tuple[int, int, str]]) -> Iterator[re.Match]:
-    """Candidates that touch no base span; one sweep over both."""
-    at = reach = 0
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[re.Match, tuple[int, int, str] | None]]:
+    """Runs that lie inside no base span, each with the longest base span that it overlaps; one sweep over both."""
+    at, live = 0, []
     for match in _CANDIDATE.finditer(text):
         start, end = match.span()
         while at < len(base) and base[at][0] < end:
-            reach, at = max(reach, base[at][1]), at + 1
-        if reach <= start:
-            yield match
+            live.append(base[at])
+            at += 1
+        live = [s for s in live if s[1] > start]
+        if not any(s[0] <= start and end <= s[1] for s in live):
+            yield match, max(live, key=lambda s: (min(s[1], end) - max(s[0], start), -s[0]), default=None)
+
+
+def _known(text: str, match: re.Match, span: tuple[int, int, str] | None) -> tuple[int, int] | None:
+    """Where a base span's credential lies in a run."""
+    if span is None:
+        return None
+    start = _PATTERNS["assign"][0].match(text, span[0]).start(2) if span[2] == "assign" else span[0]
+    low, high = max(start, match.start()), min(span[1], match.end())
+    return (low - match.start(), high - match.start()) if low < high else None
 
 
 def spans(text: str | None, formats: Formats) -> tuple[list, list]:
-    """The base spans, and those that the formats add."""
+    """The base spans, and those that the formats add: runs that reach beyond base spans, or touch none."""
     base = base_spans(text)
-    added = [(*m.span(), "format") for m in loose(text or "", base) if formats.is_credential(m.group())]
-    return base, added
+    found = candidates(text or "", base)
+    return base, [(*m.span(), "format") for m, span in found if formats.is_credential(m.group(), _known(text, m, span))]
 
 
-def _labelled(text: str | None) -> list[dict]:
-    """Credentials by kind, and a fixed share of the other long words (by hash) as kind ``''``."""
+def _labelled(text: str | None) -> Iterator[tuple[str, str]]:
+    """Credentials by kind, and the runs that overlap none as kind ``''``."""
     base = base_spans(text)
-    plain = (m.group() for m in loose(text or "", base))
-    found = [{"kind": kind, "value": _value(text[s:e], kind)} for s, e, kind in base]
-    return found + [{"kind": "", "value": v} for v in plain if zlib.crc32(v.encode()) % PLAIN_SHARE == 0]
+    yield from ((kind, _value(text[s:e], kind)) for s, e, kind in base)
+    yield from (("", m.group()) for m, span in candidates(text or "", base) if span is None)
+
+
+class _Least(dict):
+    """The values with the least hashes, up to ``most`` of a kind: what several such hold together holds all of the least."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self._most, self._limit = most, 1 << 64
+
+    def add(self, value: str) -> None:
+        u = xxhash.xxh3_64_intdigest(value)
+        if u < self._limit and value not in self:
+            self[value] = u
+            if len(self) >= 4 * self._most + 64:
+                kept = sorted(self.items(), key=lambda x: (x[1], x[0]))[: self._most]
+                self.clear()
+                self.update(kept)
+                self._limit = kept[-1][1]
 
 
 def _value(match: str, kind: str) -> str:
@@ -221,37 +264,43 @@ def _value(match: str, kind: str) -> str:
 def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
     """Formats of the distinct credentials that the base patterns find in all documents.
 
-    Of each kind about ``sample`` values with the smallest hashes are learned
-    from (all, if fewer; values of up to ``LEARN_LENGTH`` characters), and as many
-    of the other long words; that bounds what the driver gets. The sample depends
-    on the values alone, neither on row order nor on partitions. Without
-    documents or credentials the formats find nothing.
+    Of each kind up to ``sample`` values with the smallest hashes are learned
+    from (values of up to ``LEARN_LENGTH`` characters), and as many plain words:
+    other runs of a candidate's form. A task hands on no more than that of each, and so
+    does the driver get. The sample depends on the values alone, neither on row
+    order nor on partitions. Without plain words every character counts as
+    likely as another. Without documents or credentials the formats find nothing.
     """
 
     small_batches(docs.sparkSession)
 
-    def start():
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-        return lambda texts: pa.array([_labelled(value) for value in each(texts)], kind)
-
-    found = docs.select(F.explode(per_row(start, "array<struct<kind: string, value: string>>")(F.col(text))).alias("f"))
-    values = found.select("f.kind", "f.value").where(F.length("value") <= LEARN_LENGTH).distinct()
-    values = written(values.withColumn("u", F.pmod(F.xxhash64("value"), F.lit(1 << 40)) / (1 << 40)), "credentials")
-    sizes = {row.kind: row.n for row in values.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    taken = F.lit(False)
-    for kind, n in sorted(sizes.items()):
-        taken = taken | ((F.col("kind") == kind) & (F.col("u") < sample / n))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {kind: _Least(sample) for kind in (*KINDS, "")}
+        for batch in batches:
+            for value in each(batch.column("text")):
+                for kind, found in _labelled(value):
+                    if len(found) <= LEARN_LENGTH:
+                        least[kind].add(found)
+        for kind, values in least.items():
+            kept = sorted(values.items(), key=lambda x: (x[1], x[0]))[:sample]
+            columns = [[kind] * len(kept), [v for v, _ in kept], [u - (1 << 63) for _, u in kept]]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["kind", "value", "u"])
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(tidy(find), "kind string, value string, u bigint")
+    values = written(found.distinct(), "credentials")
     credentials: dict[str, list[str]] = {}
-    for row in values.where(taken).orderBy("kind", "u", "value").select("kind", "value").collect():
-        credentials.setdefault(row.kind, []).append(row.value)
-    plain = credentials.pop("", [])
+    for kind in (*KINDS, ""):
+        least = values.where(F.col("kind") == kind).orderBy("u", "value").limit(sample).select("value").collect()
+        credentials[kind] = [row.value for row in least]
+    plain = credentials.pop("")
     return Formats(credentials, plain)
 
 
 def find_secrets(spark: SparkSession, docs: DataFrame, formats: Formats, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``added``: arrays of ``(start, end, kind)`` in code points, end exclusive.
 
-    Null and empty texts have no spans. Every row and column stays; columns of
+    All runs of a candidate's form are scored but those inside a base span; an added span may
+    hold or overlap base ones. Null and empty texts have no spans. Every row and column stays; columns of
     the two names are replaced. The formats are broadcast; a bounded sample
     bounds their size. Nothing is shuffled.
     """

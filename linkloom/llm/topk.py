@@ -28,6 +28,8 @@ def integer_rows(vectors: DataFrame, key: str, vector: str, scale: float = 256.0
     components = F.transform(F.col(vector), lambda x: x.cast("double"))
     bad = F.exists(components, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     whole = F.transform(components, lambda x: F.floor(x * scale).cast("bigint"))
+    # Beyond 64 bits floor() would stop at the greatest integer: no weight may be that large.
+    whole = F.transform(whole, lambda w: F.when(F.abs(w / 2) < F.lit(float(1 << 61)), w).otherwise(F.raise_error(F.lit("a component times the scale leaves 62 bits"))))
     kept = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~bad)
     pairs = F.filter(
         F.transform(whole, lambda w, i: F.struct(i.cast("int").alias("term"), w.alias("weight"))),
@@ -96,16 +98,15 @@ def _scores(queries: dict, candidates: dict, n_queries: int, n_candidates: int)
 def _best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query row, candidate place) of each query's k best; among ties the smaller places."""
     n = scores.shape[1]
-    ranked = scores * n + np.arange(n - 1, -1, -1)
-    ranked[own] = np.iinfo(np.int64).min
+    open_ = np.where(own, np.iinfo(np.int64).min, scores)
     if n > k:
-        places = np.argpartition(ranked, n - k, axis=1)[:, n - k :]
+        # All above the k-th best score, and of those that equal it the first ones.
+        bar = np.partition(open_, n - k, axis=1)[:, n - k, None]
+        above, ties = open_ > bar, open_ == bar
+        taken = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))
     else:
-        places = np.broadcast_to(np.arange(n), scores.shape)
-    rows = np.repeat(np.arange(len(scores)), places.shape[1])
-    places = places.ravel()
-    kept = ~own[rows, places]
-    return rows[kept], places[kept]
+        taken = np.ones(scores.shape, bool)
+    return np.nonzero(taken & ~own)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -117,8 +118,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     non-finite vectors and null ids take no part; vectors of any length meet on
     their common components, an empty one scores 0. A repeated row is a candidate
     each time, and a repeated query gets its result each time. An empty table
-    gives an empty result. Products and sums are 64-bit: |scale * x| must stay
-    below 2**20 for vectors of up to 1,024 components.
+    gives an empty result. Products and sums are 64-bit integers; where weights
+    are so large that a sum could leave 64 bits it is an error, never a wrong score.
 
     Both sides are packed into blocks of bounded size. Every block of queries
     meets every block of candidates in a cell of its own, by an equi-join on
@@ -127,6 +128,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     Spark limits before the shuffle.
     """
     rows = written(integer_rows(vectors, key, vector), "vectors")
+    largest = F.aggregate("weights", F.lit(0).cast("bigint"), lambda m, w: F.greatest(m, F.abs(w)))
+    bounds = rows.agg(F.max(largest).alias("weight"), F.max(F.size("weights")).alias("terms")).first()
+    if (bounds["weight"] or 0) ** 2 * (bounds["terms"] or 0) >= 1 << 63:
+        raise OverflowError(f"weights of up to {bounds['weight']} on {bounds['terms']} components may leave 64 bits")
     asked = rows.where(is_query)
     n_rows = asked.count()
     candidates = written(_packed(rows, CANDIDATE_ROWS), "candidates")

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, per_row, share, small_batches, tidy
+from linkloom.llm.common import each, least_hashes, per_row, share, small_batches, tidy
 from linkloom.session import written
 
-#: Labelled documents learned from, of each label at most (about), and their greatest length
+#: Labelled documents learned from, of each label at most, and their greatest length
 #: in characters. Both bound what one task and the driver get.
 LEARN_DOCS, LEARN_CHARS = 6000, 60_000
 #: A text is called toxic from this score on.
@@ -161,9 +161,10 @@ def entry_counts(texts: Iterable[str], labels: Iterable[int]) -> Counter:
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from the labelled documents that are not held out.
 
-    Of each label about ``LEARN_DOCS`` documents of up to ``LEARN_CHARS``
+    Of each label up to ``LEARN_DOCS`` documents of up to ``LEARN_CHARS``
     characters are learned from, those with the smallest hashes of key and text;
-    no score comes from other columns. Contradicting labels of one document count
+    no score comes from other columns. Repeated rows are one document, whose
+    weight in the score's fit is how often it occurs. Contradicting labels of one document count
     as toxic; null labels, keys and texts are left out. Without documents of
     both labels the lexicon is empty and every score is the share of toxic labels (0 without any).
     """
@@ -171,19 +172,18 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
     marked = marked.agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
     usable = docs.where(F.coalesce(~held_out & (F.length(text) <= LEARN_CHARS), F.lit(False)))
-    u = F.pmod(F.xxhash64(F.col(key), F.xxhash64(text)), F.lit(1 << 40)) / (1 << 40)
-    learned = usable.select(F.col(key).alias("_key"), u.alias("u")).join(marked, "_key")
-    sizes = {r["label"]: r["n"] for r in learned.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    usable = usable.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
+    # Copies meet before the labels do: a row repeated any number of times is one row of the join.
+    known = usable.groupBy("_key", "_text").agg(F.count("*").alias("copies")).join(marked, "_key")
+    known = written(known.withColumn("u", F.xxhash64("_key", "_text")), "labelled-keys")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
     share_toxic = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
         return Lexicon({}, set(), np.array([30.0 if share_toxic else -30.0, 0, 0, 0, 0, 0]))
-    taken = F.lit(False)
-    for value, n in sorted(sizes.items()):
-        taken = taken | ((F.col("label") == value) & (F.col("u") < LEARN_DOCS / n))
-    # About twice LEARN_DOCS keys: small enough to broadcast, so that no text is shuffled to meet them.
-    chosen = written(learned.where(taken).select("_key", "label").distinct(), "chosen")
-    sample = usable.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
-    sample = written(sample.select("label", "text").repartition(64), "labelled")
+    # At most twice LEARN_DOCS keys: small enough to broadcast, so that no text is shuffled to meet them.
+    chosen = written(least_hashes(known, "label", LEARN_DOCS, ["_key", "_text"]).select("_key", "_text", "label", "copies"), "chosen")
+    sample = usable.join(F.broadcast(chosen), ["_key", "_text"]).groupBy("_key", "_text", "label", "copies").agg(F.first("text").alias("text"))
+    sample = written(sample.select("label", "copies", "text").repartition(64), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +232,13 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
         lexicon = Lexicon(*final())
         return lambda texts: pa.array([lexicon.features(t).tolist() for t in each(texts)], pa.list_(pa.float64()))
 
-    rows = sample.select("label", per_row(start, "array<double>")("text").alias("x")).collect()
+    rows = sample.select("label", "copies", per_row(start, "array<double>")("text").alias("x")).collect()
+    for used in (shared, final):
+        used.release()
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
     # The sample holds the labels in other proportions than the documents do.
-    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
+    copies = np.array([r["copies"] for r in rows], float)
+    weight = copies * np.where(y == 1, sizes[1] / copies[y == 1].sum(), sizes[0] / copies[y == 0].sum())
     lexicon.coefficients = fit(x, y, weight * len(y) / weight.sum())
     return lexicon
 
