@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, decontam, langid, lattice, neardup, secrets, suffix, topk, toxicity, wordpiece
+from linkloom.llm import align, bpe, compress, decontam, fim, langid, lattice, neardup, secrets, suffix, topk, toxicity, wordpiece
 from linkloom.llm.common import documents, remainder
 from linkloom.sources.tables import table
 
@@ -106,4 +106,32 @@ def op10_suffix_dedup(spark, folder):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op5_decontamination, op6_language_id, op7_token_counts, op8_lm_scores, op9_top_k, op10_suffix_dedup)}
+def op11_quality(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    held_out = remainder("doc_id", 3) == 1
+    model = compress.learn(spark, docs, table(spark, folder, "labels"), held_out)
+    scored = compress.score(spark, docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= compress.THRESHOLD).cast("int").alias("predicted"), "difference"
+    )
+
+
+def op12_token_alignment(spark, folder):
+    pair = align.load_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(spark, documents(spark, folder, "doc_id", "text"), pair)
+
+
+def op13_fill_in_middle(spark, folder):
+    made = fim.fill_in_middle(documents(spark, folder, "doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+_ALL = (
+    op1_bpe, op2_toxicity, op3_near_dedup, op4_secret_scan, op5_decontamination, op6_language_id, op7_token_counts, op8_lm_scores,
+    op9_top_k, op10_suffix_dedup, op11_quality, op12_token_alignment, op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
