@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,41 @@ def if_small(df: DataFrame, size: Column, most: int) -> DataFrame:
     return F.broadcast(df) if held <= most else df
 
 
+@dataclass
+class HashArray:
+    """Sorted hashes with a row of values each; a bucket index by the leading bits shortens the search."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    first: np.ndarray
+    shift: int
+
+    @staticmethod
+    def of(keys: np.ndarray, values: np.ndarray) -> HashArray:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        bits = max(8, int(len(keys)).bit_length() + 1)
+        edges = np.arange((1 << bits) + 1, dtype=np.uint64)
+        first = np.searchsorted(keys >> np.uint64(64 - bits), edges).astype(np.int32)
+        # One entry that no search runs past.
+        return HashArray(np.append(keys, np.uint64(0)), values[order], first, 64 - bits)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted keys; -1 where there is none."""
+        bucket = (wanted >> np.uint64(self.shift)).astype(np.int64)
+        place, end = self.first[bucket], self.first[bucket + 1]
+        hit = (self.keys[place] == wanted) & (place < end)
+        found = np.where(hit, place, -1)
+        rest = np.flatnonzero(~hit & (place + 1 < end))
+        while len(rest):
+            at = place[rest] + 1
+            place[rest] = at
+            hit = self.keys[at] == wanted[rest]
+            found[rest[hit]] = at[hit]
+            rest = rest[~hit & (at + 1 < end[rest])]
+        return found
+
+
 def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A step over batches that gives freed memory back when it ends: workers outlive their tasks."""
 

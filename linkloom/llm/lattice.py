@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import each, share, small_batches, tidy, words
+from linkloom.llm.common import HashArray, each, share, small_batches, tidy, words
 from linkloom.session import written
 
 START = "▁"
@@ -26,6 +26,12 @@ SMOOTHING = 0.1
 #: Base: added to a token's count.
 BASE_SMOOTHING = 0.1
 END = "\n"  # stands for the end of a text; no word holds it
+#: Characters of words whose edges are held at a time.
+WINDOW = 1 << 16
+#: Rows of words that are gathered before they are walked.
+GATHERED = 1 << 14
+
+_MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def load_scores(path: str) -> dict[str, float]:
@@ -49,67 +55,162 @@ def first_weights(scores: dict[str, float]) -> dict[str, float]:
 
 
 class Lattice:
-    """Sums over the segmentations of a word.
+    """Sums over the segmentations of words, of many words at a time and in log space.
 
     An edge is a piece of the vocabulary, or for one character its UTF-8 bytes
-    as byte pieces, so every word has a segmentation.
+    as byte pieces, so every word has a segmentation. Edges are found by walking
+    the pieces' prefixes from all places at once. Those of ``WINDOW`` characters are
+    held at a time; of a longer word only two numbers a character stay.
     """
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.longest = max(map(len, weights))
-        self._linear = {piece: math.exp(w) for piece, w in weights.items()}
-
-    def _bytes(self, char: str) -> tuple[tuple[str, ...], float]:
-        names = tuple(f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogatepass"))
-        return names, sum(self.weights[n] for n in names)
-
-    def log_probability(self, text: str) -> float:
-        """Natural log of the sum over all segmentations, by forward recursion in log space."""
-        forward, weight, longest = [0.0], self.weights.get, self.longest
-        for end in range(1, len(text) + 1):
-            terms = []
-            for start in range(end - longest if end > longest else 0, end):
-                w = weight(text[start:end])
-                if w is not None:
-                    terms.append(forward[start] + w)
-            if w is None:  # the last character alone is no piece
-                terms.append(forward[end - 1] + self._bytes(text[end - 1])[1])
-            top = max(terms)
-            forward.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
-        return forward[-1]
-
-    def add_expected(self, text: str, times: float, counts: dict[str, float]) -> None:
-        """Add each piece's expected uses in ``times`` copies of the text."""
-        forward, edges, get, longest = [1.0], [], self._linear.get, self.longest
-        for end in range(1, len(text) + 1):
-            total = 0.0
-            for start in range(end - longest if end > longest else 0, end):
-                piece = text[start:end]
-                p = get(piece)
-                if p is not None:
-                    edges.append((start, end, piece, p))
-                    total += forward[start] * p
-            if p is None:
-                names, w = self._bytes(text[end - 1])
-                p = math.exp(w)
-                edges.append((end - 1, end, names, p))
-                total += forward[end - 1] * p
-            forward.append(total)
-        if forward[-1] < 1e-250:
-            # Too small for doubles: the two halves count as separate texts.
-            if len(text) > 1:
-                self.add_expected(text[: len(text) // 2], times, counts)
-                self.add_expected(text[len(text) // 2 :], times, counts)
-            return
-        backward, share_of = [0.0] * len(text) + [1.0], times / forward[-1]
-        for start, end, piece, p in reversed(edges):
-            tail = backward[end] * p
-            if tail:
-                backward[start] += tail
-                use = share_of * forward[start] * tail
-                for name in (piece,) if isinstance(piece, str) else piece:
-                    counts[name] = counts.get(name, 0.0) + use
+        self.pieces = list(weights)
+        self._weight = np.fromiter(weights.values(), float, len(weights))
+        self._own = {piece: i for i, piece in enumerate(self.pieces)}
+        prefixes = {piece[:n]: -1 for piece in self.pieces for n in range(1, len(piece) + 1)} | self._own
+        self._longest = max(map(len, prefixes))
+        steps = [np.array([_code(p)[n] if n < len(p) else 0 for p in prefixes], np.uint64) for n in range(self._longest)]
+        size = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+        state = np.zeros(len(prefixes), np.uint64)
+        for n, codes in enumerate(steps):
+            state = np.where(n < size, _step(state, codes), state)
+        self._nodes = HashArray.of(_mix(state), np.fromiter(prefixes.values(), np.int64, len(prefixes)))
+        self._bytes: dict[int, int] = {}  # characters without a piece, and their numbers behind the pieces
+        self._byte_weight: list[float] = []
+
+    def _byte_names(self, code: int) -> list[str]:
+        return [f"<0x{b:02X}>" for b in chr(code).encode("utf-8", "surrogatepass")]
+
+    def _by_bytes(self, codes: np.ndarray) -> np.ndarray:
+        """Edge numbers of characters that are no piece."""
+        kinds, place = np.unique(codes, return_inverse=True)
+        for code in kinds.tolist():
+            if code not in self._bytes:
+                self._bytes[code] = len(self._bytes)
+                self._byte_weight.append(sum(self._weight[self._own[n]] for n in self._byte_names(code)))
+        return np.fromiter((self._bytes[c] for c in kinds.tolist()), np.int64, len(kinds))[place] + len(self.pieces)
+
+    def _edges(self, code: np.ndarray, until: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, length, number)`` of the edges from the places ``low`` to ``high`` on."""
+        start, state = np.arange(low, high), np.zeros(high - low, np.uint64)
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        for n in range(1, self._longest + 1):
+            state = _step(state, code[start + n - 1].astype(np.uint64))
+            node = self._nodes.find(_mix(state))
+            piece = np.where(node >= 0, self._nodes.values[node], -1)
+            hit = piece >= 0
+            found.append((start[hit], n, piece[hit]))
+            if n == 1:
+                found.append((start[~hit], 1, self._by_bytes(code[start[~hit]])))
+            live = (node >= 0) & (start + n < until[start])
+            start, state = start[live], state[live]
+            if not len(start):
+                break
+        length = np.repeat([n for _, n, _ in found], [len(s) for s, _, _ in found])
+        return np.concatenate([s for s, _, _ in found]), length, np.concatenate([p for _, _, p in found])
+
+    def _summed(self, words: list[str], times: np.ndarray | None) -> np.ndarray:
+        """Log probabilities of the words, or with ``times`` the expected uses of each edge number in so many copies of them."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(size)
+        until = np.repeat(ends, size)
+        own = np.repeat(np.arange(len(words)), size)
+        # A word has a node before, between and behind its characters.
+        first = ends - size + np.arange(len(words))
+        forward = np.full(len(code) + len(words), -np.inf)
+        forward[first] = 0.0
+        inside = np.arange(len(code)) - np.repeat(ends - size, size)
+        windows = [(low, min(low + WINDOW, len(code))) for low in range(0, len(code), WINDOW)]
+
+        def edges(low: int, high: int):
+            start, length, number = self._edges(code, until, low, high)
+            weights = np.concatenate([self._weight, np.array(self._byte_weight)])[number]
+            return start + own[start], length, number, weights, inside[start], own[start]
+
+        once = edges(*windows[0]) if len(windows) == 1 else None
+        for window in windows:
+            left, length, _, weights, place, _ = once or edges(*window)
+            for some, at, heads in _steps(place + length, left + length):
+                terms = forward[left[some]] + weights[some]
+                forward[at] = np.logaddexp(forward[at], _log_sums(terms, heads))
+        total = forward[first + size]
+        if times is None:
+            return total
+        backward = np.full(len(forward), -np.inf)
+        backward[first + size] = 0.0
+        uses = np.zeros(len(self.pieces))
+        for window in reversed(windows):
+            left, length, number, weights, place, word = once or edges(*window)
+            for some, at, heads in _steps(-place, left):
+                backward[at] = _log_sums(weights[some] + backward[left[some] + length[some]], heads)
+            use = times[word] * np.exp(forward[left] + weights + backward[left + length] - total[word])
+            most = max(len(uses), len(self.pieces) + len(self._bytes))
+            uses = np.pad(uses, (0, most - len(uses))) + np.bincount(number, weights=use, minlength=most)
+        return uses
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural logs of the sums over all segmentations, by forward recursion."""
+        out = [self._summed(part, None) for part, _ in _packs(words)]
+        return np.concatenate([*out, np.zeros(0)])
+
+    def add_expected(self, words: list[str], times: np.ndarray, counts: dict[str, float]) -> None:
+        """Add each piece's expected uses in so many copies of each word."""
+        names = {number: code for code, number in self._bytes.items()}
+        for part, at in _packs(words):
+            uses = self._summed(part, times[at : at + len(part)])
+            if len(self._bytes) > len(names):
+                names = {number: code for code, number in self._bytes.items()}
+            for number in np.flatnonzero(uses).tolist():
+                behind = number - len(self.pieces)
+                for name in [self.pieces[number]] if behind < 0 else self._byte_names(names[behind]):
+                    counts[name] = counts.get(name, 0.0) + float(uses[number])
+
+
+def _code(text: str) -> list[int]:
+    return [ord(c) for c in text]
+
+
+def _step(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return state * _MULTIPLIER + codes + np.uint64(1)
+
+
+def _mix(state: np.ndarray) -> np.ndarray:
+    h = (state ^ (state >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _steps(when: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges by turn: those of one turn, the nodes that they meet in, and where each node's edges begin."""
+    order = np.lexsort((node, when))
+    turn, met = when[order], node[order]
+    cuts = np.flatnonzero(np.diff(turn, prepend=turn[:1] - 1)).tolist() if len(turn) else []
+    new = np.ones(len(met), bool)
+    new[1:] = met[1:] != met[:-1]
+    for low, high in zip(cuts, [*cuts[1:], len(turn)]):
+        heads = np.flatnonzero(new[low:high]) if high - low > 1 else np.zeros(1, np.int64)
+        if not len(heads) or heads[0]:
+            heads = np.concatenate([[0], heads])
+        yield order[low:high], met[low:high][heads], heads
+
+
+def _log_sums(terms: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of the terms from each head to the next."""
+    top = np.maximum.reduceat(terms, heads)
+    size = np.diff(heads, append=len(terms))
+    return top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, size)), heads))
+
+
+def _packs(words: list[str]) -> Iterator[tuple[list[str], int]]:
+    """Runs of words of about ``WINDOW`` characters, and where each begins; a longer word is alone."""
+    at, size = 0, 0
+    for i, word in enumerate(words):
+        if size and size + len(word) > WINDOW:
+            yield words[at:i], at
+            at, size = i, 0
+        size += len(word)
+    if at < len(words):
+        yield words[at:], at
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -173,6 +274,18 @@ def _blocks(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
     return rows.mapInArrow(tidy(cut), schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``GATHERED`` narrow rows, or of one large batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED or sum(b.nbytes for b in held) >= 1 << 20:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fit(spark: SparkSession, counts: DataFrame, n_texts: int, scores: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
     """The vocabulary's weights fitted to training words ``(word, c)`` by expectation maximisation.
 
@@ -186,12 +299,12 @@ def fit(spark: SparkSession, counts: DataFrame, n_texts: int, scores: dict[str,
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice, totals = Lattice(shared()), {}
-            for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                    lattice.add_expected(START + word, c, totals)
+            for batch in gathered(batches):
+                lattice.add_expected([START + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(), totals)
             yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.float64())], names=["piece", "n"])
 
         found = learned.mapInArrow(tidy(expect), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        shared.release()
         expected = {row["piece"]: row["n"] for row in found} | {END: float(n_texts)}
         total = math.log(sum(expected.values()) + SMOOTHING * len(weights))
         weights = {piece: math.log(expected.get(piece, 0.0) + SMOOTHING) - total for piece in weights}
@@ -227,9 +340,9 @@ def score(spark: SparkSession, docs: DataFrame, learned: Column, scores: dict[st
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared())
-        for batch in batches:
-            found = [lattice.log_probability(START + w) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(found, pa.float64())], names=["word", "c", "p"])
+        for batch in gathered(batches):
+            found = lattice.log_probabilities([START + w for w in batch.column("word").to_pylist()])
+            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(found)], names=["word", "c", "p"])
 
     marked = written(counts.mapInArrow(tidy(mark), "word string, c bigint, p double"), "lm-scored")
     entries = listed.select("block", "place", "word").join(marked, "word").select("block", F.struct("place", "c", "p").alias("entry"))
