@@ -9,13 +9,15 @@ moves all of them, hands on the cuts that it finds, and leaves out the stretches
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,12 @@ STRETCH = 256
 #: Pairs of a group are counted by distinct ids where there are more than so many.
 WIDE = 64
 SPACE = "▁"
+#: Fixed value: how byte-level vocabularies cut a text before they merge.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: A space between two lower-case ASCII letters: both vocabularies begin a token there, whatever stands around it.
 _CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
+_INNER = re.compile(r"[a-z](?:.*[a-z])?", re.DOTALL).fullmatch
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,6 +50,29 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _encoder(a: str, file: dict, tokens: list[bytes]) -> Callable[[str], list[int]]:
+    """Ids of a text by a byte-level vocabulary, special tokens as plain text.
+
+    Where ids follow the order of merges, as in vocabularies without additions, ids are
+    the merges' ranks; that is all that the faster library needs.
+    """
+    vocabulary, merges = file["model"]["vocab"], file["model"]["merges"]
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    special = {t["content"] for t in file["added_tokens"]}
+    in_order = all(vocabulary[x] < vocabulary[y] for x, y in zip(joined, joined[1:]))
+    in_order = in_order and len(set(joined)) == len(joined) and len(vocabulary.keys() - special) == 256 + len(joined)
+    usual = file["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if in_order and usual and not file["normalizer"] and not file["model"].get("ignore_merges"):
+        ranks = {tokens[i]: i for token, i in vocabulary.items() if token not in special}
+        return tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(a)
+    model.encode_special_tokens = True
+    return lambda text: model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 class Pair:
     """The two tokenizers, set up once a task, and the bytes of their tokens.
 
@@ -53,19 +81,16 @@ class Pair:
     """
 
     def __init__(self, a: str, b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        file = json.loads(a)
         alphabet = byte_alphabet()
-        self.bytes_a: list[bytes] = []
-        for i in range(self.a.get_vocab_size(with_added_tokens=True)):
-            token = self.a.id_to_token(i) or ""
-            known = all(c in alphabet for c in token)
-            self.bytes_a.append(bytes(alphabet[c] for c in token) if known else token.encode())
+        vocabulary = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.bytes_a: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self._encode_a = _encoder(a, file, self.bytes_a)
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
@@ -74,14 +99,38 @@ class Pair:
         # Texts may be cut before a space only if no piece holds one behind another character.
         self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of either side of each unit."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
-        return a, self.b.encode(units, num_threads=1)
-
-    def same_bytes(self, unit: str, a: list[int], b: list[int]) -> bool:
-        want = b" " + unit.encode("utf-8", "surrogatepass")
-        return b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of either side; None where the tokens' bytes are not those of the text behind a space."""
+        a = self._encode_a(f" {text}")
+        b = self.b.encode(text, num_threads=1)
+        want = b" " + text.encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of either side of each unit, as ``_ids`` gives them.
+
+        Units that begin and end with a lower-case letter are encoded as one text, which both sides cut between them.
+        """
+        out: list = [None] * len(units)
+        inner = [i for i, u in enumerate(units) if self.cuts and _INNER(u)]
+        line = " ".join([units[i] for i in inner])
+        together = self._ids(line) if inner else None
+        if together:
+            # A unit's bytes, with the space before it.
+            ends = np.cumsum([len(units[i]) + 1 if units[i].isascii() else len(units[i].encode("utf-8", "surrogatepass")) + 1 for i in inner])
+            sides = []
+            for ids, lengths in zip(together, self.lengths):
+                upto = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
+                sides.append([ids[x:y] for x, y in zip([0, *upto.tolist()], upto.tolist())])
+            for i, a, b in zip(inner, *sides):
+                out[i] = a, b
+        done = set(inner) if together else set()
+        for i, unit in enumerate(units):
+            if i not in done:
+                out[i] = self._ids(unit)
+        return out
 
     def units(self, text: str) -> list[str]:
         """A text without spaces at which both sides cut it anyway: each unit is encoded as a text of its own, alike wherever it stands."""
@@ -190,22 +239,20 @@ class Aligner:
             units = pair.units(text) if text else []
             streams.append(np.fromiter([places.setdefault(u, len(places)) for u in units], np.int64, len(units)))
         names, same = list(places), np.ones(len(places) + 1, bool)
-        sides: list[list[np.ndarray]] = [[], []]
-        sizes = [np.zeros(len(names) + 1, np.int64) for _ in range(2)]
+        none = np.zeros(0, np.int64)
+        encoded: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(names), UNITS):
-            some = names[at : at + UNITS]
-            for i, (unit, a, b) in enumerate(zip(some, *(found := pair.encode(some))), at):
-                same[i] = pair.same_bytes(unit, a, b)
-            for side, ids, size in zip(sides, found, sizes):
-                size[at : at + len(some)] = list(map(len, ids))
-                side.append(np.fromiter((x for own in ids for x in own), np.int64))
-        starts = [np.concatenate([[0], np.cumsum(s)])[: len(names) + 1] for s in sizes]
-        values = [np.concatenate([*side, np.zeros(0, np.int64)]) for side in sides]
+            for i, ids in enumerate(pair.encode(names[at : at + UNITS]), at):
+                same[i] = ids is not None
+                encoded.append(ids or (none, none))
+        sizes = [np.fromiter((len(ids[side]) for ids in encoded), np.int64, len(encoded)) for side in (0, 1)]
+        starts = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
+        values = [np.concatenate([*(ids[side] for ids in encoded), none]) for side in (0, 1)]
         # A text that either side doesn't give back has no tokens.
         streams = [s if len(s) and same[s].all() else s[:0] for s in streams]
         n_units = np.fromiter(map(len, streams), np.int64, len(streams))
         stream = np.concatenate([*streams, np.zeros(0, np.int64)])
-        del places, names, streams
+        del places, names, streams, encoded
         (ids_a, of_a), (ids_b, of_b) = (_take(s, v, stream) for s, v in zip(starts, values))
         ends_a, ends_b = (np.cumsum(lengths[ids]) for lengths, ids in zip(pair.lengths, (ids_a, ids_b)))
         # Stretches of up to STRETCH units; all begin and end at a cut.
