@@ -8,6 +8,7 @@ lazy over single characters, so long pages neither backtrack nor recurse.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -18,13 +19,13 @@ from linkloom.functions.text import strip
 _ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 _COMMENT = r"<!--.*?(?:--\s*>|\z)"
 _RAW = rf"<(script|style)(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
-# Up to the element's own end, and no further than the next start of its kind: an
-# element without an end costs what stands before the next one, not the whole page.
-_HIDDEN = rf"<(template|rt|rp)(?=[\s/>]){_ATTRS}>(?:[^<]++|<(?!/?\2[\s/>]))*+</\2\s*>"
+# A hidden element with text only; others are found by following the open elements.
+_HIDDEN = rf"<(template|rt|rp)(?=[\s/>]){_ATTRS}(?<!/)>[^<]*+</\2\s*>"
 _TAG = rf"<[a-z]{_ATTRS}>"
 _OTHER = r"<[/!?][^>]*+>"
 
 _MARKUP = f"(?is){_COMMENT}|{_RAW}|{_HIDDEN}|{_TAG}|{_OTHER}"
+_MAY_HIDE = r"(?i)<(?:template|rt|rp)[\s/>]"
 _ANCHOR = rf"(?is){_COMMENT}|{_RAW}|<a(?=[\s/>])({_ATTRS})>|{_TAG}|{_OTHER}"
 _INVISIBLE = f"(?is){_COMMENT}|{_RAW}"
 _ATTRIBUTE = r"""([^\s/=>"']+)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
@@ -93,9 +94,96 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
 
 
+#: Elements that hide their text, and elements that hold nothing.
+HIDING = ("template", "rt", "rp")
+VOID = (
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex",
+    "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
+)
+_STATE = "struct<stack: array<struct<name: string, n: int>>, depth: int, base: int, since: int, hidden: array<struct<a: int, b: int>>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tags(markup: Column) -> Column:
+    """``(i, name, opens)`` of the pieces of markup that open or close an element for others to stand in."""
+    pieces = F.regexp_extract_all(markup, F.lit(_MARKUP), F.lit(0))
+
+    def tag(piece: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, r"(?i)^</?([a-z][^\s/>]*)", 1))
+        whole = piece.rlike(rf"(?is)^(?:{_RAW}|{_HIDDEN})$") | (piece.rlike("/>$") & ~piece.rlike(r"""=[^\s"'>]*/>$"""))
+        return F.struct(i.alias("i"), name.alias("name"), (~F.startswith(piece, F.lit("</"))).alias("opens"), whole.alias("whole"))
+
+    found = F.filter(F.transform(pieces, tag), lambda t: (t["name"] != "") & ~t["whole"] & ~t["name"].isin(*VOID))
+    # An element that nothing closes is only followed if it hides.
+    def followed(found: Column) -> Column:
+        closed = F.array_distinct(F.transform(F.filter(found, lambda t: ~t["opens"]), lambda t: t["name"]))
+        return _let(closed, lambda names: F.filter(found, lambda t: ~t["opens"] | t["name"].isin(*HIDING) | F.array_contains(names, t["name"])))
+
+    return _let(found, followed)
+
+
+def _follow(state: Column, tag: Column) -> Column:
+    """The open elements after one more tag.
+
+    An end tag closes the last open element of its name and all that were opened
+    since; without one it is ignored. Neighbours of one name are kept as one entry, so a
+    page of elements that are never closed costs no more than its length.
+    """
+    stack, depth, base = state["stack"], state["depth"], state["base"]
+    name, hiding = tag["name"], tag["name"].isin(*HIDING)
+    entry = lambda name, n: F.array(F.struct(name.alias("name"), n.cast("int").alias("n")))
+    top = F.try_element_at(stack, F.lit(-1))
+    pushed = F.when(top["name"] == name, F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), entry(name, top["n"] + 1))).otherwise(
+        F.concat(stack, entry(name, F.lit(1)))
+    )
+    opened = F.struct(
+        pushed.alias("stack"), (depth + 1).alias("depth"), F.when((base < 0) & hiding, depth).otherwise(base).alias("base"),
+        F.when((base < 0) & hiding, tag["i"]).otherwise(state["since"]).alias("since"), state["hidden"].alias("hidden"),
+    )
+    back = F.array_position(F.reverse(F.transform(stack, lambda s: s["name"])), name).cast("int")
+    at = F.size(stack) - back + 1  # the entry that is closed
+    left = F.element_at(stack, at)["n"] - 1
+    cut = F.slice(stack, F.lit(1), at - 1)
+    cut = F.when(left > 0, F.concat(cut, entry(name, left))).otherwise(cut)
+    gone = F.aggregate(F.slice(stack, at + 1, F.size(stack)), F.lit(1), lambda total, s: total + s["n"])
+    shown = (base >= 0) & (depth - gone <= base)
+    span = F.array(F.struct(state["since"].alias("a"), tag["i"].alias("b")))
+    closed = F.struct(
+        cut.alias("stack"), (depth - gone).alias("depth"), F.when(shown, -1).otherwise(base).alias("base"),
+        state["since"].alias("since"), F.when(shown, F.concat(state["hidden"], span)).otherwise(state["hidden"]).alias("hidden"),
+    )
+    return F.when(~tag["opens"] & (back == 0), state).when(tag["opens"], opened).otherwise(closed).cast(_STATE)
+
+
+def _shown_nodes(markup: Column, nodes: Column) -> Column:
+    """The text nodes that no open hiding element holds."""
+    empty = F.struct(
+        F.array().cast("array<struct<name: string, n: int>>").alias("stack"), F.lit(0).alias("depth"), F.lit(-1).alias("base"),
+        F.lit(0).alias("since"), F.array().cast("array<struct<a: int, b: int>>").alias("hidden"),
+    ).cast(_STATE)
+    last = F.size(nodes) - 1
+
+    def indices(state: Column) -> Column:
+        open_ = F.when(state["base"] >= 0, F.array(F.struct(state["since"].alias("a"), last.alias("b")))).otherwise(
+            F.array().cast("array<struct<a: int, b: int>>")
+        )
+        spans = F.concat(state["hidden"], open_)
+        # The node behind piece i is node i + 1.
+        return F.flatten(F.transform(spans, lambda s: F.sequence(s["a"] + 1, F.greatest(s["a"] + 1, s["b"]))))
+
+    hidden = F.aggregate(_tags(markup), empty, _follow, indices)
+    return F.transform(F.array_except(F.sequence(F.lit(0), last), hidden), lambda i: F.get(nodes, i))
+
+
 def _visible(markup: Column) -> Column:
-    nodes = F.transform(F.split(markup, _MARKUP), lambda node: strip(unescape(node)))
-    return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
+    nodes = F.split(markup, _MARKUP)
+    shown = F.when(markup.rlike(_MAY_HIDE), _let(nodes, lambda nodes: _shown_nodes(markup, nodes))).otherwise(nodes)
+    stripped = F.transform(shown, lambda node: strip(unescape(node)))
+    return F.array_join(F.filter(stripped, lambda node: node != ""), " ")
 
 
 def page_text(html: Column) -> Column:

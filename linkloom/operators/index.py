@@ -25,12 +25,17 @@ def tag_index(link_tags: DataFrame) -> DataFrame:
     return link_tags.groupBy("tag", "link").agg(F.count("*").alias("popularity"))
 
 
-def write_tag_index(index: DataFrame, path: str) -> None:
-    """Sorted by tag, so a lookup prunes files and row groups by their ranges.
+def by_tag(index: DataFrame) -> DataFrame:
+    """Sorted by tag, so a lookup in the written table prunes files and row groups by their ranges.
 
     The range also splits on the link: a common tag spans several files.
     """
-    index.repartitionByRange("tag", "link").sortWithinPartitions("tag", "link").write.mode("overwrite").parquet(path)
+    return index.repartitionByRange("tag", "link").sortWithinPartitions("tag", "link")
+
+
+def write_tag_index(index: DataFrame, path: str) -> None:
+    """Written as ``by_tag`` sorts it."""
+    by_tag(index).write.mode("overwrite").parquet(path)
 
 
 def links_by_tag(index: DataFrame, tag: str) -> DataFrame:

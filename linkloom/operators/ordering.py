@@ -19,6 +19,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: Column | i
     Pass only the columns that must travel with the number.
     """
     slots = written(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()), "order")
+    return from_slots(slots, name, start)
+
+
+def from_slots(slots: DataFrame, name: str = "n", start: Column | int = 1) -> DataFrame:
+    """Number the rows of a range-sorted, written table by their (partition, row) ``_slot``, which goes."""
     part = F.shiftright("_slot", _SLOT_BITS)
     sizes = slots.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,7 +33,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: Column | i
     row = F.col("_slot").bitwiseAND((1 << _SLOT_BITS) - 1)
     start = start if isinstance(start, Column) else F.lit(start)
     return slots.join(F.broadcast(offsets), part == F.col("_offset_part")).select(
-        *df.columns, (F.col("_offset") + row + start).cast("bigint").alias(name)
+        *[c for c in slots.columns if c != "_slot"], (F.col("_offset") + row + start).cast("bigint").alias(name)
     )
 
 

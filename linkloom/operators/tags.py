@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import clean_tokens
-from linkloom.operators.ordering import numbered
+from linkloom.operators.ordering import from_slots, numbered
 from linkloom.session import written
 
 # Documents per prefix-sum block.
@@ -55,14 +55,21 @@ def doc_count(docs: DataFrame) -> DataFrame:
     return indexed(docs).agg(F.count("*").alias("doc_count"))
 
 
-def term_table(docs: DataFrame) -> DataFrame:
+def term_table(docs: DataFrame, arrival: bool = False) -> DataFrame:
     """Written table ``(seq, …, len, terms: array<(term, pos, tf)>)``.
 
+    With ``arrival`` the documents are dealt out in ranges of ``seq`` before their
+    words are counted, and the table keeps each row's ``_slot``: it is numbered in
+    arrival order from its only write. Ranges are found on the documents, before any word is cut.
+
     Columns other than the text travel along. Words are sorted with their positions inside the row, and a term's count
     is the distance between the starts of neighbouring runs: no shuffle.
     """
     others = [name for name in docs.columns if name != "text"]
-    words = indexed(docs).select(*others, clean_tokens(F.col("text")).alias("words"))
+    source = indexed(docs)
+    if arrival:
+        source = source.repartitionByRange("seq").sortWithinPartitions("seq")
+    words = source.select(*others, clean_tokens(F.col("text")).alias("words"))
     placed = F.transform("words", lambda word, pos: F.struct(word.alias("term"), pos.alias("pos")))
     runs = words.select(*others, F.size("words").alias("len"), F.sort_array(placed).alias("sorted"))
 
@@ -82,7 +89,8 @@ def term_table(docs: DataFrame) -> DataFrame:
         head = F.get("sorted", start)
         return F.struct(head["term"].alias("term"), head["pos"].alias("pos"), (end - start).cast("bigint").alias("tf"))
 
-    return written(starts.select(*others, "len", F.transform("starts", run).alias("terms")), "terms")
+    slot = [F.monotonically_increasing_id().alias("_slot")] if arrival else []
+    return written(starts.select(*others, "len", F.transform("starts", run).alias("terms"), *slot), "terms")
 
 
 def _score(tf: Column, length: Column, docs: Column, cf: Column) -> Column:
@@ -118,7 +126,9 @@ def arrival_counts(
     the former to the terms of the table.
     """
     # The term table itself is sorted and numbered, so no join attaches the numbers.
-    placed = numbered(terms.select("seq", "len", "terms"), ["seq"], "n")
+    columns = ["seq", "len", "terms"]
+    in_order = "_slot" in terms.columns
+    placed = from_slots(terms.select(*columns, "_slot"), "n") if in_order else numbered(terms.select(*columns), ["seq"], "n")
     block = F.floor((F.col("n") - 1) / block_docs).alias("block")
     rows = placed.select("seq", "len", "n", block, F.inline("terms"))
     in_block = Window.partitionBy("term", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)

@@ -197,6 +197,9 @@ ORACLES = {
         SELECT seq, 'taken' AS state FROM taken
         UNION ALL SELECT seq, 'rest' FROM readable WHERE seq > (SELECT max(seq) FROM taken)
         UNION ALL SELECT seq - 1, 'rest' FROM readable WHERE turn = 0 AND seq - 1 > (SELECT max(seq) FROM taken)""",
+    "queue_take": f"""WITH {_READABLE},
+        placed AS (SELECT seq, conv_id, turn, row_number() OVER (ORDER BY seq) AS place FROM readable)
+        SELECT CAST(least((place - 1) // {q.QUEUE_LIMIT}, 2) AS INTEGER) AS pull, seq, conv_id, turn FROM placed""",
     "queue_peek": f"""WITH {_READABLE}
         SELECT seq, conv_id, turn, role, text FROM readable ORDER BY seq LIMIT {q.QUEUE_LIMIT}""",
     "push_both": f"""WITH {_MESSAGES}
@@ -237,3 +240,8 @@ ORACLES["stream_validation"] = f"""WITH {_DOCUMENT_LINKS},
     SELECT seq, url FROM by_text WHERE nth_text = 1"""
 ORACLES["stream_doc_tags"] = f"{_DOC_TAGS} SELECT seq, link, rank, tag FROM tagged"
 ORACLES["stream_link_tags"] = f"{_STAR} SELECT DISTINCT tag, link FROM tagged"
+ORACLES["stream_tag_index"] = ORACLES["tag_index"]
+# What the first batch left after the deletes, and all of the second.
+ORACLES["stored_cascade_delete"] = f"""{_PAGE_TAGS}
+    SELECT DISTINCT tag, link FROM tagged
+    WHERE seq % 2 = 1 OR (tag NOT IN ({_quoted(q.DELETED_TAGS)}) AND link NOT IN (SELECT link FROM tagged WHERE seq % 4 = 0))"""

@@ -9,7 +9,7 @@ from linkloom.operators import index, tags
 
 def tagged(docs: DataFrame, count: int = 5) -> DataFrame:
     """``(seq, link, rank, tag)``: every document tagged as it arrives."""
-    terms = tags.term_table(docs)
+    terms = tags.term_table(docs, arrival=True)
     return tags.link_tags(terms, tags.top_terms(tags.arrival_scores(terms), count))
 
 

@@ -117,7 +117,7 @@ def running_doc_count(spark, folder):
 
 
 def running_term_freq(spark, folder):
-    counts = tags.arrival_counts(tags.term_table(inputs.documents(spark, folder)))
+    counts = tags.arrival_counts(tags.term_table(inputs.documents(spark, folder), arrival=True))
     return counts.select("seq", "term", "cf")
 
 
@@ -131,7 +131,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 
 def tfidf_scores(spark, folder):
-    return _rounded(tags.arrival_scores(tags.term_table(inputs.documents(spark, folder))))
+    return _rounded(tags.arrival_scores(tags.term_table(inputs.documents(spark, folder), arrival=True)))
 
 
 def corpus_tfidf(spark, folder):
@@ -146,7 +146,7 @@ def query_scores(spark, folder):
 
 
 def top3_tags(spark, folder):
-    scores = tags.arrival_scores(tags.term_table(inputs.documents(spark, folder)))
+    scores = tags.arrival_scores(tags.term_table(inputs.documents(spark, folder), arrival=True))
     return tags.top_terms(scores).select("seq", "rank", F.col("term").alias("tag"))
 
 
@@ -287,6 +287,15 @@ def queue_peek(spark, folder):
     return exchange.peek(_queue(spark, folder), _MESSAGE, QUEUE_LIMIT)
 
 
+def queue_take(spark, folder):
+    """Three lasting pulls of a stored queue: two limited ones, the second run twice, and one of all that is left."""
+    path = scratch_path(spark, "lasting")
+    exchange.push_list(_queue(spark, folder), path, 0)
+    pulls = [(0, QUEUE_LIMIT), (1, QUEUE_LIMIT), (1, QUEUE_LIMIT), (2, -1)]
+    taken = [exchange.take(spark, path, _MESSAGE, limit, i).select(F.lit(i).alias("pull"), "seq", "conv_id", "turn") for i, limit in pulls]
+    return taken[0].unionByName(taken[2]).unionByName(taken[3])
+
+
 def queue_push_json(spark, folder):
     path = scratch_path(spark, "queue")
     exchange.push_list(exchange.encode(_turns(spark, folder), ["conv_id", "turn", "role", "text"]), path, 0)
@@ -410,6 +419,29 @@ def stream_doc_tags(spark, folder):
     return handlers.link_tags(spark, state).select("seq", "link", "rank", "tag")
 
 
+def stream_tag_index(spark, folder):
+    """Documents are tagged by one stream; a second adds the tags to the inverted index, batch by batch."""
+    state = scratch_path(spark, "live-index")
+
+    def hand_over(tagging: str) -> None:
+        source = drivers.file_stream(spark, f"{tagging}/link_tags", schemas.LINK_TAGS)
+        drivers.drain(source, handlers.on(handlers.index_tags, state, fold_every=FOLD_EVERY), f"{state}/progress")
+
+    _stream(spark, folder, "documents", "doc_id", handlers.tag_documents, _documents_of, then=hand_over)
+    return handlers.tag_index(spark, state)
+
+
+def stored_cascade_delete(spark, folder):
+    """Tags of half the pages are stored, some links and tags deleted, and then those of all pages are."""
+    state = scratch_path(spark, "deletes")
+    tagged = written(pipelines.tagged(inputs.page_docs(spark, folder)), "link_tags")
+    handlers.upsert_link_tags(state, tagged.where(F.col("seq") % 2 == 0), 0)
+    handlers.delete_values(state, spark.createDataFrame([(t,) for t in DELETED_TAGS], "tag string"), "tag", 1)
+    handlers.delete_values(state, tagged.where(F.col("seq") % 4 == 0).select("link"), "link", 1)
+    handlers.upsert_link_tags(state, tagged.where(F.col("seq") % 2 == 1), 1)
+    return index.search_all(handlers.star(spark, state))
+
+
 def stream_link_tags(spark, folder):
     """Pages are tagged by one stream; a second turns the tags into tables."""
     state = scratch_path(spark, "star")
@@ -434,7 +466,7 @@ QUERIES = {
         text_hash, text_dedup, seen_link_dedup, frontier_queue, stored_link_check, validation_report,
         crawl_frontier, crawl_reach, crawl_budget,
         tag_index, tag_lookup, links_dim, tags_dim, link_tag_junction, cascade_delete, tag_search,
-        queue_pull, queue_peek, queue_push_json, set_push, push_both, table_setup, snapshot_roundtrip, crawl_rates,
-        stream_seen_links, stream_validation, stream_doc_tags, stream_link_tags,
+        queue_pull, queue_peek, queue_take, queue_push_json, set_push, push_both, table_setup, snapshot_roundtrip, crawl_rates,
+        stream_seen_links, stream_validation, stream_doc_tags, stream_link_tags, stream_tag_index, stored_cascade_delete,
     )
 }

@@ -34,8 +34,11 @@ def encode_tuple(df: DataFrame, columns: list[str], order: str = "seq") -> DataF
     return df.select(F.col(order).alias("seq"), F.concat(F.lit("["), body, F.lit("]")).alias("value"))
 
 
-#: Strings of any length that the session can hold.
-_JSON = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false"}
+#: Strings, numbers and nesting of any size that the session can hold.
+_MOST = str(2**31 - 1)
+_JSON = {"maxStringLen": _MOST, "maxNumLen": _MOST, "maxNestingDepth": _MOST, "allowSingleQuotes": "false"}
+#: Up to so many keys are cut off by a plain ordered limit, which one task ends; more are numbered.
+_LIMIT = 1 << 20
 
 
 def _typed(raw: Column, kind: T.DataType) -> Column:
@@ -74,10 +77,25 @@ def decode(queue: DataFrame, schema: T.StructType | str) -> DataFrame:
     return both.select("seq", *[field(i, f.name, f.dataType) for i, f in enumerate(schema.fields)])
 
 
+def _last_of(records: DataFrame, limit: int) -> DataFrame:
+    """One row: the order key of the last of the first ``limit`` written records, null if there are fewer."""
+    keys = records.select("seq")
+    keys = keys.orderBy("seq").limit(limit) if limit <= _LIMIT else first_in_order(keys, "seq", limit)
+    return keys.agg(F.when(F.count("*") >= limit, F.max("seq")).alias("last"))
+
+
+def _first(queue: DataFrame, schema: T.StructType | str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` records and the key of the last: every value is decoded once."""
+    records = written(decode(queue, schema), "records")
+    last = written(_last_of(records, limit), "last")
+    return records.where((F.col("seq") <= last.scalar()) | last.scalar().isNull()), last
+
+
 def peek(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> DataFrame:
     """The first ``limit`` decodable records (-1: all), leaving the queue as it is."""
-    records = decode(queue, schema)
-    return records if limit == -1 else first_in_order(records, "seq", limit)
+    if limit <= 0:
+        return decode(queue, schema) if limit else decode(queue, schema).limit(0)
+    return _first(queue, schema, limit)[0]
 
 
 def pull(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> Pulled:
@@ -86,13 +104,47 @@ def pull(queue: DataFrame, schema: T.StructType | str, limit: int = -1) -> Pulle
     Undecodable rows before the cut are gone too, and a pull that finds fewer
     than ``limit`` records has used up the queue.
     """
-    taken = peek(queue, schema, limit)
-    if limit == -1:
-        return Pulled(taken, queue.limit(0))
-    if limit == 0:
-        return Pulled(taken, queue)
-    last = taken.agg(F.when(F.count("*") >= limit, F.max("seq"))).scalar()
-    return Pulled(taken, queue.where(F.col("seq") > last))
+    if limit <= 0:
+        return Pulled(peek(queue, schema, limit), queue if limit == 0 else queue.limit(0))
+    taken, last = _first(queue, schema, limit)
+    return Pulled(taken, queue.where(F.col("seq") > last.scalar()))
+
+
+_PLACE = T.StructType([T.StructField("push", T.LongType()), T.StructField("seq", T.LongType())])
+
+
+def take(spark, path: str, schema: T.StructType | str, limit: int, batch_id: int, name: str = "taken") -> DataFrame:
+    """The next ``limit`` decodable records (-1: all) of a stored list, which then are gone for later pulls.
+
+    The queue that ``push_list`` stored is read in the order of pushes, then of
+    ``seq``, behind the place where the pulls below ``batch_id`` ended; where this one ends is stored as
+    its version. Running a pull again takes the same rows, even if more were pushed
+    since. Rows that can't be decoded go with the records behind them. Readers of their own ``name`` don't
+    take from each other. ``(push, seq, ...)`` is returned, a written table.
+    """
+    places = f"{path}/{name}"
+    known = stored(spark, places, _PLACE)
+    at = F.struct(F.col("batch_id").alias("push"), "seq")
+    begin = known.where(F.col("batch_id") < batch_id).agg(F.max(F.struct("push", "seq"))).first()[0]
+    end = known.where(F.col("batch_id") == batch_id).select(F.struct("push", "seq")).first()
+    rows = read_list(spark, path).select(at.alias("seq"), "value")
+    place = lambda p: F.struct(F.lit(p["push"]).cast("bigint").alias("push"), F.lit(p["seq"]).cast("bigint").alias("seq"))
+    rows = rows.where(F.col("seq") > place(begin)) if begin else rows
+    if end:
+        taken = written(decode(rows.where(F.col("seq") <= place(end[0])), schema), "taken")
+    elif limit == 0:
+        taken = decode(rows.limit(0), schema)
+    else:
+        records = written(decode(rows, schema), "records")
+        last = None if limit < 0 else _last_of(records, limit).first()["last"]
+        # A pull that finds fewer records has seen, and used up, all that is there.
+        last = last or rows.agg(F.max("seq")).first()[0]
+        taken = records.where(F.col("seq") <= place(last)) if last else records
+        if last:
+            mark = spark.range(1).select(F.lit(last["push"]).cast("bigint").alias("push"), F.lit(last["seq"]).cast("bigint").alias("seq"))
+            store(mark, places, batch_id)
+    others = [c for c in taken.columns if c != "seq"]
+    return taken.select(F.col("seq.push").alias("push"), F.col("seq.seq").alias("seq"), *others)
 
 
 def _limited(df: DataFrame, limit: int, copy: bool) -> Pulled:

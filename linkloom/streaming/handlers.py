@@ -101,7 +101,7 @@ def tag_documents(state: str, docs: DataFrame, batch_id: int, count: int = 5) ->
     Every ``seq`` must be above those of earlier batches.
     """
     spark = docs.sparkSession
-    terms = tags.term_table(docs)
+    terms = tags.term_table(docs, arrival=True)
     store(tags.table_stats(terms), f"{state}/term_stats", batch_id)
     store(terms.agg(F.count("*").alias("doc_count")), f"{state}/corpus_stats", batch_id)
     stats, total = corpus_before(spark, state, batch_id)
@@ -112,15 +112,62 @@ def tag_documents(state: str, docs: DataFrame, batch_id: int, count: int = 5) ->
     store(tags.link_tags(terms, tags.top_terms(scores, count)), f"{state}/link_tags", batch_id)
 
 
+# ---- inverted index ----------------------------------------------------------
+
+
+def _sum_popularity(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("tag", "link").agg(F.sum("popularity").alias("popularity"))
+
+
+def _sorted_index(counts: DataFrame) -> DataFrame:
+    return index.by_tag(_sum_popularity(counts))
+
+
+def index_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
+    """Add what a batch ``(…, link, tag)`` brings to each pair's popularity: a delta, sorted for lookups like the index."""
+    store(index.by_tag(index.tag_index(tagged)), f"{state}/tag_index", batch_id)
+
+
+def tag_index(spark: SparkSession, state: str, tag: str | None = None) -> DataFrame:
+    """``(tag, link, popularity)`` over all batches; of one ``tag``, only its ranges of every delta are read."""
+    counts = all_versions(spark, f"{state}/tag_index", schemas.TAG_INDEX)
+    return _sum_popularity(counts if tag is None else counts.where(F.col("tag") == tag))
+
+
 # ---- link, tag and junction tables -------------------------------------------
 
+_ID = T.StructType([T.StructField("id", T.LongType())])
+_EVER = 1 << 62
+
+
+def _deleted(spark: SparkSession, state: str, table: str, below: int) -> DataFrame:
+    return versions_below(spark, f"{state}/deleted_{table}", _ID, below)
+
+
+def _living(spark: SparkSession, state: str, table: str, schema: T.StructType, below: int, deletes_below: int) -> DataFrame:
+    """Rows of versions below ``below`` without what deletes below ``deletes_below`` removed. Ids are never given twice."""
+    rows = versions_below(spark, f"{state}/{table}", schema, below)
+    for side, key in {"links": {"links": "id"}, "tags": {"tags": "id"}, "junction": {"links": "link_id", "tags": "tag_id"}}[table].items():
+        gone = _deleted(spark, state, side, deletes_below).select(F.col("id").alias(key))
+        rows = rows.join(gone, key, "left_anti")
+    return rows.select(*schema.names)
+
 
 def star(spark: SparkSession, state: str) -> index.Star:
-    return index.Star(
-        all_versions(spark, f"{state}/links", schemas.LINKS),
-        all_versions(spark, f"{state}/tags", schemas.TAGS),
-        all_versions(spark, f"{state}/junction", schemas.JUNCTION),
-    )
+    tables = (("links", schemas.LINKS), ("tags", schemas.TAGS), ("junction", schemas.JUNCTION))
+    return index.Star(*(_living(spark, state, name, schema, _EVER, _EVER) for name, schema in tables))
+
+
+def delete_values(state: str, doomed: DataFrame, column: str, batch_id: int) -> None:
+    """Delete the ``doomed(link)`` or ``doomed(tag)`` of all batches below ``batch_id``, and their pairs with them.
+
+    Stored as a version of deleted ids, which readers subtract and folds apply. Batches from
+    ``batch_id`` on add the value anew, under a new id. Deletes of one ``batch_id`` and column replace each other.
+    """
+    table, schema = {"link": ("links", schemas.LINKS), "tag": ("tags", schemas.TAGS)}[column]
+    spark = doomed.sparkSession
+    rows = _living(spark, state, table, schema, batch_id, batch_id)
+    store(rows.join(doomed.select(column).distinct(), column, "left_semi").select("id"), f"{state}/deleted_{table}", batch_id)
 
 
 _LAST = T.StructType([T.StructField("last", T.LongType())])
@@ -145,19 +192,19 @@ def upsert_link_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
         """Insert new values; return the ids of all values in the batch."""
         path = f"{state}/{table}"
         values = written(index.first_values(rows, column), column)
-        known = versions_below(spark, path, schema, batch_id)
+        known = _living(spark, state, table, schema, batch_id, batch_id + 1)
         # The last id is kept as one row a version, so the store isn't scanned for it.
         last = _last_id(versions_below(spark, f"{path}_last", _LAST, batch_id)).first()[0] or 0
         store(index.with_ids(exclude_stored(values, known, column), column, last), path, batch_id)
         fresh = stored(spark, path, schema).where(F.col("batch_id") == batch_id)
         store(_last_id(fresh.withColumnRenamed("id", "last")), f"{path}_last", batch_id)
-        ids = versions_below(spark, path, schema, batch_id + 1)
+        ids = _living(spark, state, table, schema, batch_id + 1, batch_id + 1)
         return ids.join(values.select(column), column, "left_semi")
 
     links = add("links", "link", schemas.LINKS)
     tag_ids = add("tags", "tag", schemas.TAGS)
     pairs = written(index.junction_rows(rows, links, tag_ids), "junction")
-    known = versions_below(spark, f"{state}/junction", schemas.JUNCTION, batch_id)
+    known = _living(spark, state, "junction", schemas.JUNCTION, batch_id, batch_id + 1)
     store(exclude_stored(pairs, known, ["link_id", "tag_id"]), f"{state}/junction", batch_id)
 
 
@@ -172,12 +219,20 @@ def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
         "hashes": (_HASH, lambda rows: rows),
         "term_stats": (schemas.TERM_STATS, _sum_terms),
         "corpus_stats": (schemas.CORPUS_STATS, _sum_docs),
-        "links": (schemas.LINKS, lambda rows: rows),
+        "tag_index": (schemas.TAG_INDEX, _sorted_index),
+        "links": (schemas.LINKS, lambda rows: without(rows, "links", "id")),
         "links_last": (_LAST, _last_id),
-        "tags": (schemas.TAGS, lambda rows: rows),
+        "tags": (schemas.TAGS, lambda rows: without(rows, "tags", "id")),
         "tags_last": (_LAST, _last_id),
-        "junction": (schemas.JUNCTION, lambda rows: rows),
+        "junction": (schemas.JUNCTION, lambda rows: without(without(rows, "links", "link_id"), "tags", "tag_id")),
+        "deleted_links": (_ID, lambda rows: rows.distinct()),
+        "deleted_tags": (_ID, lambda rows: rows.distinct()),
     }
+
+    def without(rows: DataFrame, side: str, key: str) -> DataFrame:
+        gone = _deleted(spark, state, side, upto + 1).select(F.col("id").alias(key))
+        return rows.join(gone, key, "left_anti").select(*rows.columns)
+
     for name in names:
         schema, combine = tables[name]
         fold(spark, f"{state}/{name}", schema, upto, combine)
@@ -188,7 +243,8 @@ STATE = {
     remember_links: ("seen_links",),
     validate_rows: ("urls", "hashes"),
     tag_documents: ("term_stats", "corpus_stats"),
-    upsert_link_tags: ("links", "links_last", "tags", "tags_last", "junction"),
+    index_tags: ("tag_index",),
+    upsert_link_tags: ("links", "links_last", "tags", "tags_last", "junction", "deleted_links", "deleted_tags"),
 }
 
 
