@@ -229,3 +229,69 @@ def test_follow_picks_up_files(spark):
         spark.streams.removeListener(rates)
     assert list(rates.rates().values())[0] > 0
     assert handlers.star(spark, state).junction.agg(F.count("*")).first()[0] == len(model(ROWS)[2])
+
+
+# ---- lasting pulls, live index, stored deletes ------------------------------------
+
+
+def test_numbers_and_nesting_of_any_size_are_decoded(spark):
+    values = [(1, '{"k": ' + "7" * 1500 + "}"), (2, '{"k": ' + "[" * 900 + "]" * 900 + "}"), (3, "{"), (4, '{"k": 5}')]
+    queued = spark.createDataFrame(values, "seq bigint, value string")
+    assert sorted((r.seq, r.k) for r in exchange.decode(queued, "k int").collect()) == [(1, None), (2, None), (4, 5)]
+
+
+def test_lasting_pulls_are_gapless_and_replayed_alike(spark):
+    path = scratch_path(spark, "queue")
+    push = lambda rows, i: exchange.push_list(spark.createDataFrame(rows, "seq bigint, value string"), path, i)
+    take = lambda limit, i, **how: [(r.push, r.seq, r.k) for r in exchange.take(spark, path, "k int", limit, i, **how).orderBy("push", "seq").collect()]
+    assert take(2, 0) == []
+    push([(1, '{"k": 1}'), (2, "no record"), (3, '{"k": 3}'), (4, '{"k": 4}'), (5, "tail")], 0)
+    first = take(2, 1)
+    assert first == [(0, 1, 1), (0, 3, 3)] and take(0, 2) == []
+    push([(1, '{"k": 11}'), (2, '{"k": 12}')], 1)  # a later push comes behind, whatever its numbers
+    assert take(2, 1) == first  # run again
+    assert take(2, 3) == [(0, 4, 4), (1, 1, 11)]
+    short = take(5, 4)
+    assert short == [(1, 2, 12)]
+    push([(9, '{"k": 99}')], 2)
+    assert take(5, 4) == short and take(-1, 5) == [(2, 9, 99)] and take(-1, 6) == []
+    assert len(take(-1, 1, name="other")) == 6  # another reader has its own place
+
+
+def test_live_index_equals_one_batch_over_splits_and_replays(spark):
+    state = scratch_path(spark, "live")
+    rows = [(i, f"l{i % 4}", r, f"t{(i * r) % 5}") for i in range(1, 30) for r in (1, 2, 3)]
+    whole = spark.createDataFrame(rows, "seq bigint, link string, rank int, tag string")
+    for i, (low, high) in enumerate([(0, 3), (3, 4), (4, 17), (17, 40)]):
+        for _ in range(1 + i % 2):
+            handlers.index_tags(state, whole.where((F.col("seq") >= low) & (F.col("seq") < high)), i)
+        if i == 2:
+            handlers.fold_state(spark, state, 1, "tag_index")
+    want = sorted(tuple(r) for r in index.tag_index(whole).collect())
+    assert sorted(tuple(r) for r in handlers.tag_index(spark, state).collect()) == want
+    one = handlers.tag_index(spark, state, "t2")
+    assert sorted(tuple(r) for r in one.collect()) == [r for r in want if r[0] == "t2"]
+    assert "PushedFilters: [IsNotNull(tag), EqualTo(tag,t2)" in one._jdf.queryExecution().toString()
+
+
+def test_stored_deletes_between_upserts(spark):
+    rows = lambda *pairs: spark.createDataFrame([(i, link, 1, tag) for i, (link, tag) in enumerate(pairs)], "seq bigint, link string, rank int, tag string")
+    state = scratch_path(spark, "deletes")
+    handlers.upsert_link_tags(state, rows(("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")), 0)
+    for _ in range(2):  # run again
+        handlers.delete_values(state, spark.createDataFrame([("x",), ("none",)], "tag string"), "tag", 1)
+        handlers.delete_values(state, spark.createDataFrame([("c",)], "link string"), "link", 1)
+    pairs = lambda: sorted(tuple(r) for r in index.search_all(handlers.star(spark, state)).collect())
+    assert pairs() == [("y", "a")]
+    for _ in range(2):
+        handlers.upsert_link_tags(state, rows(("b", "x"), ("c", "y")), 1)
+    after = [("x", "b"), ("y", "a"), ("y", "c")]
+    assert pairs() == after
+    handlers.delete_values(state, spark.createDataFrame([("c",)], "link string"), "link", 1)  # again: takes nothing of batch 1
+    assert pairs() == after
+    ids = {r.tag: r.id for r in handlers.star(spark, state).tags.collect()}
+    assert ids == {"y": 2, "z": 3, "x": 4}  # ids are never given twice
+    handlers.fold_state(spark, state, 1, *handlers.STATE[handlers.upsert_link_tags])
+    assert pairs() == after and {r.tag: r.id for r in handlers.star(spark, state).tags.collect()} == ids
+    handlers.upsert_link_tags(state, rows(("d", "z")), 2)
+    assert pairs() == sorted([*after, ("z", "d")])

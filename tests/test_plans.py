@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from linkloom import schemas, session
-from linkloom.operators import crawl, extract, index, tags
+from linkloom.operators import crawl, extract, index, ordering, tags
 from linkloom.plans import inputs, pipelines
 from linkloom.session import scratch_path
 
@@ -135,3 +135,14 @@ def test_scratch_folder_comes_from_the_session():
         session.scratch_root(fake_session(None, "yarn"))
     local = fake_session(None, "local[2]")
     assert session.scratch_root(local) == session.scratch_root(local)
+
+
+def test_arrival_order_takes_one_write_of_the_terms(spark, monkeypatch):
+    written = []
+    for module in (tags, ordering):
+        monkeypatch.setattr(module, "written", lambda df, label, write=module.written: written.append(label) or write(df, label))
+    scores = tags.arrival_scores(tags.term_table(inputs.documents(spark, FOLDER), arrival=True))
+    assert written == ["terms"] and "_slot" not in scores.columns
+    again = tags.arrival_scores(tags.term_table(inputs.documents(spark, FOLDER)))
+    assert written == ["terms", "terms", "order"]
+    assert scores.exceptAll(again).isEmpty() and again.exceptAll(scores).isEmpty()
