@@ -38,7 +38,7 @@ def result(spark, results, name):
 
 def test_every_query_is_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= entry.queries().keys()
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 def test_top_k_equals_sql(spark):
@@ -51,7 +51,7 @@ def test_a_row_for_each_document(spark, results, documents):
 
 
 def test_held_out_rows(spark, results):
-    for name, parts, rest in (("op2_toxicity", 4, 2), ("op6_language_id", 5, 0), ("op8_lm_scores", 10, 0)):
+    for name, parts, rest in (("op2_toxicity", 4, 2), ("op6_language_id", 5, 0), ("op8_lm_scores", 10, 0), ("op11_quality", 3, 1)):
         for r in result(spark, results, name):
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == rest)
 
