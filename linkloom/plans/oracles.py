@@ -231,7 +231,8 @@ ORACLES = {
                round_even(found::DOUBLE / elapsed * 100, 0) / 100 AS gather_rate
         FROM running""",
 }
-ORACLES["stream_seen_links"] = ORACLES["seen_link_dedup"]
+ORACLES["stream_seen_links"] = ORACLES["stream_seen_links_keyed"] = ORACLES["seen_link_dedup"]
+ORACLES["crawl_resume"], ORACLES["crawl_budget_resume"] = ORACLES["crawl_reach"], ORACLES["crawl_budget"]
 ORACLES["stream_validation"] = f"""WITH {_DOCUMENT_LINKS},
     fresh AS (SELECT * FROM rows WHERE url NOT IN (SELECT url FROM rows JOIN labels ON doc_id = seq)),
     by_link AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS nth FROM fresh),

@@ -206,6 +206,28 @@ def crawl_budget(spark, folder):
     return crawl.budgeted(crawl.from_pages(pages), seeds, BUDGET, ROUNDS)
 
 
+def crawl_resume(spark, folder):
+    """Stopped after one round, saved as a snapshot, and taken up again from it."""
+    graph, seeds = inputs.entity_graph(spark, folder), crawl.seed(spark, "http://shop.example/region/0")
+    state, saved, fresh = (scratch_path(spark, name) for name in ("crawl", "snapshot", "crawl"))
+    crawl.reach(graph, seeds, max_rounds=1, state=state)
+    snapshot.save(spark, saved, visited=crawl.reached_links(spark, state))
+    crawl.restore_reached(spark, fresh, snapshot.load(spark, saved, visited=crawl.REACHED)["visited"])
+    return crawl.reach(graph, seeds, state=fresh)
+
+
+def crawl_budget_resume(spark, folder):
+    """Stopped after one round, saved as a snapshot, and taken up again from it."""
+    pages = inputs.pages(spark, folder)
+    seeds = pages.select(F.col("page_id").alias("seq"), "url")
+    state, saved, fresh = (scratch_path(spark, name) for name in ("crawl", "snapshot", "crawl"))
+    outgoing = crawl.from_pages(pages)
+    crawl.budgeted(outgoing, seeds, BUDGET, 1, state=state)
+    snapshot.save(spark, saved, **crawl.budget_parts(spark, state))
+    crawl.restore_budget(fresh, **snapshot.load(spark, saved, **crawl.BUDGET_PARTS))
+    return crawl.budgeted(outgoing, seeds, BUDGET, ROUNDS, state=fresh)
+
+
 # ---- index, tables, search ---------------------------------------------------
 
 
@@ -396,6 +418,18 @@ def stream_seen_links(spark, folder):
     return handlers.seen_links(spark, state).select("url", "seq", "pos")
 
 
+def stream_seen_links_keyed(spark, folder):
+    """As ``stream_seen_links``, with the links seen as keyed state of the stream."""
+    state, source = scratch_path(spark, "stream"), scratch_path(spark, "arrivals")
+    for part in _arrivals(table(spark, folder, "pages"), "page_id"):
+        part.write.mode("append").parquet(source)
+        links = handlers.keyed_links(_link_rows(dealt(drivers.file_stream(spark, source, part.schema), "page_id")))
+        handler = handlers.on(handlers.remember_keyed, state, fold_every=FOLD_EVERY)
+        with drivers.keyed_state(spark):
+            drivers.drain(links, handler, f"{state}/progress", mode="update")
+    return handlers.seen_links(spark, state).select("url", "seq", "pos")
+
+
 def _documents_of(batch: DataFrame) -> DataFrame:
     return dealt(batch, "doc_id").select(F.col("doc_id").alias("seq"), F.col("source").alias("link"), "text")
 
@@ -464,9 +498,9 @@ QUERIES = {
         tokens, clean_tokens, term_freq, doc_length, running_doc_count, running_term_freq, corpus_stats,
         tfidf_scores, corpus_tfidf, query_scores, top3_tags, doc_tags, page_tags,
         text_hash, text_dedup, seen_link_dedup, frontier_queue, stored_link_check, validation_report,
-        crawl_frontier, crawl_reach, crawl_budget,
+        crawl_frontier, crawl_reach, crawl_budget, crawl_resume, crawl_budget_resume,
         tag_index, tag_lookup, links_dim, tags_dim, link_tag_junction, cascade_delete, tag_search,
         queue_pull, queue_peek, queue_take, queue_push_json, set_push, push_both, table_setup, snapshot_roundtrip, crawl_rates,
-        stream_seen_links, stream_validation, stream_doc_tags, stream_link_tags, stream_tag_index, stored_cascade_delete,
+        stream_seen_links, stream_seen_links_keyed, stream_validation, stream_doc_tags, stream_link_tags, stream_tag_index, stored_cascade_delete,
     )
 }

@@ -100,5 +100,26 @@ def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     return table
 
 
+@contextlib.contextmanager
+def bucketed_versions(spark: SparkSession, path: str, key: str, version: str, buckets: int):
+    """The name of a table ``(key string, version bigint)`` over ``path``, in hash buckets of ``key`` within each version.
+
+    ``insertInto`` adds a version; readers by the key leave what is stored where it is. Only the files last.
+    """
+    name = f"versions_{uuid.uuid4().hex}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({key} STRING, {version} BIGINT) USING parquet PARTITIONED BY ({version}) "
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

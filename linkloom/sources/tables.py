@@ -108,6 +108,13 @@ def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return [(int(p.getName().split("=")[1]), p.toString()) for p in paths if "=" in p.getName()]
 
 
+def discard_above(spark: SparkSession, path: str, last: int) -> None:
+    """Remove the versions above ``last``, such as one that was cut short."""
+    for version, place in _versions(spark, path):
+        if version > last:
+            remove(spark, place)
+
+
 def all_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows of a versioned table, folded or not."""
     return versions_below(spark, path, schema, 1 << 62)

@@ -19,6 +19,13 @@ from linkloom.streaming.drivers import BatchHandler
 
 PRELOAD = -1
 
+_LAST = T.StructType([T.StructField("last", T.LongType())])
+
+
+def _last_id(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.max("last").alias("last"))
+
+
 # ---- links seen so far -------------------------------------------------------
 
 
@@ -38,6 +45,30 @@ def preload_links(state: str, links: DataFrame) -> None:
     remember_links(state, links, PRELOAD)
 
 
+def keyed_links(links: DataFrame) -> DataFrame:
+    """First place of every link of a stream ``(seq, pos, url)``, kept by Spark as state of the link: ``(url, seq, pos, upto)``.
+
+    To be run in update mode, with ``remember_keyed``. A batch reads the state of its own links, never the stored
+    links; copies of a link collapse before the shuffle. ``upto`` is the last ``seq`` that had it.
+    """
+    first, upto = F.min(F.struct("seq", "pos")).alias("_first"), F.max("seq").alias("upto")
+    return links.groupBy("url").agg(first, upto).select("url", "_first.seq", "_first.pos", "upto")
+
+
+def remember_keyed(state: str, links: DataFrame, batch_id: int) -> None:
+    """Store what ``keyed_links`` saw first in this batch, as ``remember_links`` does.
+
+    An update holds every link of the batch; a known one still has its first place, which is at most
+    the last ``seq`` of the batches before.
+    """
+    spark = links.sparkSession
+    rows = written(links, "links")
+    before = _last_id(versions_below(spark, f"{state}/seen_links_last", _LAST, batch_id)).first()[0]
+    fresh = rows if before is None else rows.where(F.col("seq") > before)
+    store(fresh.select("seq", "pos", "url"), f"{state}/seen_links", batch_id)
+    store(_last_id(rows.withColumnRenamed("upto", "last")), f"{state}/seen_links_last", batch_id)
+
+
 # ---- validation --------------------------------------------------------------
 
 _URL = T.StructType([T.StructField("url", T.StringType())])
@@ -170,13 +201,6 @@ def delete_values(state: str, doomed: DataFrame, column: str, batch_id: int) ->
     store(rows.join(doomed.select(column).distinct(), column, "left_semi").select("id"), f"{state}/deleted_{table}", batch_id)
 
 
-_LAST = T.StructType([T.StructField("last", T.LongType())])
-
-
-def _last_id(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.max("last").alias("last"))
-
-
 def create_star(spark: SparkSession, state: str) -> None:
     """Set up the three tables, empty, where they are not there yet."""
     for name, schema in (("links", schemas.LINKS), ("tags", schemas.TAGS), ("junction", schemas.JUNCTION)):
@@ -215,6 +239,7 @@ def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
     """Fold the named state tables up to a committed batch and remove what that replaces."""
     tables = {
         "seen_links": (schemas.SEEN_LINKS, lambda rows: rows),
+        "seen_links_last": (_LAST, _last_id),
         "urls": (_URL, lambda rows: rows),
         "hashes": (_HASH, lambda rows: rows),
         "term_stats": (schemas.TERM_STATS, _sum_terms),
@@ -241,6 +266,7 @@ def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
 #: State that each handler grows, and that a long stream folds.
 STATE = {
     remember_links: ("seen_links",),
+    remember_keyed: ("seen_links", "seen_links_last"),
     validate_rows: ("urls", "hashes"),
     tag_documents: ("term_stats", "corpus_stats"),
     index_tags: ("tag_index",),

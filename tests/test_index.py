@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from linkloom import schemas
@@ -212,6 +214,33 @@ def test_streams_drain_files_in_batches(spark):
     assert sum(sizes) == 3  # nothing new, nothing again
 
 
+def test_a_soft_stop_ends_after_a_whole_batch(spark):
+    source, state = scratch_path(spark, "in"), scratch_path(spark, "state")
+    for batch_id in range(4):
+        spark.createDataFrame([(batch_id, "l", 1, "t")], schemas.LINK_TAGS).coalesce(1).write.mode("append").parquet(source)
+    begun, ended = [], []
+
+    def handler(batch, batch_id):
+        begun.append(batch_id)
+        time.sleep(2)
+        ended.append((batch_id, batch.count()))
+
+    stream, progress = drivers.file_stream(spark, source, schemas.LINK_TAGS, files_per_batch=1), f"{state}/progress"
+    assert not drivers.drain(stream, handler, progress, timeout=0) and not begun
+    assert not drivers.drain(stream, handler, progress, stop=lambda: len(begun) == 2)
+    assert begun == [0, 1] and ended == [(0, 1), (1, 1)]
+    query = drivers.follow(stream, handler, progress, "1 second", stop=lambda: len(begun) == 3)
+    assert not drivers.ended(query, 60) and begun == [0, 1, 2]
+    assert drivers.drain(stream, handler, progress, timeout=600)
+    assert begun == [0, 1, 2, 3] and sum(size for _, size in ended) == 4
+
+    def broken(batch, batch_id):
+        raise ValueError("broken")
+
+    with pytest.raises(StreamingQueryException, match="broken"):
+        drivers.drain(stream, broken, f"{state}/other")
+
+
 def test_follow_picks_up_files(spark):
     source, state = scratch_path(spark, "in"), scratch_path(spark, "state")
     rates = Rates()

@@ -2,12 +2,15 @@
 
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from linkloom.operators import crawl, dedup, extract, ordering
 from linkloom.session import scratch_path
-from linkloom.sources.tables import page_source
-from linkloom.streaming import handlers
+from linkloom.sources import snapshot
+from linkloom.sources.tables import page_source, store
+from linkloom.streaming import drivers, handlers
 
 
 def link_rows(size=400, seed=5):
@@ -202,6 +205,66 @@ def test_budgeted_crawl_is_first_in_first_out(spark):
     assert crawl.budgeted(crawl.from_graph(graph), seeds, 2, 3, seconds=0).isEmpty()
 
 
+def test_a_crawl_taken_up_again_equals_one_in_a_piece(spark):
+    graph, seeds = crawl.link_graph(site(spark)), crawl.seed(spark, "http://s/")
+    want = sorted(map(tuple, crawl.reach(graph, seeds).collect()))
+    for stopped in (0, 2):
+        state, saved, fresh = (scratch_path(spark, "resume") for _ in range(3))
+        part = crawl.reach(graph, seeds, max_rounds=stopped, state=state)
+        assert sorted(map(tuple, part.collect())) == [row for row in want if row[1] <= stopped]
+        # a round that was cut short left a version without a mark
+        store(spark.createDataFrame([("http://s/half",)], "url string"), f"{state}/visited", stopped + 1, "depth")
+        snapshot.save(spark, saved, visited=crawl.reached_links(spark, state))
+        crawl.restore_reached(spark, fresh, snapshot.load(spark, saved, visited=crawl.REACHED)["visited"])
+        for folder in (state, fresh):
+            again = crawl.reach(graph, crawl.seed(spark, "http://other/"), state=folder)
+            assert sorted(map(tuple, again.collect())) == want
+    assert crawl.reached_links(spark, scratch_path(spark, "none")).isEmpty()
+
+
+def test_a_budgeted_crawl_taken_up_again_equals_one_in_a_piece(spark):
+    outgoing, seeds = crawl.from_graph(crawl.link_graph(site(spark))), crawl.seed(spark, "http://s/", "http://island/")
+    want = budget_model(["http://s/", "http://island/"], 2, 4)
+    state, saved, fresh = (scratch_path(spark, "resume") for _ in range(3))
+    for rounds in (0, 1, 2):
+        part = crawl.budgeted(outgoing, seeds, 2, rounds, state=state)
+        assert sorted(map(tuple, part.collect())) == [row for row in want if row[0] <= rounds]
+    store(spark.createDataFrame([(99, "http://s/half")], "seq bigint, url string"), f"{state}/queue", 3, "round")
+    snapshot.save(spark, saved, **crawl.budget_parts(spark, state))
+    crawl.restore_budget(fresh, **snapshot.load(spark, saved, **crawl.BUDGET_PARTS))
+    for folder in (state, fresh):
+        got = crawl.budgeted(outgoing, crawl.seed(spark, "http://other/"), 2, 4, state=folder)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_keyed_links_match_first_seen_over_splits_replays_and_a_restart(spark):
+    rows = link_rows()
+    source, state = scratch_path(spark, "in"), scratch_path(spark, "state")
+    handler, failed = handlers.on(handlers.remember_keyed, state, fold_every=2), []
+
+    def fails_once(batch, batch_id):
+        handler(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise ValueError("lost after it was stored")
+
+    for lower, upper in ((0, 30), (30, 31), (31, 80), (80, 100)):
+        part = [r for r in rows if lower <= r[0] < upper]
+        spark.createDataFrame(part, LINKS).coalesce(1).write.mode("append").parquet(source)
+
+        def run():
+            stream = drivers.file_stream(spark, source, spark.read.parquet(source).schema)
+            with drivers.keyed_state(spark):
+                return drivers.drain(handlers.keyed_links(stream), fails_once, f"{state}/progress", mode="update")
+
+        if lower == 30:
+            with pytest.raises(StreamingQueryException, match="lost after it was stored"):
+                run()
+        assert run()
+    got = {r.url: (r.seq, r.pos) for r in handlers.seen_links(spark, state).collect()}
+    assert got == firsts_of(rows) and handlers.seen_links(spark, state).count() == len(got)
+
+
 def test_blank_links_and_status(spark):
     links = spark.createDataFrame([(None,), ("",), ("  \t",), (" a ",)], "url string")
     assert [r.url for r in extract.valid_links(links).collect()] == [" a "]

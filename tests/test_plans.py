@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkloom import schemas, session
@@ -107,6 +108,20 @@ def test_a_crawl_round_leaves_the_edges_where_they_are(spark, skewed):
     assert "Bucketed: true" in plan and len(exchanges) <= 2  # plan and initial plan: the frontier's alone
 
 
+def test_a_crawl_round_leaves_the_visited_links_where_they_are(spark, skewed):
+    graph = inputs.entity_graph(spark, FOLDER)
+    buckets, path = session.shuffle_partitions(spark), session.scratch_path(spark, "visited")
+    edges = session.bucketed(graph, "src", buckets, "edges")
+    with session.bucketed_versions(spark, path, "url", "depth", buckets) as name:
+        graph.select(F.col("src").alias("url"), F.lit(0).cast("bigint")).distinct().write.insertInto(name)
+        visited = spark.table(name)
+        frontier = visited.where("depth = 0").select(F.col("url").alias("src"))
+        plan = final_plan(crawl.unvisited(crawl.reached(edges, frontier), visited))
+    # Neither side of the round's join is shuffled, and only what it finds is, for the distinct.
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(exchanges) <= 2 and all("(url" in line for line in exchanges) and plan.count("LeftAnti") >= 1
+
+
 def test_scratch_is_removed(spark):
     with session.scratch(spark):
         path = scratch_path(spark, "kept")
