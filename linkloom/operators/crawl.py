@@ -123,17 +123,18 @@ def reach(
     ``max_rounds`` counts the rounds before, too, and the seeds are those it began with.
     """
     spark = graph.sparkSession
-    state = state or scratch_path(spark, "reach")
+    kept, state = state is not None, state or scratch_path(spark, "reach")
     path, marks = f"{state}/visited", f"{state}/rounds"
     edges = bucketed(graph.select("src", "url"), "src", shuffle_partitions(spark), "edges")
-    newest = _newest(stored(spark, marks, _ROUND, "depth"), "depth")
+    newest = _newest(stored(spark, marks, _ROUND, "depth"), "depth") if kept else None
     depth, buckets = (newest["depth"], newest["buckets"]) if newest else (-1, shuffle_partitions(spark))
-    discard_above(spark, path, depth)
+    discard_above(spark, path, depth)  # a round that was cut short
     deadline = _deadline(seconds)
 
     def add(links: DataFrame) -> None:
         links.select("url", F.lit(depth + 1).cast("bigint").alias("depth")).write.insertInto(name)
-        store(spark.createDataFrame([(buckets,)], _ROUND), marks, depth + 1, "depth")
+        if kept:  # a folder of this call's own is never taken up again
+            store(spark.createDataFrame([(buckets,)], _ROUND), marks, depth + 1, "depth")
 
     with bucketed_versions(spark, path, "url", "depth", buckets) as name:
         if depth < 0:
@@ -146,7 +147,7 @@ def reach(
                 break
             add(unvisited(reached(edges, frontier), visited))
             depth += 1
-    return reached_links(spark, state).select("url", F.col("depth").cast("int").alias("depth"))
+    return stored(spark, path, _VISITED, "depth").select("url", F.col("depth").cast("int").alias("depth"))
 
 
 #: What a snapshot keeps of ``reach``.
@@ -193,18 +194,19 @@ def budgeted(
     ``rounds`` counts the rounds before, too, and the seeds are those it began with.
     """
     spark = seeds.sparkSession
-    state = state or scratch_path(spark, "budget")
+    kept, state = state is not None, state or scratch_path(spark, "budget")
     queue_path, pulls_path, turns_path = f"{state}/queue", f"{state}/pulls", f"{state}/turns"
     deadline = _deadline(seconds)
 
     def end(turn: int, done: int, last: int) -> int:
-        """Mark a round as whole; returns the last number in the queue."""
+        """Mark a round as whole, in a folder that is kept; returns the last number in the queue."""
         added = stored(spark, queue_path, _QUEUED, "round").where(F.col("round") == turn)
         last = added.agg(F.max("seq")).first()[0] or last
-        store(spark.createDataFrame([(done, last)], _TURN), turns_path, turn, "round")
+        if kept:
+            store(spark.createDataFrame([(done, last)], _TURN), turns_path, turn, "round")
         return last
 
-    newest = _newest(stored(spark, turns_path, _TURN, "round"), "round")
+    newest = _newest(stored(spark, turns_path, _TURN, "round"), "round") if kept else None
     if newest:
         turn, done, last = newest["round"], newest["done"], newest["last"]
     else:
@@ -225,7 +227,7 @@ def budgeted(
         fresh = new_links(links, seen).withColumnRenamed("seq", "_at")
         store(numbered(fresh, ["_at", "pos"], "seq", last + 1).select("seq", "url"), queue_path, turn, "round")
         done, last = upto, end(turn, upto, last)
-    pulls = budget_parts(spark, state)["pulls"]
+    pulls = stored(spark, pulls_path, _QUEUED, "round").where(F.col("round") <= turn)
     return pulls.select(F.col("round").cast("int").alias("round"), "seq", "url")
 
 
