@@ -27,6 +27,7 @@ _OTHER = r"<[/!?][^>]*+>"
 _MARKUP = f"(?is){_COMMENT}|{_RAW}|{_HIDDEN}|{_TAG}|{_OTHER}"
 _MAY_HIDE = r"(?i)<(?:template|rt|rp)[\s/>]"
 _ANCHOR = rf"(?is){_COMMENT}|{_RAW}|<a(?=[\s/>])({_ATTRS})>|{_TAG}|{_OTHER}"
+_BASE = rf"(?is){_COMMENT}|{_RAW}|<base(?=[\s/>])({_ATTRS})>|{_TAG}|{_OTHER}"
 _INVISIBLE = f"(?is){_COMMENT}|{_RAW}"
 _ATTRIBUTE = r"""([^\s/=>"']+)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 
@@ -217,3 +218,13 @@ def page_hrefs(html: Column) -> Column:
         lambda attributes: attributes.rlike("(?i)href"),
     )
     return F.filter(F.transform(anchors, _href), lambda href: href.isNotNull())
+
+
+def page_base(html: Column) -> Column:
+    """``href`` of the first ``<base>`` that has one, or null: what a browser resolves the page's links on."""
+
+    def first(html: Column) -> Column:
+        bases = F.filter(F.regexp_extract_all(html, F.lit(_BASE), 2), lambda attributes: attributes.rlike("(?i)href"))
+        return F.get(F.filter(F.transform(bases, _href), lambda href: href.isNotNull()), F.lit(0))
+
+    return F.when(html.rlike(r"(?i)<base[\s/]"), first(html))

@@ -76,3 +76,12 @@ def resolve_on_page(page_url: Column, href: Column) -> Column:
     """Absolute link, with relative paths taken from the page's folder."""
     page = _tidy(page_url)
     return _resolve(F.lower(_part(page, 1)), _part(page, 2), _part(page, 3), _part(page, 4), href)
+
+
+def base_of_page(page_url: Column, base_href: Column) -> Column:
+    """What relative links of a page are taken from: its ``<base>``, resolved on the page, else the page itself.
+
+    As in browsers, a null base and one of scheme ``data`` or ``javascript`` do not count.
+    """
+    usable = base_href.isNotNull() & ~F.lower(_part(_tidy(base_href), 1)).isin("data", "javascript")
+    return F.when(usable, resolve_on_page(page_url, base_href)).otherwise(page_url)

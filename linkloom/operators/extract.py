@@ -42,15 +42,18 @@ def page_links(pages: DataFrame, on_page: bool = False) -> DataFrame:
     """``(page_id, src_url, pos, href, url)`` per anchor, duplicates kept.
 
     Relative links are resolved on the site root, or like a browser on the
-    page itself with ``on_page``.
+    page itself, or on the ``<base>`` that it names, with ``on_page``.
     """
-    resolve = urls.resolve_on_page if on_page else urls.resolve_on_origin
+    if on_page:
+        pages = with_once(pages, "_base", urls.base_of_page(F.col("url"), html.page_base(F.col("html"))))
+    base = [F.col("_base")] if on_page else []
     # The outer form keeps the optimizer from adding a size() filter that
     # would run the extraction a second time.
     anchors = pages.select(
-        "page_id", F.col("url").alias("src_url"), F.posexplode_outer(html.page_hrefs(F.col("html"))).alias("pos", "href")
+        "page_id", F.col("url").alias("src_url"), *base, F.posexplode_outer(html.page_hrefs(F.col("html"))).alias("pos", "href")
     ).where(F.col("href").isNotNull())
-    return with_once(anchors, "url", resolve(F.col("src_url"), F.col("href")))
+    resolved = urls.resolve_on_page(F.col("_base"), F.col("href")) if on_page else urls.resolve_on_origin(F.col("src_url"), F.col("href"))
+    return with_once(anchors, "url", resolved).drop("_base")
 
 
 def valid_links(links: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,19 +54,19 @@ def stored(spark: SparkSession, path: str, schema: T.StructType, version: str =
         return spark.createDataFrame([], full)
 
 
-def store(df: DataFrame, path: str, version_id: int, version: str = "batch_id") -> None:
-    """Write one version of a table; writing it again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/{version}={version_id}")
+def store(df: DataFrame, path: str, version_id: int, version: str = "batch_id", parts: Sequence[str] = ()) -> None:
+    """Write one version of a table, in folders of ``parts`` if given; writing it again replaces it."""
+    df.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/{version}={version_id}")
 
 
-def _newest_fold(spark: SparkSession, path: str, below: int) -> int | None:
+def newest_fold(spark: SparkSession, path: str, below: int) -> int | None:
     folds = stored(spark, f"{path}_folds", _FOLD, "upto")
     return folds.where(F.col("upto") < below).agg(F.max("upto")).first()[0]
 
 
 def versions_below(spark: SparkSession, path: str, schema: T.StructType, below: int) -> DataFrame:
     """All rows of versions below ``below``: the newest fold and the versions since."""
-    base = _newest_fold(spark, path, below)
+    base = newest_fold(spark, path, below)
     rows = stored(spark, path, schema).where(F.col("batch_id") < below)
     if base is None:
         return rows.select(*schema.names)
@@ -81,16 +81,19 @@ def fold(
     schema: T.StructType,
     upto: int,
     combine: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    parts: Sequence[str] = (),
 ) -> None:
     """Rewrite the versions up to ``upto`` as one and remove them, so later reads open few files.
 
+    ``combine`` may add columns named in ``parts``, by whose folders the fold is then stored.
+
     Only versions of committed batches may be folded: none of them is replayed.
     The mark that makes readers use the fold comes before the removal, and a
     fold that was cut short is done again.
     """
-    base = _newest_fold(spark, path, upto + 1)
+    base = newest_fold(spark, path, upto + 1)
     if base != upto:
-        store(combine(versions_below(spark, path, schema, upto + 1)), f"{path}_folded", upto, "upto")
+        store(combine(versions_below(spark, path, schema, upto + 1)), f"{path}_folded", upto, "upto", parts)
         store(spark.createDataFrame([(True,)], _FOLD), f"{path}_folds", upto, "upto")
     for folder, last in ((path, upto), (f"{path}_folds", upto - 1), (f"{path}_folded", upto - 1)):
         for version, place in _versions(spark, folder):
@@ -115,6 +118,13 @@ def discard_above(spark: SparkSession, path: str, last: int) -> None:
             remove(spark, place)
 
 
+def discard_below(spark: SparkSession, path: str, first: int) -> None:
+    """Remove the versions below ``first``."""
+    for version, place in _versions(spark, path):
+        if version < first:
+            remove(spark, place)
+
+
 def all_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows of a versioned table, folded or not."""
     return versions_below(spark, path, schema, 1 << 62)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom import schemas
-from linkloom.operators import dedup, index, tags
+from linkloom.operators import dedup, index, membership, tags
 from linkloom.operators.dedup import first_seen
 from linkloom.session import written
-from linkloom.sources.tables import all_versions, create_if_absent, exclude_stored, fold, store, stored, versions_below
+from linkloom.sources.tables import (
+    all_versions, create_if_absent, discard_below, exclude_stored, fold, newest_fold, store, stored, versions_below,
+)
 from linkloom.streaming.drivers import BatchHandler
 
 PRELOAD = -1
@@ -26,6 +28,52 @@ def _last_id(rows: DataFrame) -> DataFrame:
     return rows.agg(F.max("last").alias("last"))
 
 
+# ---- stored keys -------------------------------------------------------------
+
+#: Tables that batches look their keys up in: each fold has a membership filter and is stored in slices of the key.
+KEYS = {"seen_links": "url", "urls": "url", "hashes": "text_hash"}
+
+
+def _guarded_fold(spark: SparkSession, path: str, schema: T.StructType, upto: int, key: str) -> None:
+    """Fold a table of distinct keys, the filter first: the mark of the fold makes readers use both."""
+    if newest_fold(spark, path, upto + 1) != upto:
+        rows = versions_below(spark, path, schema, upto + 1)
+        count = rows.count()
+        store(membership.build(rows, key, count), f"{path}_members", upto, "upto")
+        slices = membership.sizes(count)[1]
+    else:
+        slices = 1  # that fold is there, only its remains go
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("slice", membership.slice_of(key, slices)).hint("rebalance", F.col("slice"))
+
+    fold(spark, path, schema, upto, sliced, ["slice"])
+    discard_below(spark, f"{path}_members", upto)
+
+
+def known_keys(candidates: DataFrame, path: str, schema: T.StructType, key: str, below: int) -> DataFrame:
+    """Keys of versions below ``below`` that ``candidates`` may have, all that they do have among them.
+
+    The filter of the newest fold is asked first. Of the fold only the slices of keys that it may hold
+    are read, none if it surely holds no candidate; versions since are read whole.
+    """
+    spark = candidates.sparkSession
+    base = newest_fold(spark, path, below)
+    members = None if base is None else stored(spark, f"{path}_members", membership.FILTER, "upto").where(F.col("upto") == base)
+    found = None if members is None else members.select("blocks", "slices").first()
+    if found is None:
+        return versions_below(spark, path, schema, below).select(key)
+    maybe = membership.may_hold(candidates.select(key), members, key, found.blocks)
+    # At most membership.SLICES numbers.
+    slices = [row[0] for row in maybe.select(membership.slice_of(key, found.slices)).distinct().collect()]
+    since = stored(spark, path, schema).where((F.col("batch_id") > base) & (F.col("batch_id") < below))
+    if not slices:
+        return since.select(key)
+    sliced = T.StructType([*schema.fields, T.StructField("slice", T.IntegerType())])
+    folded = stored(spark, f"{path}_folded", sliced, "upto").where((F.col("upto") == base) & F.col("slice").isin(slices))
+    return since.select(key).unionByName(folded.select(key))
+
+
 # ---- links seen so far -------------------------------------------------------
 
 
@@ -36,7 +84,7 @@ def seen_links(spark: SparkSession, state: str) -> DataFrame:
 def remember_links(state: str, links: DataFrame, batch_id: int) -> None:
     """Store the links ``(seq, pos, url)`` of a batch that no earlier batch had."""
     firsts = written(first_seen(links, "url", ["seq", "pos"]).select("seq", "pos", "url"), "links")
-    known = versions_below(links.sparkSession, f"{state}/seen_links", schemas.SEEN_LINKS, batch_id)
+    known = known_keys(firsts, f"{state}/seen_links", schemas.SEEN_LINKS, "url", batch_id)
     store(exclude_stored(firsts, known, "url"), f"{state}/seen_links", batch_id)
 
 
@@ -77,9 +125,10 @@ _PASSED = T.StructType([T.StructField("seq", T.LongType()), *_URL.fields, *_HASH
 
 
 def preload_validation(state: str, links: DataFrame, hashes: DataFrame) -> None:
-    """Start with stored ``links(url)`` and ``hashes(text_hash)`` as seen."""
+    """Start with stored ``links(url)`` and ``hashes(text_hash)`` as seen, behind a membership filter from the first batch on."""
     store(links.select("url").distinct(), f"{state}/urls", PRELOAD)
     store(hashes.select("text_hash").distinct(), f"{state}/hashes", PRELOAD)
+    fold_state(links.sparkSession, state, PRELOAD, "urls", "hashes")
 
 
 def validate_rows(state: str, rows: DataFrame, batch_id: int) -> None:
@@ -87,11 +136,10 @@ def validate_rows(state: str, rows: DataFrame, batch_id: int) -> None:
 
     What an earlier batch let through a stage is seen in that stage.
     """
-    spark = rows.sparkSession
     batch = written(rows.select("seq", "url", "text_hash"), "rows")
 
     def before(name: str, schema: T.StructType, key: str) -> DataFrame:
-        known = versions_below(spark, f"{state}/{name}", schema, batch_id)
+        known = known_keys(batch, f"{state}/{name}", schema, key, batch_id)
         return known.join(batch.select(key), key, "left_semi")
 
     stages = dedup.validate(batch, before("urls", _URL, "url"), before("hashes", _HASH, "text_hash"))
@@ -238,10 +286,10 @@ def upsert_link_tags(state: str, tagged: DataFrame, batch_id: int) -> None:
 def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
     """Fold the named state tables up to a committed batch and remove what that replaces."""
     tables = {
-        "seen_links": (schemas.SEEN_LINKS, lambda rows: rows),
+        "seen_links": (schemas.SEEN_LINKS, None),
         "seen_links_last": (_LAST, _last_id),
-        "urls": (_URL, lambda rows: rows),
-        "hashes": (_HASH, lambda rows: rows),
+        "urls": (_URL, None),
+        "hashes": (_HASH, None),
         "term_stats": (schemas.TERM_STATS, _sum_terms),
         "corpus_stats": (schemas.CORPUS_STATS, _sum_docs),
         "tag_index": (schemas.TAG_INDEX, _sorted_index),
@@ -260,7 +308,10 @@ def fold_state(spark: SparkSession, state: str, upto: int, *names: str) -> None:
 
     for name in names:
         schema, combine = tables[name]
-        fold(spark, f"{state}/{name}", schema, upto, combine)
+        if name in KEYS:
+            _guarded_fold(spark, f"{state}/{name}", schema, upto, KEYS[name])
+        else:
+            fold(spark, f"{state}/{name}", schema, upto, combine)
 
 
 #: State that each handler grows, and that a long stream folds.

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import html, text, urls
+from linkloom.operators import extract
 
 
 def evaluate(spark, rows, names, *columns):
@@ -262,3 +263,24 @@ def test_hidden_elements_cost_no_more_than_the_page(spark, tag, shown):
     pages = spark.range(1).select(F.repeat(F.lit(tag), 200_000).alias("html"))
     length = pages.select(F.length(html.page_text(F.col("html"))).alias("n")).first()["n"]
     assert length == shown and time.time() - start < 60
+
+
+def test_links_resolve_on_the_base_that_a_page_names(spark):
+    url = "http://s.org/x/y.html"
+    anchors = '<a href="p">1</a><a href="/q">2</a><a href="">3</a><a href="//t/z">4</a>'
+    heads = {
+        '<base href="/docs/v2/">': "http://s.org/docs/v2/",
+        "<BASE target=_top><base HREF='http://other.org/a/b'>": "http://other.org/a/b",
+        '<base href="sub/"><base href="/late/">': "http://s.org/x/sub/",
+        '<!-- <base href="/no/"> --><script>"<base href=/no/>"</script><basefont href="/no/">': url,
+        '<base href="javascript:void(0)">': url,
+        '<base href="https://u.org/k/">': "https://u.org/k/",
+        "": url,
+    }
+    rows = [(i, url, f"<head>{head}</head><body>{anchors}</body>") for i, head in enumerate(heads)]
+    pages = spark.createDataFrame([*rows, (99, url, None)], "page_id bigint, url string, html string")
+    found = {}
+    for row in extract.page_links(pages, on_page=True).orderBy("page_id", "pos").collect():
+        found.setdefault(row.page_id, []).append(row.url)
+    assert found == {i: [urljoin(base, h) if h else base for h in ("p", "/q", "", "//t/z")] for i, base in enumerate(heads.values())}
+    assert extract.page_links(pages).columns == extract.page_links(pages, on_page=True).columns

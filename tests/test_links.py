@@ -6,7 +6,8 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from linkloom.operators import crawl, dedup, extract, ordering
+from linkloom import schemas
+from linkloom.operators import crawl, dedup, extract, membership, ordering
 from linkloom.session import scratch_path
 from linkloom.sources import snapshot
 from linkloom.sources.tables import page_source, store
@@ -280,3 +281,46 @@ def test_pages_without_text_are_dropped_with_their_links(spark):
     both = extract.readable(pages.unionByName(pages.selectExpr("page_id + 2 AS page_id", "url", "html || '<a href=y>more</a>' AS html")))
     assert sorted(r.seq for r in both.texts.collect()) == [2, 3, 4]
     assert sorted((r.page_id, r.href) for r in both.links.collect()) == [(3, "/x"), (3, "y"), (4, "y")]
+
+
+def test_a_membership_filter_holds_every_key_and_few_others(spark):
+    keys = spark.range(60_000).select(F.concat(F.lit("http://s/"), "id").alias("url")).unionByName(
+        spark.createDataFrame([(None,), ("",), ("ü" * 5000,)], "url string")
+    )
+    members = membership.build(keys, "url", 60_003).cache()
+    blocks, slices = membership.sizes(60_003)
+    assert {(r.blocks, r.slices) for r in members.collect()} == {(blocks, slices)} and members.count() == blocks == 19
+    assert membership.may_hold(keys, members, "url", blocks).count() == 60_003
+    others = spark.range(60_000).select(F.concat(F.lit("http://t/"), "id").alias("url"))
+    assert membership.may_hold(others, members, "url", blocks).count() < 1_200
+    none = membership.build(keys.limit(0), "url", 0)
+    assert none.count() == 0 and membership.may_hold(others, none, "url", 1).count() == 0
+
+
+def test_a_batch_reads_only_the_slices_of_keys_that_may_be_stored(spark, monkeypatch):
+    monkeypatch.setattr(membership, "SLICE_KEYS", 100)
+    state = scratch_path(spark, "sliced")
+    old = spark.range(2_000).select(F.col("id").alias("seq"), F.lit(0).alias("pos"), F.concat(F.lit("http://s/"), "id").alias("url"))
+    handlers.remember_links(state, old, 0)
+    handlers.fold_state(spark, state, 0, "seen_links")
+    handlers.remember_links(state, spark.createDataFrame([(2_000, 0, "http://since/")], LINKS), 1)
+
+    def known(*found):
+        rows = spark.createDataFrame([(url,) for url in found], "url string")
+        return handlers.known_keys(rows, f"{state}/seen_links", schemas.SEEN_LINKS, "url", 2)
+
+    new = [f"http://new/{i}" for i in range(20)]
+    assert {r.url for r in known(*new[:1]).collect()} == {"http://since/"}
+    some = {r.url for r in known(*new[:1], "http://s/7").collect()}
+    assert {"http://s/7", "http://since/"} <= some and len(some) < 300
+    assert known(*new, *(f"http://s/{i}" for i in range(2_000))).count() == 2_001
+
+    batch = [(3_000 + i, 0, url) for i, url in enumerate([*new, "http://s/7", "http://s/8", "http://since/", None])]
+    for _ in range(2):  # replayed alike
+        handlers.remember_links(state, spark.createDataFrame(batch, LINKS), 2)
+        rows = handlers.seen_links(spark, state).where("seq >= 3000").collect()
+        assert sorted(r.url for r in rows if r.url is not None) == sorted(new)
+    handlers.fold_state(spark, state, 2, "seen_links")
+    handlers.remember_links(state, spark.createDataFrame([(9_000, 0, "http://new/3"), (9_000, 1, "http://newer/")], LINKS), 3)
+    assert [r.url for r in handlers.seen_links(spark, state).where("seq >= 9000").collect()] == ["http://newer/"]
+    assert handlers.seen_links(spark, state).where("url IS NOT NULL").count() == 2_000 + 1 + 20 + 1
