@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Memo, each, if_small, small_batches, tidy, utf8, words
+from linkloom.llm.common import Memo, each, small_batches, tidy, utf8, words
 from linkloom.session import written
 
 #: A repeated passage of so many words is certain to be found whole.
@@ -21,8 +21,6 @@ WINDOW = 12
 LEADING = PASSAGE - WINDOW + 1
 #: Words looked at on either side of a match: its ends lie within one window.
 AROUND = WINDOW + 4
-#: Places asked of documents are broadcast up to so many bytes; more are joined by a shuffle.
-BROADCAST_BYTES = 4 << 20
 
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -286,7 +284,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     sides = left.unionByName(right)
     asked = sides.select("doc", "side", "at").unionByName(sides.select(F.col("other").alias("doc"), "side", F.col("other_at").alias("at")))
     asked = written(asked.groupBy("doc").agg(F.collect_set(F.struct("side", "at")).alias("asked")), "asked")
-    texts = source.join(if_small(asked, 16 * F.size("asked") + 40, BROADCAST_BYTES), "doc")
+    # Dealt out by document at every size. What is asked is hashed, one row a document: texts are not sorted.
+    texts = source.join(asked.hint("shuffle_hash"), "doc")
     near = written(texts.mapInArrow(tidy(_contexts), "doc bigint, side int, at int, near array<bigint>").dropDuplicates(["doc", "side", "at"]), "near")
     theirs = near.select(F.col("doc").alias("other"), "side", F.col("at").alias("other_at"), F.col("near").alias("theirs"))
     reach = sides.join(near, ["doc", "side", "at"]).join(theirs, ["other", "side", "other_at"])
