@@ -21,8 +21,6 @@ GRAM = 5
 LAGS = (1, 2)
 #: A stretch is a candidate when it holds so many of an item's seed places (fewer, if the item's alignments may hold fewer).
 PLACES = 3
-#: How common a pair is, is judged on one text in so many. That settles what the search costs, not what it finds.
-JUDGED = 8
 #: Alignment: a matching word, another word, a missing or added word.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A text is contaminated from this share of an item's greatest score on.
@@ -110,10 +108,11 @@ def _lags(size: int) -> tuple[int, ...]:
 
 
 def _passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Which grams the filter lets pass: all that it was built from, and few others."""
-    ok = np.ones(len(grams), bool)
-    for place in (grams >> np.uint64(_HALF), grams & np.uint64((1 << FILTER_BITS) - 1)):
-        ok &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    """Where the grams are that the filter lets pass: all that it was built from, and few others."""
+    ok = np.arange(len(grams))
+    for half in (lambda some: some >> np.uint64(_HALF), lambda some: some & np.uint64((1 << FILTER_BITS) - 1)):
+        place = half(grams[ok])
+        ok = ok[(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
     return ok
 
 
@@ -229,23 +228,28 @@ def findings(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str =
     lags = (0, *LAGS) if bounds.alone else LAGS
     source = docs.where(F.col(text).isNotNull()).select(text_id(text).alias("text_id"), utf8(text).alias("text"))
 
-    def passing_pairs(bits: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that pass, and where they start."""
-        pairs = [pair_hashes(words, lag) for lag in lags]
-        places, pairs = np.concatenate([np.arange(len(p)) for p in pairs]), np.concatenate(pairs)
-        passed = _passes(bits, pairs)
-        return pairs[passed].view(np.int64), places[passed]
+    def passing_pairs(bits: np.ndarray, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each lag the pairs of a batch of texts that pass, in order, the text's number and where they start in it."""
+        words = np.concatenate([*texts, np.zeros(0, np.uint64)])
+        ends = np.cumsum([len(found) for found in texts], dtype=np.int64)
+        for lag in lags:
+            pairs = pair_hashes(words, lag)
+            at = _passes(bits, pairs)
+            text = np.searchsorted(ends, at, "right")
+            inside = at + lag < ends[text]  # no pair goes from one text to the next
+            at, text = at[inside], text[inside]
+            yield pairs[at].view(np.int64), text, at - np.where(text > 0, ends[text - 1], 0)
 
     every = share(spark, _filter(grams))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, passing = _memo(), every()
         for batch in batches:
-            own = [passing_pairs(passing, word_hashes(data, memo))[0] for data in each(batch.column("text"))]
-            found, n = np.unique(np.concatenate(own or [np.zeros(0, np.int64)]), return_counts=True)
+            own = passing_pairs(passing, [word_hashes(data, memo) for data in each(batch.column("text"))])
+            found, n = np.unique(np.concatenate([pairs for pairs, _, _ in own]), return_counts=True)
             yield pa.record_batch([pa.array(found), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    judged = source.where(F.pmod(F.xxhash64("text"), F.lit(JUDGED)) == 0).mapInArrow(tidy(judge), "gram bigint, n bigint")
+    judged = source.select("text").mapInArrow(tidy(judge), "gram bigint, n bigint")
     counted = written(judged.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     every.release()
     places = grams.join(counted, "gram", "left").groupBy("item", "at", "keep", "least")
@@ -259,11 +263,16 @@ def findings(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str =
         memo, passing = _memo(), bits()
         for batch in batches:
             rows = []
-            for name, data in zip(batch.column("text_id").to_pylist(), each(batch.column("text"))):
-                found = word_hashes(data, memo)
-                own, at = passing_pairs(passing, found)
-                for low, high in stretches(np.unique(at), few, reach, len(found)):
-                    rows.append((name, low, found[low:high].view(np.int64), np.unique(own[(at >= low) & (at < high)])))
+            texts = [word_hashes(data, memo) for data in each(batch.column("text"))]
+            own, text, at = map(np.concatenate, zip(*passing_pairs(passing, texts)))
+            order = np.argsort(text, kind="stable")
+            own, text, at = own[order], text[order], at[order]
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            for low_at, high_at in zip(first.tolist(), [*first[1:].tolist(), len(text)]):
+                number = int(text[low_at])
+                found, pairs, places = texts[number], own[low_at:high_at], at[low_at:high_at]
+                for low, high in stretches(np.unique(places), few, reach, len(found)):
+                    rows.append((batch.column("text_id")[number].as_py(), low, found[low:high].view(np.int64), np.unique(pairs[(places >= low) & (places < high)])))
             columns = zip(*rows) if rows else ((),) * 4
             kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["text_id", "low", "words", "grams"])

@@ -225,6 +225,17 @@ def test_contamination_equals_aligning_everything(spark):
     assert contaminated(spark, map(" ".join, texts), list(enumerate(map(" ".join, items)))) == want
 
 
+def test_pairs_are_counted_on_all_texts(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(decontam, "written", lambda df, label, write=decontam.written: tables.setdefault(label, write(df, label)))
+    texts = [f"filler{i} one two three four filler{i}" for i in range(90)] + ["two", None, "", "one", "two three one two"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
+    decontam.findings(spark, docs, items)
+    # one-two and two-three stand in 91 texts and three-four in 90; one-three and two-four with a word between, in 90 each; three-two is no pair.
+    assert sorted(r.n for r in tables["gram-counts"].collect()) == [90, 90, 90, 91, 91]
+
+
 def test_contamination_by_short_items_and_scripts_without_spaces(spark):
     items = [(1, "Sesame!"), (2, "open the door"), (3, "水は何度で凍りますか"), (4, "สวัสดีชาวโลก"), (5, "..."), (6, "one two three four")]
     texts = [
