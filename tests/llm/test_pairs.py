@@ -236,6 +236,16 @@ def test_pairs_are_counted_on_all_texts(spark, monkeypatch):
     assert sorted(r.n for r in tables["gram-counts"].collect()) == [90, 90, 90, 91, 91]
 
 
+def test_the_pipeline_counts_pairs_on_all_texts(spark, monkeypatch, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    tables = {}
+    monkeypatch.setattr(decontam, "written", lambda df, label, write=decontam.written: tables.setdefault(label, write(df, label)))
+    docs = spark.createDataFrame([(i, f"filler{i} one two filler{i}") for i in range(40)], "doc_id bigint, text string")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).count() == 40
+    assert [r.n for r in tables["gram-counts"].collect()] == [40]
+
+
 def test_contamination_by_short_items_and_scripts_without_spaces(spark):
     items = [(1, "Sesame!"), (2, "open the door"), (3, "水は何度で凍りますか"), (4, "สวัสดีชาวโลก"), (5, "..."), (6, "one two three four")]
     texts = [
