@@ -8,11 +8,17 @@ both counted up to and including the scored document,
 The text is read once: ``term_table`` counts the words of each document inside
 its own row and writes the compact result. Running counts are prefix sums over
 blocks of consecutive documents, so that no task sees more than one block of a
-term, however common the term is.
+term, however common the term is. What was counted before a block is only looked
+up if there is any: the first block of a corpus needs no second pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +26,10 @@ from linkloom.functions.text import clean_tokens
 from linkloom.operators.ordering import from_slots, numbered
 from linkloom.session import written
 
-# Documents per prefix-sum block.
-BLOCK_DOCS = 1 << 20
+# Documents per prefix-sum block: one task's share of a term that stands in every document.
+BLOCK_DOCS = 1 << 22
+# Rows whose words are counted at a time.
+COUNTED_ROWS = 1000
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -55,6 +63,31 @@ def doc_count(docs: DataFrame) -> DataFrame:
     return indexed(docs).agg(F.count("*").alias("doc_count"))
 
 
+def counted_words(words: Column) -> Column:
+    """For each list of words its distinct ones with first position and count."""
+
+    @F.arrow_udf("array<struct<term: string, pos: int, tf: bigint>>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("term", pa.string()), ("pos", pa.int32()), ("tf", pa.int64())])
+        for lists in batches:
+            parts = [lists.slice(i, COUNTED_ROWS) for i in range(0, len(lists), COUNTED_ROWS)]
+            yield pa.concat_arrays([_count(part, kind) for part in parts] or [pa.array([], pa.list_(kind))])
+
+    return counted(words)
+
+
+def _count(lists: pa.Array, kind: pa.DataType) -> pa.Array:
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lengths)
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    _, first, tf = np.unique(row * max(len(coded.dictionary), 1) + codes, return_index=True, return_counts=True)
+    columns = [coded.dictionary.take(pa.array(codes[first])).cast(pa.string()), pa.array(pos[first], pa.int32()), pa.array(tf, pa.int64())]
+    offsets = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(lists))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
 def term_table(docs: DataFrame, arrival: bool = False) -> DataFrame:
     """Written table ``(seq, …, len, terms: array<(term, pos, tf)>)``.
 
@@ -62,35 +95,16 @@ def term_table(docs: DataFrame, arrival: bool = False) -> DataFrame:
     words are counted, and the table keeps each row's ``_slot``: it is numbered in
     arrival order from its only write. Ranges are found on the documents, before any word is cut.
 
-    Columns other than the text travel along. Words are sorted with their positions inside the row, and a term's count
-    is the distance between the starts of neighbouring runs: no shuffle.
+    Columns other than the text travel along. Words are counted inside the row, an Arrow batch at a time: no shuffle.
     """
     others = [name for name in docs.columns if name != "text"]
     source = indexed(docs)
     if arrival:
         source = source.repartitionByRange("seq").sortWithinPartitions("seq")
     words = source.select(*others, clean_tokens(F.col("text")).alias("words"))
-    placed = F.transform("words", lambda word, pos: F.struct(word.alias("term"), pos.alias("pos")))
-    runs = words.select(*others, F.size("words").alias("len"), F.sort_array(placed).alias("sorted"))
-
-    def term_at(index: Column) -> Column:
-        return F.get("sorted", index)["term"]
-
-    starts = runs.withColumn(
-        "starts",
-        F.filter(
-            F.transform("sorted", lambda _, index: index),
-            lambda index: (index == 0) | (term_at(index) != term_at(index - 1)),
-        ),
-    )
-
-    def run(start: Column, index: Column) -> Column:
-        end = F.coalesce(F.get("starts", index + 1), F.col("len"))
-        head = F.get("sorted", start)
-        return F.struct(head["term"].alias("term"), head["pos"].alias("pos"), (end - start).cast("bigint").alias("tf"))
-
+    counted = words.select(*others, F.size("words").alias("len"), counted_words(F.col("words")).alias("terms"))
     slot = [F.monotonically_increasing_id().alias("_slot")] if arrival else []
-    return written(starts.select(*others, "len", F.transform("starts", run).alias("terms"), *slot), "terms")
+    return written(counted.select("*", *slot), "terms")
 
 
 def _score(tf: Column, length: Column, docs: Column, cf: Column) -> Column:
@@ -103,7 +117,7 @@ def table_stats(terms: DataFrame) -> DataFrame:
 
 
 def _counted_before(rows: DataFrame, stored_stats: DataFrame | None) -> DataFrame:
-    """``(term, block, prior)``: occurrences before the block."""
+    """``(term, block, prior)``: occurrences before the block, if any."""
     # A term has at most documents / block_docs rows here.
     totals = rows.groupBy("term", "block").agg(F.sum("tf").alias("tf"))
     before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,8 +147,10 @@ def arrival_counts(
     rows = placed.select("seq", "len", "n", block, F.inline("terms"))
     in_block = Window.partitionBy("term", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.withColumn("cf", F.sum("tf").over(in_block))
-    prior = _counted_before(rows, stored_stats)
-    counts = counts.join(prior, ["term", "block"], "left").withColumn("cf", F.col("cf") + F.coalesce("prior", F.lit(0)))
+    # Counting the rows of a written table reads its footers only.
+    if stored_stats is not None or terms.count() > block_docs:
+        prior = _counted_before(rows, stored_stats)
+        counts = counts.join(prior, ["term", "block"], "left").withColumn("cf", F.col("cf") + F.coalesce("prior", F.lit(0)))
     return counts.select("seq", "term", "pos", "tf", "len", (F.col("n") + stored_docs).alias("n"), "cf")
 
 

@@ -57,6 +57,13 @@ def test_top_tags_are_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
+def test_one_block_of_documents_takes_no_second_pass(spark):
+    terms = tags.term_table(inputs.documents(spark, FOLDER), arrival=True)
+    one, many = (plan_of(tags.arrival_counts(terms, block_docs=size)) for size in (1 << 20, 50))
+    assert "prior" in many and "prior" not in one
+    assert one.count("Generate inline") < many.count("Generate inline")
+
+
 def test_numbering_the_term_table_needs_no_join(spark):
     terms = tags.term_table(inputs.documents(spark, FOLDER))
     plan = plan_of(tags.arrival_counts(terms))

@@ -166,3 +166,13 @@ def test_top_terms_break_ties_by_position(spark):
     docs = frame(spark, [(1, "x", "b d c"), (2, "y", "z y")])
     top = tags.top_terms(tags.arrival_scores(tags.term_table(docs)), 2).where(F.col("seq") == 1)
     assert [r.term for r in top.orderBy("rank").collect()] == ["b", "d"]
+
+
+def test_words_are_counted_by_row_across_batches(spark, monkeypatch):
+    monkeypatch.setattr(tags, "COUNTED_ROWS", 3)
+    rows = [(i, words) for i, words in enumerate([["b", "a", "b"], [], None, ["a"], [""], ["é", "e", "é", "é"], ["b"]] * 5)]
+    lists = spark.createDataFrame(rows, "seq int, words array<string>").coalesce(1)
+    terms = lists.select("seq", tags.counted_words(F.col("words")).alias("terms"))
+    assert "ArrowEvalPython" in terms._jdf.queryExecution().toString()
+    got = {r.seq: sorted(map(tuple, r.terms)) for r in terms.collect()}
+    assert got == {i: sorted((w, words.index(w), words.count(w)) for w in set(words or [])) for i, words in rows}
