@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,9 +39,8 @@ SPACE = "▁"
 #: Fixed value: how byte-level vocabularies cut a text before they merge.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A space between two lower-case ASCII letters: both vocabularies begin a token there, whatever stands around it.
-_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
-_INNER = re.compile(r"[a-z](?:.*[a-z])?", re.DOTALL).fullmatch
+#: A space between two visible ASCII characters: both vocabularies begin a token there, whatever stands around it.
+_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,29 +108,35 @@ class Pair:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of either side of each unit, as ``_ids`` gives them.
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of the units' ids, as ``_ids`` gives them: for either side all of them and how many each unit has, and which units are given back.
 
-        Units that begin and end with a lower-case letter are encoded as one text, which both sides cut between them.
+        Units that begin and end with a visible ASCII character are encoded as one text, which both sides cut between them.
         """
-        out: list = [None] * len(units)
-        inner = [i for i, u in enumerate(units) if self.cuts and _INNER(u)]
+        inner = [i for i, u in enumerate(units) if self.cuts and u and "!" <= u[0] <= "~" and "!" <= u[-1] <= "~"]
         line = " ".join([units[i] for i in inner])
         together = self._ids(line) if inner else None
+        same, at_once = np.ones(len(units), bool), np.zeros(len(units), bool)
+        sizes = [np.zeros(len(units), np.int64) for _ in range(2)]
+        ids = list(together) if together else [np.zeros(0, np.int64)] * 2
         if together:
+            at_once[inner] = True
             # A unit's bytes, with the space before it.
-            ends = np.cumsum([len(units[i]) + 1 if units[i].isascii() else len(units[i].encode("utf-8", "surrogatepass")) + 1 for i in inner])
-            sides = []
-            for ids, lengths in zip(together, self.lengths):
-                upto = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
-                sides.append([ids[x:y] for x, y in zip([0, *upto.tolist()], upto.tolist())])
-            for i, a, b in zip(inner, *sides):
-                out[i] = a, b
-        done = set(inner) if together else set()
-        for i, unit in enumerate(units):
-            if i not in done:
-                out[i] = self._ids(unit)
-        return out
+            own = [units[i] for i in inner] if line.isascii() else [units[i].encode("utf-8", "surrogatepass") for i in inner]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            for side, lengths, size in zip(ids, self.lengths, sizes):
+                size[inner] = np.diff(np.searchsorted(np.cumsum(lengths[side]), ends) + 1, prepend=0)
+        if not at_once.all():
+            alone = [self._ids(units[i]) for i in np.flatnonzero(~at_once).tolist()]
+            same[~at_once] = [found is not None for found in alone]
+            for k in range(2):
+                rest = [found[k] if found else np.zeros(0, np.int64) for found in alone]
+                sizes[k][~at_once] = [len(r) for r in rest]
+                of_line = np.repeat(at_once, sizes[k])
+                every = np.empty(len(of_line), np.int64)
+                every[of_line], every[~of_line] = ids[k], np.concatenate(rest)
+                ids[k] = every
+        return ids, sizes, same
 
     def units(self, text: str) -> list[str]:
         """A text without spaces at which both sides cut it anyway: each unit is encoded as a text of its own, alike wherever it stands."""
@@ -234,25 +240,24 @@ class Aligner:
         self.pair = pair
 
     def align(self, texts: list[str | None]) -> Aligned:
-        pair, places, streams = self.pair, {}, []
+        pair, streams = self.pair, []
+        places: defaultdict[str, int] = defaultdict()
+        places.default_factory = places.__len__  # a new unit gets the next number
+        number = places.__getitem__
         for text in texts:
             units = pair.units(text) if text else []
-            streams.append(np.fromiter([places.setdefault(u, len(places)) for u in units], np.int64, len(units)))
-        names, same = list(places), np.ones(len(places) + 1, bool)
-        none = np.zeros(0, np.int64)
-        encoded: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(names), UNITS):
-            for i, ids in enumerate(pair.encode(names[at : at + UNITS]), at):
-                same[i] = ids is not None
-                encoded.append(ids or (none, none))
-        sizes = [np.fromiter((len(ids[side]) for ids in encoded), np.int64, len(encoded)) for side in (0, 1)]
-        starts = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
-        values = [np.concatenate([*(ids[side] for ids in encoded), none]) for side in (0, 1)]
+            streams.append(np.fromiter(map(number, units), np.int64, len(units)))
+        places.default_factory = None  # else it would hold itself
+        names, none = list(places), np.zeros(0, np.int64)
+        encoded = [pair.encode(names[at : at + UNITS]) for at in range(0, len(names), UNITS)]
+        same = np.concatenate([np.zeros(0, bool), *(given for _, _, given in encoded)])
+        starts = [np.concatenate([[0], np.cumsum(np.concatenate([none, *(sizes[side] for _, sizes, _ in encoded)]))]) for side in (0, 1)]
+        values = [np.concatenate([none, *(ids[side] for ids, _, _ in encoded)]) for side in (0, 1)]
         # A text that either side doesn't give back has no tokens.
         streams = [s if len(s) and same[s].all() else s[:0] for s in streams]
         n_units = np.fromiter(map(len, streams), np.int64, len(streams))
         stream = np.concatenate([*streams, np.zeros(0, np.int64)])
-        del places, names, streams, encoded
+        del places, number, names, streams, encoded
         (ids_a, of_a), (ids_b, of_b) = (_take(s, v, stream) for s, v in zip(starts, values))
         ends_a, ends_b = (np.cumsum(lengths[ids]) for lengths, ids in zip(pair.lengths, (ids_a, ids_b)))
         # Stretches of up to STRETCH units; all begin and end at a cut.

@@ -291,6 +291,19 @@ def test_token_links_say_where_groups_stand(spark, edges, pair):
             assert all(x.end == y.start for x, y in zip(r.groups, r.groups[1:]))
 
 
+def test_units_are_cut_at_ascii_spaces_and_encoded_once_a_batch(pair, monkeypatch):
+    tokenizers, encoded = align.Pair(*pair), []
+    encode = tokenizers.encode
+    monkeypatch.setattr(tokenizers, "encode", lambda units: encoded.extend(units) or encode(units))
+    texts = ["The sum, 12 of 3.14 isn't x", None, "le été !a 12 of", "a  b \tc 's 12", "", "a ▁ b of", "don't 's d'été <s> x<s> 12"]
+    found = align.Aligner(tokenizers).align(texts)
+    assert len(encoded) == len(set(encoded)) and {"The", "sum,", "12", "of", "3.14", "isn't", "x", "x<s>", "a ▁ b"} <= set(encoded)
+    groups = [plain_groups(pair, text) if text else [] for text in texts]
+    assert found.n_groups.tolist() == list(map(len, groups)) and not groups[5]
+    assert found.ids_a.tolist() == [i for own in groups for a, _ in own for i in a]
+    assert found.ids_b.tolist() == [i for own in groups for _, b in own for i in b]
+
+
 def test_merge_moves_all_stretches_at_once():
     rng = np.random.default_rng(2)
     ends, at, want = [[], []], [[], []], []
