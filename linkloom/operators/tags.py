@@ -10,10 +10,15 @@ its own row and writes the compact result. Running counts are prefix sums over
 blocks of consecutive documents, so that no task sees more than one block of a
 term, however common the term is. What was counted before a block is only looked
 up if there is any: the first block of a corpus needs no second pass.
+
+Where only the best terms are asked for, words are not sorted by term at all:
+``block_table`` keeps small blocks of documents with their own words and totals,
+and each block meets what was counted before it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +26,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.functions.text import clean_tokens
 from linkloom.operators.ordering import from_slots, numbered
-from linkloom.session import written
+from linkloom.session import shuffle_partitions, written
 
 # Documents per prefix-sum block: one task's share of a term that stands in every document.
 BLOCK_DOCS = 1 << 20
 # Rows whose words are counted at a time.
 COUNTED_ROWS = 1000
+# Words of a block that meets what was counted before it; one document's may be more.
+BLOCK_WORDS = 1 << 20
+# Relative difference below which two scores may be equal but for rounding.
+CLOSE = 1e-9
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -76,10 +86,14 @@ def counted_words(words: Column) -> Column:
     return counted(words)
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _count(lists: pa.Array, kind: pa.DataType) -> pa.Array:
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    lengths = _lengths(lists)
     row = np.repeat(np.arange(len(lists)), lengths)
     pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     _, first, tf = np.unique(row * max(len(coded.dictionary), 1) + codes, return_index=True, return_counts=True)
@@ -88,6 +102,11 @@ def _count(lists: pa.Array, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
 
 
+def in_arrival_order(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out in sorted ranges of their key; what finds the ranges computes the rows, so deal before costly steps."""
+    return rows.repartitionByRange(key).sortWithinPartitions(key)
+
+
 def term_table(docs: DataFrame, arrival: bool = False) -> DataFrame:
     """Written table ``(seq, …, len, terms: array<(term, pos, tf)>)``.
 
@@ -100,13 +119,87 @@ def term_table(docs: DataFrame, arrival: bool = False) -> DataFrame:
     others = [name for name in docs.columns if name != "text"]
     source = indexed(docs)
     if arrival:
-        source = source.repartitionByRange("seq").sortWithinPartitions("seq")
+        source = in_arrival_order(source, "seq")
     words = source.select(*others, clean_tokens(F.col("text")).alias("words"))
     counted = words.select(*others, F.size("words").alias("len"), counted_words(F.col("words")).alias("terms"))
     slot = [F.monotonically_increasing_id().alias("_slot")] if arrival else []
     return written(counted.select("*", *slot), "terms")
 
 
+_WORDS = pa.struct([("_bucket", pa.int32()), ("words", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+_BLOCK = pa.struct([
+    ("block", pa.int64()), ("codes", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())),
+    ("words", pa.list_(_WORDS)),
+])
+
+
+def _blocks(words: Column, slot: Column, block_words: int, buckets: int) -> Column:
+    """Rows in order, cut into blocks of consecutive rows that are named by their first slot: the columns of ``block_table``."""
+    words_kind = "array<struct<_bucket: int, words: array<string>, totals: array<bigint>>>"
+
+    @F.arrow_udf(f"struct<block: bigint, codes: array<int>, positions: array<int>, tfs: array<int>, words: {words_kind}>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, slots in batches:
+            parts = [_block(lists.slice(i, n), slots[i], buckets) for i, n in _cuts(lists, block_words)]
+            yield pa.concat_arrays(parts or [pa.array([], _BLOCK)])
+
+    return cut(words, slot)
+
+
+def _cuts(lists: pa.Array, block_words: int) -> Iterator[tuple[int, int]]:
+    """``(first row, rows)`` of parts of at most ``block_words`` words, or of one row."""
+    ends = np.cumsum(_lengths(lists))
+    at = 0
+    while at < len(lists):
+        before = ends[at - 1] if at else 0
+        stop = max(int(np.searchsorted(ends, before + block_words, "right")), at + 1)
+        yield at, stop - at
+        at = stop
+
+
+def _listed(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _block(lists: pa.Array, slot: pa.Scalar, buckets: int) -> pa.Array:
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.string())
+    bucket = np.fromiter((zlib.crc32(word) % buckets for word in words.cast(pa.binary()).to_pylist()), np.int32, len(words))
+    # A word's code is its place among the block's words, bucket by bucket.
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    codes = place[coded.indices.to_numpy(zero_copy_only=False)]
+    lengths = _lengths(lists)
+    row = np.repeat(np.arange(len(lists)), lengths)
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    _, first, tf = np.unique(row * max(len(words), 1) + codes, return_index=True, return_counts=True)
+    ends = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(lists))))
+    used, starts = np.unique(bucket[order], return_index=True)
+    cuts = np.append(starts, len(words))
+    totals = pa.array(np.bincount(codes, minlength=len(words)), pa.int64())
+    columns = [pa.array(used, pa.int32()), _listed(words.take(pa.array(order)), cuts), _listed(totals, cuts)]
+    # The block's words stand in its first row.
+    at_first = np.append(0, np.full(len(lists), len(used)))
+    lists_of = [_listed(pa.array(values, pa.int32()), ends) for values in (codes[first], pos[first], tf)]
+    words_of = _listed(pa.StructArray.from_arrays(columns, fields=list(_WORDS)), at_first)
+    return pa.StructArray.from_arrays([pa.repeat(slot, len(lists)), *lists_of, words_of], fields=list(_BLOCK))
+
+
+def block_table(docs: DataFrame, placed: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Written table ``(seq, …, len, _slot, block, codes, positions, tfs, words)`` in arrival order.
+
+    A row lists its distinct words as ``codes``, with first positions and counts: places among the words of
+    its block, which stand in the block's first row with their totals, dealt into buckets by a hash.
+    Documents that are ``placed`` are ``in_arrival_order`` already.
+    """
+    others = [name for name in docs.columns if name != "text"]
+    source = indexed(docs) if placed else in_arrival_order(indexed(docs), "seq")
+    slotted = source.select(*others, clean_tokens(F.col("text")).alias("_words"), F.monotonically_increasing_id().alias("_slot"))
+    cut = _blocks(F.col("_words"), F.col("_slot"), block_words, shuffle_partitions(docs.sparkSession))
+    return written(slotted.withColumn("_cut", cut).select(*others, F.size("_words").alias("len"), "_slot", "_cut.*"), "blocks")
+
+
 def _score(tf: Column, length: Column, docs: Column, cf: Column) -> Column:
     return tf / length * (F.log((1 + docs) / (1 + cf)) + 1)
 
@@ -160,6 +253,92 @@ def arrival_scores(terms: DataFrame, **stored) -> DataFrame:
     return counts.select("seq", "term", "pos", _score(F.col("tf"), F.col("len"), F.col("n"), F.col("cf")).alias("score"))
 
 
+def _sums_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the words of each block what the blocks before counted; buckets follow one another, their blocks in order."""
+    current, places, counts = None, {}, np.zeros(0, np.int64)
+    for batch in batches:
+        before = []
+        for bucket, words, totals in zip(batch["_bucket"].to_pylist(), batch["words"], batch["totals"]):
+            if bucket != current:
+                current, places, counts = bucket, {}, np.zeros(1024, np.int64)
+            at = np.fromiter((places.setdefault(word, len(places)) for word in words.values.to_pylist()), np.int64, len(words))
+            if len(places) > len(counts):
+                counts = np.append(counts, np.zeros(len(places), np.int64))
+            before.append(counts[at])
+            counts[at] += totals.values.to_numpy()
+        ends = np.append(0, np.cumsum([len(part) for part in before]))
+        prior = _listed(pa.array(np.concatenate([np.zeros(0, np.int64), *before]), pa.int64()), ends)
+        yield pa.RecordBatch.from_arrays([batch["of"], batch["_bucket"], batch["words"], prior], ["of", "_bucket", "words", "prior"])
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _met(docs: pa.Table, before: pa.Table, count: int) -> pa.Table:
+    """The counts of a block's documents, of those terms whose scores may be among the best ``count`` of a document."""
+    docs, before = docs.sort_by("n"), before.sort_by("_bucket")
+    lengths = _lengths(docs["codes"].combine_chunks())
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    codes, tf = _flat(docs, "codes"), _flat(docs, "tfs").astype(np.int64)
+    # Rows are in order of arrival: a stable sort by word keeps it.
+    order = np.argsort(codes, kind="stable")
+    sums = np.cumsum(tf[order])
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    run = sums - np.repeat(sums[starts] - tf[order][starts], np.diff(np.append(starts, len(order))))
+    cf = _flat(before, "prior")[codes]
+    cf[order] += run
+    n, length = docs["n"].to_numpy()[row], docs["len"].to_numpy()[row]
+    kept = _may_be_best(tf / length * (np.log((1 + n) / (1 + cf)) + 1), lengths, count)
+    return pa.table({
+        "seq": docs["seq"].take(pa.array(row[kept])),
+        "term": before["words"].combine_chunks().flatten().take(pa.array(codes[kept])),
+        "pos": pa.array(_flat(docs, "positions")[kept], pa.int32()),
+        "tf": pa.array(tf[kept], pa.int64()),
+        "len": pa.array(length[kept], pa.int32()),
+        "n": pa.array(n[kept], pa.int64()),
+        "cf": pa.array(cf[kept], pa.int64()),
+    })
+
+
+def _may_be_best(score: np.ndarray, lengths: np.ndarray, count: int) -> np.ndarray:
+    """Places of the scores that are not clearly below the ``count``-th best of their row."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.cumsum(lengths)
+    order = np.lexsort((score, row))
+    # Each row's scores now rise up to its end.
+    last = np.maximum(ends - count, ends - lengths)[lengths > 0]
+    least = np.full(len(lengths), -np.inf)
+    least[lengths > 0] = score[order][last]
+    least -= CLOSE * np.abs(least) + CLOSE * 1e-6
+    return np.flatnonzero(score >= least[row])
+
+
+def best_counts(blocks: DataFrame, count: int) -> DataFrame:
+    """``arrival_counts`` of a block table, of the terms that may be among the best ``count`` of their document.
+
+    Rows with close scores stay, so that ``top_terms`` settles the rest as if all were there. What is
+    dealt out by term are the totals of blocks alone; a block's documents then meet their sums.
+    """
+    totals = blocks.select(F.col("block").alias("of"), F.inline("words"))
+    dealt = totals.repartition("_bucket").sortWithinPartitions("_bucket", "of")
+    before = dealt.mapInArrow(_sums_before, "of bigint, _bucket int, words array<string>, prior array<bigint>")
+    numbered_docs = from_slots(blocks.select("seq", "len", "block", "codes", "positions", "tfs", "_slot"), "n")
+    rest = "term string, pos int, tf bigint, len int, n bigint, cf bigint"
+    schema = T.StructType([blocks.schema["seq"], *T.StructType.fromDDL(rest).fields])
+
+    def met(key: tuple[pa.Scalar, ...], docs: pa.Table, before: pa.Table) -> pa.Table:
+        return _met(docs, before, count)
+
+    return numbered_docs.groupBy("block").cogroup(before.groupBy("of")).applyInArrow(met, schema)
+
+
+def best_scores(blocks: DataFrame, count: int) -> DataFrame:
+    """``arrival_scores`` of the terms that may be among the best ``count`` of their document."""
+    counts = best_counts(blocks, count)
+    return counts.select("seq", "term", "pos", _score(F.col("tf"), F.col("len"), F.col("n"), F.col("cf")).alias("score"))
+
+
 def corpus_scores(terms: DataFrame) -> DataFrame:
     """``(seq, term, pos, score)`` on the final statistics of the same corpus.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.extract import link_text, page_links, valid_links
+from linkloom.operators.tags import in_arrival_order
 from linkloom.sources.tables import dealt, page_source, table
 
 
@@ -18,6 +19,11 @@ def page_docs(spark: SparkSession, folder: str) -> DataFrame:
     return link_text(pages(spark, folder))
 
 
+def placed_page_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """``page_docs`` in arrival order: the pages are dealt out before their text is extracted, so that it is once."""
+    return link_text(in_arrival_order(pages(spark, folder), "page_id"))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(seq, link, text)`` of the documents, the source standing for the link."""
     docs = dealt(table(spark, folder, "documents"), "doc_id")

@@ -146,7 +146,7 @@ def query_scores(spark, folder):
 
 
 def top3_tags(spark, folder):
-    scores = tags.arrival_scores(tags.term_table(inputs.documents(spark, folder), arrival=True))
+    scores = tags.best_scores(tags.block_table(inputs.documents(spark, folder)), 3)
     return tags.top_terms(scores).select("seq", "rank", F.col("term").alias("tag"))
 
 
@@ -157,7 +157,7 @@ def doc_tags(spark, folder):
 
 
 def page_tags(spark, folder):
-    return pipelines.tagged(inputs.page_docs(spark, folder))
+    return pipelines.tagged(inputs.placed_page_docs(spark, folder), placed=True)
 
 
 # ---- links: dedup, validation, crawl -----------------------------------------
@@ -242,7 +242,7 @@ def tag_lookup(spark, folder):
 
 
 def _page_star(spark, folder) -> index.Star:
-    return pipelines.star(inputs.page_docs(spark, folder))
+    return pipelines.star(inputs.placed_page_docs(spark, folder), placed=True)
 
 
 def links_dim(spark, folder):
@@ -336,7 +336,7 @@ def set_push(spark, folder):
 def snapshot_roundtrip(spark, folder):
     path = scratch_path(spark, "snapshot")
     links = written(seen_link_dedup(spark, folder), "links")
-    tagged = pipelines.indexed(inputs.page_docs(spark, folder))
+    tagged = pipelines.indexed(inputs.placed_page_docs(spark, folder), placed=True)
     snapshot.save(spark, path, queue=links, processed=inputs.pages(spark, folder).select("url"), index=tagged)
     parts = snapshot.load(spark, path, queue=schemas.SEEN_LINKS, processed=_URL, index=schemas.TAG_INDEX)
     row = lambda part, key, value: parts[part].select(F.lit(part).alias("part"), F.col(key).alias("key"), value.alias("value"))
@@ -365,7 +365,7 @@ def table_setup(spark, folder):
     for _ in range(2):
         handlers.create_star(spark, state)
     empty = _star_rows(handlers.star(spark, state)).where("id is not null")
-    handlers.upsert_link_tags(state, pipelines.tagged(inputs.page_docs(spark, folder)), 0)
+    handlers.upsert_link_tags(state, pipelines.tagged(inputs.placed_page_docs(spark, folder), placed=True), 0)
     return empty.unionByName(_star_rows(handlers.star(spark, state)))
 
 
@@ -468,7 +468,7 @@ def stream_tag_index(spark, folder):
 def stored_cascade_delete(spark, folder):
     """Tags of half the pages are stored, some links and tags deleted, and then those of all pages are."""
     state = scratch_path(spark, "deletes")
-    tagged = written(pipelines.tagged(inputs.page_docs(spark, folder)), "link_tags")
+    tagged = written(pipelines.tagged(inputs.placed_page_docs(spark, folder), placed=True), "link_tags")
     handlers.upsert_link_tags(state, tagged.where(F.col("seq") % 2 == 0), 0)
     handlers.delete_values(state, spark.createDataFrame([(t,) for t in DELETED_TAGS], "tag string"), "tag", 1)
     handlers.delete_values(state, tagged.where(F.col("seq") % 4 == 0).select("link"), "link", 1)

@@ -168,3 +168,14 @@ def test_arrival_order_takes_one_write_of_the_terms(spark, monkeypatch):
     again = tags.arrival_scores(tags.term_table(inputs.documents(spark, FOLDER)))
     assert written == ["terms", "terms", "order"]
     assert scores.exceptAll(again).isEmpty() and again.exceptAll(scores).isEmpty()
+
+
+def test_best_tags_are_found_without_dealing_words_out_by_term(spark):
+    plan = plan_of(pipelines.tagged(inputs.documents(spark, FOLDER)))
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert plan.count("Generate inline") == 1 and "inline(words" in plan and "hashpartitioning(term" not in plan
+
+
+def test_pages_are_dealt_out_before_their_text_is_extracted(spark):
+    plan = plan_of(inputs.placed_page_docs(spark, FOLDER))
+    assert plan.index("array_join(filter(transform(CASE WHEN RLIKE(html") < plan.index("rangepartitioning(page_id")

@@ -176,3 +176,27 @@ def test_words_are_counted_by_row_across_batches(spark, monkeypatch):
     assert "ArrowEvalPython" in terms._jdf.queryExecution().toString()
     got = {r.seq: sorted(map(tuple, r.terms)) for r in terms.collect()}
     assert got == {i: sorted((w, words.index(w), words.count(w)) for w in set(words or [])) for i, words in rows}
+
+
+@pytest.mark.parametrize("block_words", [1 << 20, 40, 1])
+def test_best_terms_match_model_at_any_block(spark, rows, expected, block_words):
+    docs = frame(spark, rows).repartition(3)
+    blocks = tags.block_table(docs, block_words=block_words)
+    best = tags.best_scores(blocks, 5)
+    assert lists(tags.tag_lists(docs, tags.link_tags(blocks, tags.top_terms(best, 5)))) == expected[0]
+    # Every row is one of arrival_scores, bit for bit, and what is left out is not among the best.
+    every = {(r.seq, r.term, r.pos): r.score for r in tags.arrival_scores(tags.term_table(docs)).collect()}
+    kept = {(r.seq, r.term, r.pos): r.score for r in best.collect()}
+    assert kept.items() <= every.items() and len(kept) < len(every)
+
+
+def test_best_terms_of_copied_and_null_keys_are_those_of_all(spark):
+    rng = random.Random(5)
+    text = " ".join(rng.choices([f"w{j}" for j in range(40)], k=30))
+    rows = [(rng.choice([None, i // 2]), "x", text) for i in range(80)]
+    docs = frame(spark, rows)
+    best, every = tags.best_scores(tags.block_table(docs, block_words=100), 5), tags.arrival_scores(tags.term_table(docs, arrival=True))
+    ranked = lambda scores: sorted(map(repr, tags.top_terms(scores, 5).select("seq", "rank", "score").collect()))
+    assert ranked(best) == ranked(every)
+    empty = tags.block_table(frame(spark, [(1, "x", ""), (2, "x", None)]))
+    assert tags.best_scores(empty, 5).isEmpty()
