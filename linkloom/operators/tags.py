@@ -37,7 +37,8 @@ BLOCK_DOCS = 1 << 20
 # Rows whose words are counted at a time.
 COUNTED_ROWS = 1000
 # Words of a block that meets what was counted before it; one document's may be more.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
+BLOCK_ROWS = 1 << 14
 # Relative difference below which two scores may be equal but for rounding.
 CLOSE = 1e-9
 
@@ -147,12 +148,12 @@ def _blocks(words: Column, slot: Column, block_words: int, buckets: int) -> Colu
 
 
 def _cuts(lists: pa.Array, block_words: int) -> Iterator[tuple[int, int]]:
-    """``(first row, rows)`` of parts of at most ``block_words`` words, or of one row."""
+    """``(first row, rows)`` of parts of at most ``block_words`` words and ``BLOCK_ROWS`` rows, or of one row."""
     ends = np.cumsum(_lengths(lists))
     at = 0
     while at < len(lists):
         before = ends[at - 1] if at else 0
-        stop = max(int(np.searchsorted(ends, before + block_words, "right")), at + 1)
+        stop = max(min(int(np.searchsorted(ends, before + block_words, "right")), at + BLOCK_ROWS), at + 1)
         yield at, stop - at
         at = stop
 
@@ -173,15 +174,21 @@ def _block(lists: pa.Array, slot: pa.Scalar, buckets: int) -> pa.Array:
     lengths = _lengths(lists)
     row = np.repeat(np.arange(len(lists)), lengths)
     pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    _, first, tf = np.unique(row * max(len(words), 1) + codes, return_index=True, return_counts=True)
-    ends = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(lists))))
+    # Row, code and position are sorted as one number, which ``_cuts`` keeps below 63 bits.
+    pos_bits, code_bits = int(lengths.max(initial=0)).bit_length(), len(words).bit_length()
+    keys = np.sort((row << code_bits | codes) << pos_bits | pos)
+    first = np.flatnonzero(np.diff(keys >> pos_bits, prepend=-1))
+    tf = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    pos, keys = keys & ((1 << pos_bits) - 1), keys >> pos_bits
+    ends = np.append(0, np.cumsum(np.bincount(keys >> code_bits, minlength=len(lists))))
     used, starts = np.unique(bucket[order], return_index=True)
     cuts = np.append(starts, len(words))
     totals = pa.array(np.bincount(codes, minlength=len(words)), pa.int64())
     columns = [pa.array(used, pa.int32()), _listed(words.take(pa.array(order)), cuts), _listed(totals, cuts)]
     # The block's words stand in its first row.
     at_first = np.append(0, np.full(len(lists), len(used)))
-    lists_of = [_listed(pa.array(values, pa.int32()), ends) for values in (codes[first], pos[first], tf)]
+    lists_of = [_listed(pa.array(values, pa.int32()), ends) for values in (keys & ((1 << code_bits) - 1), pos, tf)]
     words_of = _listed(pa.StructArray.from_arrays(columns, fields=list(_WORDS)), at_first)
     return pa.StructArray.from_arrays([pa.repeat(slot, len(lists)), *lists_of, words_of], fields=list(_BLOCK))
 
@@ -282,7 +289,7 @@ def _met(docs: pa.Table, before: pa.Table, count: int) -> pa.Table:
     row = np.repeat(np.arange(len(lengths)), lengths)
     codes, tf = _flat(docs, "codes"), _flat(docs, "tfs").astype(np.int64)
     # Rows are in order of arrival: a stable sort by word keeps it.
-    order = np.argsort(codes, kind="stable")
+    order = np.sort(codes.astype(np.int64) << 32 | np.arange(len(codes))) & 0xFFFFFFFF
     sums = np.cumsum(tf[order])
     starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
     run = sums - np.repeat(sums[starts] - tf[order][starts], np.diff(np.append(starts, len(order))))
@@ -303,15 +310,21 @@ def _met(docs: pa.Table, before: pa.Table, count: int) -> pa.Table:
 
 def _may_be_best(score: np.ndarray, lengths: np.ndarray, count: int) -> np.ndarray:
     """Places of the scores that are not clearly below the ``count``-th best of their row."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    ends = np.cumsum(lengths)
-    order = np.lexsort((score, row))
-    # Each row's scores now rise up to its end.
-    last = np.maximum(ends - count, ends - lengths)[lengths > 0]
-    least = np.full(len(lengths), -np.inf)
-    least[lengths > 0] = score[order][last]
-    least -= CLOSE * np.abs(least) + CLOSE * 1e-6
-    return np.flatnonzero(score >= least[row])
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    left, least, taken = score.copy(), np.full(len(lengths), -np.inf), np.zeros(len(lengths), np.int64)
+    for _ in range(count):
+        # The highest scores left of each row, all that are equal at once.
+        best = np.maximum.reduceat(left, starts)
+        least = np.where(taken < count, best, least)
+        equal = left == np.repeat(best, lengths)
+        taken += np.add.reduceat(equal.astype(np.int64), starts)
+        left[equal] = -np.inf
+    # A row of fewer scores is down to -inf: all of it stays.
+    least = np.where(np.isfinite(least), least - CLOSE * (np.abs(least) + 1e-6), -np.inf)
+    return np.flatnonzero(score >= np.repeat(least, lengths))
 
 
 def best_counts(blocks: DataFrame, count: int) -> DataFrame:
